@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Texts are handed to Python code in slices of about so many characters.
 SLICE_CHARS = 4_000_000
@@ -49,28 +50,33 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, work: Callable[[], Callable[[list], list]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, work: Callable[[], Callable[[list], list]], schema: str, key: str | list[str] = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
     """One output row per input row, by a function from a list of texts to a list of tuples, without a shuffle.
 
-    ``work()`` is called once per task and returns that function; ``schema`` names what it adds after ``key``.
+    ``work()`` is called once per task and returns that function; ``schema`` names what it adds to the ``key`` columns,
+    which are carried along as they are. ``into`` packs the additions into one struct, which clashes with no other name.
     Null texts are handed on as None. Slices are bounded by SLICE_CHARS, so memory doesn't follow the row count.
     """
-    kind = df.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else list(key)
+    added = StructType.fromDDL(schema)
+    carried = docs.select(*[F.col(f"`{c}`") for c in keys])
+    full = StructType([*carried.schema.fields, *([StructField(into, added)] if into else added.fields)])
+    names, width = full.names, len(keys)
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+    fields = [pa.field(f.name, t) for f, t in zip(added.fields, types, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for batch in batches:
-            keys = batch.column(0)
-            texts = batch.column(1)
+            texts = batch.column(width)
             for start, stop in slices(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), SLICE_CHARS):
                 rows = f(texts.slice(start, stop - start).to_pylist())
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), *cols], names)
+                if into:
+                    cols = [pa.StructArray.from_arrays(cols, fields=fields)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(width)), *cols], names)
 
-    full = StructType.fromDDL(f"`{key}` {kind}, {schema}")
-    names = full.names
-    types = [to_arrow_type(f.dataType) for f in full.fields[1:]]
-    return df.select(key, text).mapInArrow(run, full)
+    return carried.withColumn("__text", F.col(f"`{text}`")).mapInArrow(run, full) if text in keys else docs.select(*[F.col(f"`{c}`") for c in [*keys, text]]).mapInArrow(run, full)
 
 
 def slices(sizes, most: int) -> Iterator[tuple[int, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -16,12 +17,33 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secret_spans
+
+    return digest(secret_spans(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
     return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import base_failed, quality
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    m = F.col("__m")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality(docs, ["doc_id", "lang", "source"]).select("doc_id", *[m[k].alias(k) for k in counts], base_failed(m).alias("base_failed"), F.col("__kept").alias("kept"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -29,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op7_matroska, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
