@@ -29,6 +29,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import report
+
+    return report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import media_digests
 
@@ -51,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op7_matroska, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op7_matroska, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
