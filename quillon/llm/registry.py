@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("url")
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import media_digests
 
@@ -57,8 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op7_matroska, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op6_warc, op7_matroska, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import warc
+
+    return {"op6_warc": warc.ORACLE_SQL}
