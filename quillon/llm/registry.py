@@ -47,6 +47,12 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, personal_spans
+
+    return digest(personal_spans(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import base_failed, quality
 
@@ -63,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op6_warc, op7_matroska, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
