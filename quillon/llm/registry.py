@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -69,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op5_toxicity, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
