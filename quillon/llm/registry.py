@@ -29,6 +29,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90).drop("node")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import report
 
@@ -75,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op4_mixing, op5_toxicity, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_jaccard, op4_mixing, op5_toxicity, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
