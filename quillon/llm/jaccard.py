@@ -26,7 +26,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
@@ -223,10 +223,14 @@ def distances(docs: DataFrame, pairs: DataFrame, ids: DataFrame, size: int, key:
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id, node`` of every row; links are pairs of sets with Jaccard index >= percent / 100."""
+    """``doc_id, n_shingles, component_id, root, body`` of every row; links are pairs of sets with Jaccard index >= percent / 100.
+
+    ``root`` names the component by a node and ``body`` is the hash of the text; ``doc_id`` is the column ``key``.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
-    sets = cut(map_texts(docs, partial(_sets, size, percent), "node long, n int, region array<long>", key, text))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("body"))
+    key, text = "doc_id", "text"
+    sets = cut(map_texts(docs, partial(_sets, size, percent), "node long, n int, region array<long>", [key, "body"], text))
     nodes = cut(sets.where("n > 0").groupBy("node").agg(F.min(key).alias("id"), F.any_value("n").alias("n"), F.any_value("region").alias("region")))
     ids = nodes.select("node", "id")
 
@@ -289,9 +293,19 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
 
     named = ids.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    label = named.join(names, "root").select("node", "component_id")
-    out = sets.select(key, "node", F.col("n").cast("long").alias("n_shingles")).join(label, "node", "left")
-    return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"), "node")
+    label = named.join(names, "root").select("node", "root", "component_id")
+    out = sets.select(key, "body", "node", F.col("n").cast("long").alias("n_shingles")).join(label, "node", "left")
+    return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"), "root", "body")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component one row with the smallest id stays, and every row with an empty set."""
+    found = jaccard_join(docs, size, percent, key, text)
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.body").alias("__body"), F.lit(True).alias("__one"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.lit(False).alias("__one")).distinct()
+    kept = docs.join(first.unionAll(empty), F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__body")))
+    again = F.row_number().over(Window.partitionBy("__id", "__body").orderBy("__one"))  # of repeated rows one stays
+    return kept.withColumn("__again", again).where("NOT __one OR __again = 1").select(*[docs[c] for c in docs.columns])
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:

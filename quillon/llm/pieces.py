@@ -72,8 +72,8 @@ class Pieces:
         self.shorter = [next((j for k in range(len(p) - 1, 0, -1) if (j := self.id.get(p[:k])) is not None), -1) for p in self.piece]
         self.fits: dict[tuple[int, int], bool] = {}
         #: Stretches met lately, in two generations: a full one becomes the older one.
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
     def merge(self, text: str) -> list[int]:
         """The merges themselves: best score first, then leftmost."""
@@ -171,28 +171,38 @@ class Pieces:
         text = raw.decode("utf-8", "replace")
         return text[1:] if first is not None and self.piece[first].startswith(MARK) else text
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """How many ids, and SHA-256 of the ids and of the decoded text; each stretch is encoded and decoded once."""
-        if not text:
-            none = hashlib.sha256(b"").hexdigest()
-            return 0, none, none
-        known = self.known
-        parts = self.stretches(text)
-        got = []
-        for s in parts:
+    def pieces_of(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """Ids, their decimal form and their bytes of each stretch of a text; equal stretches are encoded and decoded once."""
+        known, got = self.known, []
+        for s in self.stretches(text):
             if (x := known.get(s)) is None:
                 if (x := self.older.get(s)) is None:
                     ids = self.backtrack(s)
-                    x = (len(ids), ",".join(map(str, ids)), b"".join([self.raw[i] for i in ids]))
+                    x = (tuple(ids), ",".join(map(str, ids)), b"".join([self.raw[i] for i in ids]))
                 if len(s) <= LONGEST:
                     if len(known) >= REMEMBERED:
                         self.older, self.known = known, (known := {})
                     known[s] = x
             got.append(x)
-        count, ids, raw = zip(*got, strict=True)
+        return got
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """How many ids, and SHA-256 of the ids and of the decoded text."""
+        if not text:
+            none = hashlib.sha256(b"").hexdigest()
+            return 0, none, none
+        ids, decimal, raw = zip(*self.pieces_of(text), strict=True)
         back = b"".join(raw)
         back = back[1:] if back[:1] == b" " else back
-        return sum(count), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        return sum(map(len, ids)), hashlib.sha256(",".join(decimal).encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+
+    def ids_and_check(self, text: str | None) -> tuple[list[int], bool]:
+        """Ids, and whether they decode to the text; a space mark in it decodes to a space."""
+        if not text:
+            return [], True
+        got = self.pieces_of(text)
+        back = b"".join([x[2] for x in got])
+        return [i for x in got for i in x[0]], back == b" " + text.replace(MARK, " ").encode()
 
 
 @lru_cache(maxsize=1)
@@ -211,6 +221,11 @@ def _ids(path: str):
     return lambda texts: [(p.encode(x),) for x in texts]
 
 
+def _checked(path: str):
+    p = loaded(path)
+    return lambda texts: [(len(r[0]), *r) for r in map(p.ids_and_check, texts)]
+
+
 def _texts(path: str, ids_lists):
     p = loaded(path)
     for batch in ids_lists:
@@ -222,6 +237,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return map_texts(docs, partial(_ids, path), "ids array<int>", key, text)
 
 
+def encoded_checked(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns with ``n_tokens``, ``ids`` and ``decodes_back`` of every text."""
+    return map_texts(docs, partial(_checked, path), "n_tokens long, ids array<int>, decodes_back boolean", keep, text)
+
+
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """``key, text`` from ``key, ids``."""
     import pyarrow as pa

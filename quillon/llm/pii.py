@@ -200,15 +200,15 @@ def trained_on(rows: tuple) -> tuple[tuple, dict[str, float]]:
 
 
 def train(spark: SparkSession) -> tuple[tuple, dict[str, float]]:
-    made = candidates(examples(spark)).select("id", "label", "text", F.explode("more").alias("x")).select("id", "label", F.array(*features(F.col("x"), F.col("text"))).alias("f"))
+    made = candidates(examples(spark)).select("id", "label", "text", F.explode("__more").alias("x")).select("id", "label", F.array(*features(F.col("x"), F.col("text"))).alias("f"))
     return trained_on(tuple((r["label"], *r["f"]) for r in made.orderBy("id", "f").collect()))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` (checked) and ``more`` (not yet scored), arrays of kind, start, end, match."""
+    """``docs`` with ``__base`` (checked) and ``__more`` (not yet scored), arrays of kind, start, end, match."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[F.filter(found(t, k), VALID[k]) for k in BASE])
-    return docs.withColumn("base", base).withColumn("more", F.concat(*[found(t, k) for k in MORE]))
+    return docs.withColumn("__base", base).withColumn("__more", F.concat(*[found(t, k) for k in MORE]))
 
 
 def expression(t: tuple, f: Column) -> Column:
@@ -217,26 +217,26 @@ def expression(t: tuple, f: Column) -> Column:
     return F.when(f[t[0]] <= t[1], expression(t[2], f)).otherwise(expression(t[3], f))
 
 
-def selected(rows: DataFrame, trees: tuple, at: dict[str, float], text: str = "text") -> DataFrame:
-    """``rows`` with ``spans``: the base spans, and the candidates past their kind's threshold that touch none of them."""
+def selected(rows: DataFrame, trees: tuple, at: dict[str, float], text: str = "text", into: str = "spans") -> DataFrame:
+    """``rows`` with the spans: the base spans, and the candidates past their kind's threshold that touch none of them."""
 
     def passes(x: Column) -> Column:
         scored = F.aggregate(F.array(F.array(*features(x, F.col(text)))), F.lit(0.0), lambda s, f: s + sum((RATE * expression(t, f) for t in trees), F.lit(0.0)))
         limit = F.element_at(F.create_map(*[v for k, s in at.items() for v in (F.lit(k), F.lit(s))]), x["kind"])
         return scored >= limit
 
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.when(F.size("more") > 0, F.filter("more", lambda x: apart(x) & passes(x))).otherwise(F.col("more"))
-    slim = F.transform(F.concat("base", more), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.withColumn("spans", slim).drop("base", "more")
+    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    more = F.when(F.size("__more") > 0, F.filter("__more", lambda x: apart(x) & passes(x))).otherwise(F.col("__more"))
+    slim = F.transform(F.concat("__base", more), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return rows.withColumn(into, slim).drop("__base", "__more")
 
 
-def personal_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all but the text by default) and ``spans``: array of kind, start, end by kind and then start."""
+def personal_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "spans") -> DataFrame:
+    """The kept columns (all but the text by default) and the spans: array of kind, start, end by kind and then start."""
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     trees, at = train(docs.sparkSession)
-    slim = docs.select(*dict.fromkeys([*keep, text])).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    return selected(candidates(slim, "__t"), trees, at, "__t").select(*keep, "spans")
+    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return selected(candidates(slim, "__t"), trees, at, "__t", into).select(*[F.col(f"`{c}`") for c in keep], into)
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -32,7 +32,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90).drop("node")
+    return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90).drop("root", "body")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
