@@ -263,7 +263,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c))
     centre = probes.groupBy("token").agg(F.min_by(F.struct("node", "n", "l"), rank("node")).alias("c"))
     votes = probes.join(centre, "token").select("node", "n", "l", "c").where(fits(F.col("n"), F.col("c.n"), percent) & (F.col("node") != F.col("c.node")))
-    counts = votes.groupBy("node", "l", "c").agg(F.count(F.lit(1)).alias("k"))
+    counts = votes.groupBy("node", "l", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("l", "c.l"))
     star = counts.groupBy("node").agg(F.max_by(F.col("c.node"), F.struct("k", F.col("c.node"))).alias("b")).select(F.col("node").alias("a"), "b")
     star = cut(distances(docs, cut(star), ids, size, key, text))
     linked = star.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent))
