@@ -1,15 +1,454 @@
-"""The registered queries of the graph model and their SQL."""
+"""The registered queries of the graph model over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return queries()["impact_reverse"](spark, sf_dir)
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import names as N
+from ..operators import evaluation, graph, incremental, ranking, resolve
+from . import derive
+from .derive import read
 
-def queries():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SEEDS = ("geo.ASIA.NATION_2", "geo.EUROPE.NATION_3")
+FORWARD = ("sales.y1998#order_0(P)", "sales.y1997#order_1(F)", "sales.y1999#order_2(O)")
+NO_CTE = "plain "
 
 
-def oracle_sql():
-    return {}
+def query(name: str, sql: str | None = None):
+    """Registers a query; its SQL may use the derived views (symbols, edges, hints, weights)."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql.removeprefix(NO_CTE) if sql.startswith(NO_CTE) else f"WITH RECURSIVE {derive.SQL} {sql}"
+        return f
+
+    return put
+
+
+def micro(c, name: str):
+    return (F.floor(c * 1e6 + 0.5) / 1e6).alias(name)
+
+
+def seeds(spark: SparkSession, *fqns: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in fqns], "fqn string")
+
+
+# ---- traversal
+
+IMPACT = """, w AS (SELECT {a} AS node, {b} AS nxt, edge_type, confidence, weight * confidence AS s FROM edges JOIN weights ON wt = edge_type {where}),
+cap AS (SELECT node, nxt, s FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, nxt, edge_type) AS r FROM w) WHERE r <= 200),
+l0 AS (SELECT unnest([{seeds}]) AS node, 1.0::DOUBLE AS val),
+{levels}
+reached AS ({union})
+SELECT node AS fqn, floor(max(val) * 1000 + 0.5) / 1000 AS score, (arg_min(depth, struct_pack(a := -val, d := depth)))::INT AS depth FROM reached GROUP BY node"""
+
+
+def impact_sql(reverse: bool, of: tuple[str, ...] = SEEDS, depth: int = 5) -> str:
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    levels = "".join(f"l{k} AS (SELECT nxt AS node, max(val * s) AS val FROM l{k - 1} JOIN cap USING (node) WHERE val * s >= 0.15 AND nxt NOT IN (SELECT node FROM l0) GROUP BY nxt),\n" for k in range(1, depth + 1))
+    union = " UNION ALL ".join(f"SELECT node, val, {k} AS depth FROM l{k}" for k in range(1, depth + 1))
+    return IMPACT.format(a=a, b=b, where="", seeds=", ".join(f"'{x}'" for x in of), levels=levels, union=union)
+
+
+@query("impact_reverse", impact_sql(True))
+def impact_reverse(spark, d):
+    return graph.impact(derive.edges(spark, d), seeds(spark, *SEEDS))
+
+
+@query("impact_forward", impact_sql(False, FORWARD))
+def impact_forward(spark, d):
+    return graph.impact(derive.edges(spark, d), seeds(spark, *FORWARD), reverse=False)
+
+
+@query("fan_out_cap", """, r AS (SELECT dst AS node, src AS nxt, edge_type, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, src, edge_type) AS r FROM edges)
+SELECT node, count(*) AS n, min(confidence) AS least FROM r WHERE r <= 20 GROUP BY node""")
+def fan_out_cap(spark, d):
+    steps = graph.capped(graph.weighted(derive.edges(spark, d)), 20)
+    return steps.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("least"))
+
+
+@query("reachable", """, r(fqn, depth) AS (SELECT 'geo.ASIA' AS fqn, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = fqn WHERE depth < 3)
+SELECT fqn, min(depth)::INT AS depth FROM r WHERE fqn <> 'geo.ASIA' GROUP BY fqn""")
+def reachable(spark, d):
+    return graph.reachable(derive.edges(spark, d), seeds(spark, "geo.ASIA"), 3)
+
+
+@query("supertypes", """, p AS (SELECT DISTINCT src AS fqn, dst AS ancestor FROM edges WHERE edge_type IN ('extends', 'implements')),
+r(fqn, ancestor, depth) AS (SELECT fqn, ancestor, 1 FROM p UNION SELECT r.fqn, p.ancestor, depth + 1 FROM r JOIN p ON p.fqn = r.ancestor WHERE depth < 8)
+SELECT fqn, ancestor, min(depth)::INT AS depth FROM r GROUP BY fqn, ancestor""")
+def supertypes(spark, d):
+    return graph.supertypes(derive.edges(spark, d))
+
+
+@query("symbol_detail", """SELECT 'in' AS way, edge_type, src AS other, confidence FROM edges WHERE dst = 'geo.ASIA.NATION_2' UNION ALL SELECT 'out', edge_type, dst, confidence FROM edges WHERE src = 'geo.ASIA.NATION_2'""")
+def symbol_detail(spark, d):
+    e = derive.edges(spark, d)
+    return e.where(F.col("dst") == SEEDS[0]).select(F.lit("in").alias("way"), "edge_type", F.col("src").alias("other"), "confidence").unionByName(e.where(F.col("src") == SEEDS[0]).select(F.lit("out").alias("way"), "edge_type", F.col("dst").alias("other"), "confidence"))
+
+
+# ---- projections and predicates
+
+
+@query("live_symbols", "SELECT kind, count(*) AS n FROM symbols WHERE NOT deleted GROUP BY kind")
+def live_symbols(spark, d):
+    return derive.symbols(spark, d).where(~F.col("deleted")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("file_facts", "SELECT file_path, count(*) AS n, min(start_line) AS first_line FROM symbols WHERE NOT deleted GROUP BY file_path")
+def file_facts(spark, d):
+    return derive.symbols(spark, d).where(~F.col("deleted")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
+
+
+@query("test_and_frontend", """SELECT file_path LIKE '%/test/%' OR contains(file_path, 'Test.') OR contains(file_path, '.spec.') OR contains(file_path, '.test.') OR contains(fqn, '#test') OR contains(fqn, 'Test#') AS is_test,
+ file_path LIKE '%.ts' OR file_path LIKE '%.tsx' OR file_path LIKE '%.jsx' OR file_path LIKE '%.js' AS is_frontend, count(*) AS n FROM symbols GROUP BY 1, 2""")
+def test_and_frontend(spark, d):
+    s = derive.symbols(spark, d)
+    return s.groupBy(N.is_test(F.col("file_path"), F.col("fqn")).alias("is_test"), N.is_frontend(F.col("file_path")).alias("is_frontend")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("body_change_edges", "SELECT edge_type, edge_type IN ('reads', 'writes', 'persists', 'emits', 'calls', 'calls_graphql', 'calls_http') AS body, count(*) AS n FROM edges GROUP BY 1, 2")
+def body_change_edges(spark, d):
+    return derive.edges(spark, d).groupBy("edge_type", F.col("edge_type").isin(*graph.BODY).alias("body")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("find_symbols", "SELECT fqn FROM symbols WHERE NOT deleted AND (lower(fqn) LIKE '%#customer_1(%' OR lower(fqn) = 'geo.asia') ORDER BY length(fqn), fqn LIMIT 25")
+def find_symbols(spark, d):
+    low = F.lower("fqn")
+    return derive.symbols(spark, d).where(~F.col("deleted") & (low.contains("#customer_1(") | (low == "geo.asia"))).orderBy(F.length("fqn"), "fqn").limit(25).select("fqn")
+
+
+@query("members_of", "SELECT fqn FROM symbols WHERE starts_with(fqn, 'geo.ASIA.NATION_2#') OR starts_with(fqn, 'geo.ASIA.NATION_2.') OR starts_with(fqn, 'geo.ASIA.NATION_2::')")
+def members_of(spark, d):
+    f = F.col("fqn")
+    return derive.symbols(spark, d).where(f.startswith(SEEDS[0] + "#") | f.startswith(SEEDS[0] + ".") | f.startswith(SEEDS[0] + "::")).select("fqn")
+
+
+@query("symbol_at", """SELECT file_path, line, fqn FROM (SELECT s.file_path, q.line, s.fqn, row_number() OVER (PARTITION BY s.file_path, q.line ORDER BY q.line - s.start_line, s.fqn) AS r
+ FROM symbols s JOIN (SELECT DISTINCT file_path, 500 AS line FROM symbols) q ON q.file_path = s.file_path AND q.line BETWEEN s.start_line AND s.start_line + 100) WHERE r = 1""")
+def symbol_at(spark, d):
+    s = derive.symbols(spark, d)
+    hit = s.where(F.lit(500).between(F.col("start_line"), F.col("start_line") + 100)).withColumn("line", F.lit(500))
+    return ranking.top(hit, "file_path", [500 - F.col("start_line"), F.col("fqn")], 1).select("file_path", "line", "fqn")
+
+
+# ---- joins and set operations
+
+
+@query("edges_into", "SELECT e.src, s.file_path, e.edge_type, e.site_line, e.confidence FROM edges e JOIN symbols s ON s.fqn = e.src WHERE e.dst IN ('geo.ASIA.NATION_2', 'geo.EUROPE.NATION_3')")
+def edges_into(spark, d):
+    e = derive.edges(spark, d).where(F.col("dst").isin(*SEEDS))
+    s = derive.symbols(spark, d).select("fqn", "file_path")
+    return e.join(s, e["src"] == s["fqn"]).select("src", "file_path", "edge_type", "site_line", "confidence")
+
+
+@query("all_edges", ", t AS (SELECT fqn, kind FROM symbols WHERE NOT deleted) SELECT a.kind AS src_kind, b.kind AS dst_kind, e.edge_type, count(*) AS n FROM edges e JOIN t a ON a.fqn = e.src LEFT JOIN t b ON b.fqn = e.dst GROUP BY 1, 2, 3")
+def all_edges(spark, d):
+    t = derive.symbols(spark, d).where(~F.col("deleted")).select("fqn", "kind")
+    a, b = t.select(F.col("fqn").alias("src"), F.col("kind").alias("src_kind")), t.select(F.col("fqn").alias("dst"), F.col("kind").alias("dst_kind"))
+    return derive.edges(spark, d).join(a, "src").join(b, "dst", "left").groupBy("src_kind", "dst_kind", "edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("symbol_facts", "SELECT c.fqn, c.kind, p.kind AS parent_kind FROM symbols c LEFT JOIN symbols p ON p.fqn = c.parent_fqn WHERE c.kind <> 'method'")
+def symbol_facts(spark, d):
+    s = derive.symbols(spark, d)
+    p = s.select(F.col("fqn").alias("parent_fqn"), F.col("kind").alias("parent_kind"))
+    return s.where("kind <> 'method'").join(p, "parent_fqn", "left").select("fqn", "kind", "parent_kind")
+
+
+@query("neighbours_of_files", """, own AS (SELECT fqn FROM symbols WHERE file_path LIKE 'geo/ASIA/NATION_2%') SELECT fqn FROM own UNION SELECT src FROM edges WHERE dst IN (SELECT fqn FROM own) UNION SELECT dst FROM edges WHERE src IN (SELECT fqn FROM own)""")
+def neighbours_of_files(spark, d):
+    own = derive.symbols(spark, d).where(F.col("file_path").startswith("geo/ASIA/NATION_2")).select("fqn")
+    e = derive.edges(spark, d)
+    into = e.join(own, e["dst"] == own["fqn"], "left_semi").select(F.col("src").alias("fqn"))
+    out = e.join(own, e["src"] == own["fqn"], "left_semi").select(F.col("dst").alias("fqn"))
+    return own.union(into).union(out).distinct()
+
+
+RESOLVE = """, s AS (SELECT DISTINCT fqn FROM symbols),
+k AS (SELECT fqn AS hint, fqn AS dst, 0 AS rank, 'exact' AS tier, 1 AS most, 1.0 AS base FROM s UNION ALL SELECT split_part(fqn, '(', 1), fqn, 1, 'prefix', 4, 0.9 FROM s
+ UNION ALL SELECT regexp_replace(split_part(fqn, '(', 1), '^.*\\.', ''), fqn, 2, 'simple', 1, 0.7 FROM s UNION ALL SELECT regexp_replace(split_part(fqn, '(', 1), '^.*#', ''), fqn, 3, 'member', 4, 0.6 FROM s),
+c AS (SELECT *, count(*) OVER (PARTITION BY hint, rank) AS n FROM k), ok AS (SELECT *, min(rank) OVER (PARTITION BY hint) AS top FROM c WHERE n <= most), best AS (SELECT * FROM ok WHERE rank = top),
+r AS (SELECT h.src, h.edge_type, h.site_line, h.hint, h.truth, b.dst, coalesce(b.tier, CASE WHEN starts_with(h.hint, 'org.') THEN 'external' ELSE 'unresolved' END) AS resolution, coalesce(b.base / b.n, 0)::DOUBLE AS confidence FROM hints h LEFT JOIN best b USING (hint))
+"""
+
+
+@query("resolve_ladder", RESOLVE + "SELECT edge_type, resolution, count(*) AS n, count(DISTINCT dst) AS targets, floor(min(confidence) * 1e6 + 0.5) / 1e6 AS least FROM r GROUP BY 1, 2")
+def resolve_ladder(spark, d):
+    r = resolve.resolve(derive.hints(derive.edges(spark, d)), derive.symbols(spark, d))
+    return r.groupBy("edge_type", "resolution").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("targets"), micro(F.min("confidence"), "least"))
+
+
+@query("edges_by_resolution", RESOLVE + ", site AS (SELECT src, site_line, hint, min(CASE resolution WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 WHEN 'simple' THEN 2 WHEN 'member' THEN 3 WHEN 'external' THEN 4 ELSE 5 END) AS tier FROM r GROUP BY 1, 2, 3) SELECT tier::INT AS tier, count(*) AS n FROM site GROUP BY tier")
+def edges_by_resolution(spark, d):
+    r = resolve.resolve(derive.hints(derive.edges(spark, d)), derive.symbols(spark, d))
+    tier = F.array_position(F.array(*map(F.lit, ("exact", "prefix", "simple", "member", "external", "unresolved"))), F.col("resolution")) - 1
+    return r.groupBy("src", "site_line", "hint").agg(F.min(tier).cast("int").alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("edge_accuracy", RESOLVE + ", j AS (SELECT resolution AS tier, confidence, dst = truth AS correct FROM r WHERE dst IS NOT NULL), b AS (SELECT tier, floor(confidence * 1000 + 0.5)::BIGINT AS claimed, count(*) AS n, sum(correct::INT)::BIGINT AS hits FROM j GROUP BY 1, 2) SELECT tier, claimed, n, floor(hits / n * 1e6 + 0.5) / 1e6 AS measured, floor((hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) * 1e6 + 0.5) / 1e6 AS low, floor((hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) * 1e6 + 0.5) / 1e6 AS high FROM b")
+def edge_accuracy(spark, d):
+    h = derive.hints(derive.edges(spark, d))
+    r = resolve.resolve(h, derive.symbols(spark, d)).where("dst IS NOT NULL")
+    truth = h.select("src", "edge_type", "site_line", "hint", "truth")
+    # an edge's hint and site may stand for several targets; each is judged against its own truth
+    joined = h.join(r.select("hint", "dst", "resolution", "confidence").distinct(), "hint")
+    del truth
+    c = evaluation.calibration(joined.select(F.col("resolution").alias("tier"), "confidence", (F.col("dst") == F.col("truth")).alias("correct")))
+    return c.select("tier", "claimed", "n", micro(F.col("measured"), "measured"), micro(F.col("low"), "low"), micro(F.col("high"), "high"))
+
+
+@query("edge_counts", "SELECT count(*) AS sites, sum(hit)::BIGINT AS resolved FROM (SELECT src, site_line, hint, max((site_line % 5 < 4)::INT) AS hit FROM hints GROUP BY 1, 2, 3)")
+def edge_counts(spark, d):
+    h = derive.hints(derive.edges(spark, d))
+    return h.groupBy("src", "site_line", "hint").agg(F.max((F.col("site_line") % 5 < 4).cast("int")).alias("hit")).agg(F.count(F.lit(1)).alias("sites"), F.sum("hit").alias("resolved"))
+
+
+@query("package_root", ", p AS (SELECT regexp_extract(fqn, '^[^.]+\\.[^.#]+') AS root, count(*) AS n FROM symbols GROUP BY 1) SELECT root, n FROM p WHERE n * 10 > (SELECT sum(n) FROM p)")
+def package_root(spark, d):
+    p = derive.symbols(spark, d).groupBy(F.regexp_extract("fqn", r"^[^.]+\.[^.#]+", 0).alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    total = p.agg(F.sum("n").alias("total"))
+    return p.crossJoin(F.broadcast(total)).where(F.col("n") * 10 > F.col("total")).select("root", "n")
+
+
+@query("stale_callers", ", ch AS (SELECT fqn FROM symbols WHERE kind = 'class') SELECT dst AS fqn, count(DISTINCT src) AS callers FROM edges WHERE dst IN (SELECT fqn FROM ch) AND src NOT IN (SELECT fqn FROM ch) GROUP BY dst HAVING count(DISTINCT src) >= 3")
+def stale_callers(spark, d):
+    ch = derive.symbols(spark, d).where("kind = 'class'").select("fqn")
+    e = derive.edges(spark, d)
+    hit = e.join(ch, e["dst"] == ch["fqn"], "left_semi").join(ch, e["src"] == ch["fqn"], "left_anti")
+    return hit.groupBy(F.col("dst").alias("fqn")).agg(F.count_distinct("src").alias("callers")).where("callers >= 3")
+
+
+@query("seam_crossing", ", f AS (SELECT fqn, file_path LIKE '%.ts' AS front FROM symbols) SELECT a.front AS src_front, b.front AS dst_front, count(*) AS n FROM edges JOIN f a ON a.fqn = src JOIN f b ON b.fqn = dst WHERE a.front <> b.front GROUP BY 1, 2")
+def seam_crossing(spark, d):
+    f = derive.symbols(spark, d).select("fqn", N.is_frontend(F.col("file_path")).alias("front"))
+    a, b = f.select(F.col("fqn").alias("src"), F.col("front").alias("src_front")), f.select(F.col("fqn").alias("dst"), F.col("front").alias("dst_front"))
+    return derive.edges(spark, d).join(a, "src").join(b, "dst").where("src_front <> dst_front").groupBy("src_front", "dst_front").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("self_invocation", "SELECT e.src, e.dst FROM edges e JOIN symbols a ON a.fqn = e.src JOIN symbols b ON b.fqn = e.dst WHERE a.parent_fqn = b.parent_fqn OR a.parent_fqn = b.fqn")
+def self_invocation(spark, d):
+    s = derive.symbols(spark, d).select("fqn", "parent_fqn")
+    a, b = s.select(F.col("fqn").alias("src"), F.col("parent_fqn").alias("pa")), s.select(F.col("fqn").alias("dst"), F.col("parent_fqn").alias("pb"))
+    return derive.edges(spark, d).join(a, "src").join(b, "dst").where((F.col("pa") == F.col("pb")) | (F.col("pa") == F.col("dst"))).select("src", "dst")
+
+
+# ---- names
+
+
+@query("name_functions", """SELECT fqn, split_part(fqn, '(', 1) AS prefix, regexp_replace(split_part(fqn, '(', 1), '^.*\\.', '') AS simple, regexp_replace(split_part(fqn, '(', 1), '^.*#', '') AS member,
+ regexp_replace(regexp_replace(lower(fqn), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, ceil(strlen(fqn) / 3.5)::BIGINT AS tokens, substr(sha256(fqn), 1, 32) AS hash FROM symbols""")
+def name_functions(spark, d):
+    f = F.col("fqn")
+    return derive.symbols(spark, d).select("fqn", N.prefix_of(f).alias("prefix"), N.simple_key(f).alias("simple"), N.member_name(f).alias("member"), N.slug(f).alias("slug"), N.estimate_tokens(f).alias("tokens"), N.content_hash(f).alias("hash"))
+
+
+@query("subject_prefixes", ", p AS (SELECT fqn, regexp_extract_all(fqn, '[:.#/(]*[^:.#/(]+') AS x FROM symbols) SELECT fqn, unnest(list_transform(range(1, len(x) + 1), lambda i: array_to_string(x[1:i], ''))) AS subject FROM p")
+def subject_prefixes(spark, d):
+    return derive.symbols(spark, d).select("fqn", F.explode(N.subject_prefixes(F.col("fqn"))).alias("subject"))
+
+
+@query("facts_for_seeds", """, facts AS (SELECT 'arch.' || p_partkey AS fact_key, CASE p_size % 3 WHEN 0 THEN 'catalog.' || p_brand WHEN 1 THEN 'catalog' ELSE 'catalog.' || p_brand || '#part_' || p_partkey END AS subject FROM part),
+sd AS (SELECT unnest(['catalog.Brand#12#part_1(3)', 'catalog.Brand#11']) AS seed), anc AS (SELECT seed, unnest(list_transform(range(1, len(x) + 1), lambda i: array_to_string(x[1:i], ''))) AS subject FROM (SELECT seed, regexp_extract_all(seed, '[:.#/(]*[^:.#/(]+') AS x FROM sd))
+SELECT seed, fact_key FROM anc JOIN facts USING (subject) UNION SELECT seed, fact_key FROM sd JOIN facts ON starts_with(subject, seed)""")
+def facts_for_seeds(spark, d):
+    p = read(spark, d, "part")
+    brand = F.concat(F.lit("catalog."), "p_brand")
+    subject = F.when(F.col("p_size") % 3 == 0, brand).when(F.col("p_size") % 3 == 1, F.lit("catalog")).otherwise(F.concat(brand, F.lit("#part_"), F.col("p_partkey").cast("string")))
+    facts = p.select(F.concat(F.lit("arch."), F.col("p_partkey").cast("string")).alias("fact_key"), subject.alias("subject"))
+    s = seeds(spark, "catalog.Brand#12#part_1(3)", "catalog.Brand#11").withColumnRenamed("fqn", "seed")
+    above = s.select("seed", F.explode(N.subject_prefixes(F.col("seed"))).alias("subject")).join(facts, "subject").select("seed", "fact_key")
+    below = facts.join(F.broadcast(s), F.col("subject").startswith(F.col("seed"))).select("seed", "fact_key")
+    return above.union(below).distinct()
+
+
+# ---- text ranking
+
+
+BM25 = """, q0 AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 20 = 0), q AS (SELECT query_id, term, count(*) AS times FROM q0 GROUP BY 1, 2),
+d0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d0), ex AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d0),
+tf AS (SELECT term, doc_id, len, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
+SELECT query_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1e4 + 0.5) DESC, doc_id) AS r FROM s) WHERE r <= 10"""
+
+
+@query("bm25_top10", BM25)
+def bm25_top10(spark, d):
+    queries = read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    s = ranking.bm25(read(spark, d, "documents"), queries).withColumn("score", F.floor(F.col("score") * 1e4 + 0.5) / 1e4)
+    return ranking.top(s, "query_id", [F.desc("score"), F.col("doc_id")], 10).select("query_id", "doc_id", "score")
+
+
+@query("churn", NO_CTE + "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, floor(ln(n + 1) / ln((SELECT max(n) FROM n) + 1) * 1e6 + 0.5) / 1e6 AS churn FROM n")
+def churn(spark, d):
+    return ranking.churn(read(spark, d, "events"), "user_id").select("user_id", micro(F.col("churn"), "churn"))
+
+
+@query("query_overlap", """, b AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4)) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT item_id) AS df FROM b GROUP BY 1)
+SELECT item_id, count(DISTINCT term) AS overlap FROM b JOIN df USING (term) WHERE df * 2 < (SELECT count(*) FROM benchmark) GROUP BY 1""")
+def query_overlap(spark, d):
+    b = read(spark, d, "benchmark")
+    t = b.select("item_id", F.explode(F.filter(N.terms(F.col("text")), lambda x: F.length(x) >= 4)).alias("term")).distinct()
+    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = b.agg(F.count(F.lit(1)).alias("n"))
+    return t.join(df, "term").crossJoin(F.broadcast(n)).where("df * 2 < n").groupBy("item_id").agg(F.count(F.lit(1)).alias("overlap"))
+
+
+@query("rank_score", NO_CTE + "SELECT o_orderkey AS item, floor((1.0 * (o_orderkey % 2) + 0.8 * (o_orderkey % 10) / 10 + 0.3 * (o_orderkey % 7) / 7 - 0.4 * least(greatest(o_totalprice / 400000, 0), 1)) * 1e4 + 0.5) / 1e4 AS score FROM orders")
+def rank_score(spark, d):
+    k = F.col("o_orderkey")
+    s = ranking.score(seed=(k % 2).cast("double"), graph=(k % 10) / 10, churn=(k % 7) / 7, cost=F.col("o_totalprice") / 400000)
+    return read(spark, d, "orders").select(k.alias("item"), (F.floor(s * 1e4 + 0.5) / 1e4).alias("score"))
+
+
+@query("fact_relevance", NO_CTE + "SELECT p_partkey, floor((1.0 / (1 + p_size % 4)) * (CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.7 END) * (CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.6 END) * greatest(least(exp(-p_size / 40.0), 1.0), 0.05) * 0.9 * 1e6 + 0.5) / 1e6 AS relevance FROM part")
+def fact_relevance(spark, d):
+    z = F.col("p_size")
+    source = F.when(z % 3 == 0, "human").when(z % 3 == 1, "deterministic").otherwise("model")
+    state = F.when(z % 5 == 0, "durable").when(z % 5 == 1, "validated").otherwise("candidate")
+    return read(spark, d, "part").select("p_partkey", micro(ranking.relevance(1.0 / (1 + z % 4), source, state, z, F.lit(0.9)), "relevance"))
+
+
+@query("budget_fill")
+def budget_fill(spark, d):
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    c = o.select(F.col("o_custkey").alias("request_id"), k.cast("string").alias("item"), ((k % 97) / 97).alias("score"), (k % 50 + 1).alias("tokens"), F.col("o_orderstatus").alias("component"), k.alias("position"))
+    return ranking.filled(c, 100)
+
+
+# ---- snapshots, findings, facts
+
+SNAP = """, old AS (SELECT source || '/' || doc_id AS fqn, md5(lang) AS sig_hash, md5(text) AS body_hash FROM documents WHERE doc_id % 5 <> 0),
+new AS (SELECT source || '/' || doc_id AS fqn, md5(CASE WHEN doc_id % 7 = 0 THEN lang || '!' ELSE lang END) AS sig_hash, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' ' ELSE text END) AS body_hash FROM documents WHERE doc_id % 4 <> 0)
+"""
+
+
+@query("symbol_diff", SNAP + """SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.fqn IS NULL THEN 'added' WHEN n.fqn IS NULL THEN 'removed' WHEN o.sig_hash <> n.sig_hash AND o.body_hash <> n.body_hash THEN 'api_and_body' WHEN o.sig_hash <> n.sig_hash THEN 'api' WHEN o.body_hash <> n.body_hash THEN 'body' END AS change FROM old o FULL JOIN new n ON o.fqn = n.fqn) WHERE change IS NOT NULL GROUP BY change""")
+def symbol_diff(spark, d):
+    t = read(spark, d, "documents").withColumn("fqn", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    i = F.col("doc_id")
+    old = t.where(i % 5 != 0).select("fqn", F.md5("lang").alias("sig_hash"), F.md5("text").alias("body_hash"))
+    new = t.where(i % 4 != 0).select("fqn", F.md5(F.when(i % 7 == 0, F.concat("lang", F.lit("!"))).otherwise(F.col("lang"))).alias("sig_hash"), F.md5(F.when(i % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("body_hash"))
+    return incremental.symbol_diff(old, new).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("file_renames", NO_CTE + """WITH a AS (SELECT source || '/' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source || '/' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 2 = 1)
+SELECT a.path AS old_path, b.p AS new_path FROM (SELECT min(path) AS path, h FROM a GROUP BY h HAVING count(*) = 1) a JOIN (SELECT h, max(path) AS p FROM b GROUP BY h) b USING (h)""")
+def file_renames(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.md5("text").alias("content_hash"))
+    return incremental.file_renames(t.where("doc_id % 2 = 0").drop("doc_id"), t.where("doc_id % 2 = 1").drop("doc_id"))
+
+
+@query("symbol_renames", NO_CTE + """WITH a AS (SELECT lang AS name, source AS fqn, md5(text) AS b FROM documents WHERE doc_id % 2 = 0), c AS (SELECT lang AS name, source || '!' AS fqn, md5(text) AS b FROM documents WHERE doc_id % 2 = 1)
+SELECT x.fqn AS old_fqn, y.fqn AS new_fqn FROM (SELECT name, b, min(fqn) AS fqn FROM a GROUP BY 1, 2 HAVING count(*) = 1) x JOIN (SELECT name, b, min(fqn) AS fqn FROM c GROUP BY 1, 2 HAVING count(*) = 1) y USING (name, b)""")
+def symbol_renames(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.col("lang").alias("name"), F.col("source").alias("fqn"), F.lit("s").alias("sig_hash"), F.md5("text").alias("body_hash"))
+    return incremental.renames(t.where("doc_id % 2 = 0").drop("doc_id"), t.where("doc_id % 2 = 1").drop("doc_id").withColumn("fqn", F.concat("fqn", F.lit("!"))))
+
+
+@query("upsert", NO_CTE + "SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, CASE WHEN b.k IS NOT NULL THEN false ELSE a.deleted END AS deleted FROM (SELECT c_custkey AS k, c_acctbal AS v, c_custkey % 3 = 0 AS deleted FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0) b ON a.k = b.k")
+def upsert(spark, d):
+    c = read(spark, d, "customer")
+    k = F.col("c_custkey")
+    stored = c.where(k % 2 == 0).select(k.alias("k"), F.col("c_acctbal").alias("v"), (k % 3 == 0).alias("deleted"))
+    return incremental.upsert(stored, c.where(k % 5 == 0).select(k.alias("k"), (F.col("c_acctbal") + 1).alias("v"), F.lit(False).alias("deleted")), "k")
+
+
+@query("replace_symbols", NO_CTE + """WITH x AS (SELECT p_brand AS fqn, p_type AS file_path, CASE WHEN p_size % 4 = 0 THEN 'declares' ELSE 'implements' END AS authority, p_partkey % 2 AS new FROM part)
+SELECT fqn, file_path, authority FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY CASE WHEN authority = 'declares' THEN 0 ELSE 1 END, new DESC, file_path) AS r FROM x) WHERE r = 1""")
+def replace_symbols(spark, d):
+    p = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("fqn"), F.col("p_type").alias("file_path"), F.when(F.col("p_size") % 4 == 0, "declares").otherwise("implements").alias("authority"))
+    return incremental.replace_symbols(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 2 = 1").drop("p_partkey"))
+
+
+@query("finding_lifecycle", NO_CTE + """WITH g AS (SELECT u.user_id AS fingerprint, s.scan_id FROM (SELECT DISTINCT user_id FROM events) u, range(1, 31) s(scan_id)), p AS (SELECT DISTINCT user_id, day(ts) AS scan_id FROM events WHERE event_type = 'error'),
+x AS (SELECT g.fingerprint, g.scan_id, p.user_id IS NOT NULL AS present FROM g LEFT JOIN p ON p.user_id = g.fingerprint AND p.scan_id = g.scan_id),
+w AS (SELECT *, lag(present) OVER (PARTITION BY fingerprint ORDER BY scan_id) AS before, coalesce(max(present::INT) OVER (PARTITION BY fingerprint ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS ever FROM x)
+SELECT fingerprint, scan_id::INT AS scan_id, CASE WHEN present AND NOT ever THEN 'NEW' WHEN present AND before THEN 'RECURRING' WHEN present THEN 'REGRESSED' WHEN before THEN 'FIXED' ELSE 'ABSENT' END AS status FROM w WHERE present OR ever""")
+def finding_lifecycle(spark, d):
+    e = read(spark, d, "events")
+    grid = e.select(F.col("user_id").alias("fingerprint")).distinct().withColumn("scan_id", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    hit = e.where("event_type = 'error'").select(F.col("user_id").alias("fingerprint"), F.dayofmonth("ts").alias("scan_id")).distinct().withColumn("hit", F.lit(True))
+    return incremental.lifecycle(grid.join(hit, ["fingerprint", "scan_id"], "left").select("fingerprint", "scan_id", F.coalesce("hit", F.lit(False)).alias("present")))
+
+
+@query("fact_versions", NO_CTE + "SELECT p_brand || p_type AS fact_key, p_partkey AS scan_id, p_name AS claim, lead(p_partkey) OVER w AS superseded_by, lead(p_partkey) OVER w IS NULL AS live FROM part WINDOW w AS (PARTITION BY p_brand || p_type ORDER BY p_partkey)")
+def fact_versions(spark, d):
+    return incremental.fact_versions(read(spark, d, "part").select(F.concat("p_brand", "p_type").alias("fact_key"), F.col("p_partkey").alias("scan_id"), F.col("p_name").alias("claim")))
+
+
+@query("fact_durable", NO_CTE + "WITH v AS (SELECT DISTINCT user_id AS fact_key, day(ts)::INT AS scan_id FROM events WHERE event_type = 'view') SELECT fact_key, scan_id, count(*) OVER w AS survived, count(*) OVER w >= 3 AS durable FROM v WINDOW w AS (PARTITION BY fact_key ORDER BY scan_id ROWS UNBOUNDED PRECEDING)")
+def fact_durable(spark, d):
+    return incremental.durable(read(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("fact_key"), F.dayofmonth("ts").alias("scan_id")))
+
+
+@query("latest_occurrence", NO_CTE + "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_occurrence(spark, d):
+    return ranking.top(read(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 1).select("user_id", "event_id", "event_type")
+
+
+@query("findings_order", NO_CTE + "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank FROM orders ORDER BY rank, o_totalprice DESC, o_orderkey LIMIT 100")
+def findings_order(spark, d):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    return read(spark, d, "orders").withColumn("rank", rank).orderBy("rank", F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "rank")
+
+
+@query("worst_finding", NO_CTE + "SELECT o_custkey AS component, max(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 WHEN 'P' THEN 0.5 ELSE 0 END)::DOUBLE AS worst FROM orders GROUP BY 1")
+def worst_finding(spark, d):
+    w = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.8).when(F.col("o_orderstatus") == "P", 0.5).otherwise(0.0)
+    return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.max(w).alias("worst"))
+
+
+@query("calibration_error", NO_CTE + """WITH j AS (SELECT (n_chars % 100) / 100.0 AS c, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), b AS (SELECT least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS c, avg(y) AS y, sum((c - y) * (c - y)) AS sq FROM j GROUP BY 1)
+SELECT floor(sum(sq) / sum(n) * 1e6 + 0.5) / 1e6 AS brier, floor(sum(n * abs(c - y)) / sum(n) * 1e6 + 0.5) / 1e6 AS ece FROM b""")
+def calibration_error(spark, d):
+    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    e = evaluation.brier_ece(j.select(((F.col("n_chars") % 100) / 100.0).alias("confidence"), F.col("quality").alias("correct")))
+    return e.select(micro(F.col("brier"), "brier"), micro(F.col("ece"), "ece"))
+
+
+@query("benchmark_medians", NO_CTE + "SELECT o_orderpriority AS task, floor(median(o_totalprice) * 100 + 0.5) / 100 AS cost, count(*) AS n FROM orders GROUP BY 1")
+def benchmark_medians(spark, d):
+    cost = F.floor(F.percentile("o_totalprice", 0.5) * 100 + 0.5) / 100
+    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(cost.alias("cost"), F.count(F.lit(1)).alias("n"))
+
+
+@query("working_tree_hash", NO_CTE + "SELECT sha256(string_agg(source || '/' || doc_id || chr(9) || md5(text), chr(10) ORDER BY source || '/' || doc_id || chr(9) || md5(text))) AS digest FROM documents WHERE source = 'src1'")
+def working_tree_hash(spark, d):
+    line = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"))
+    return read(spark, d, "documents").where("source = 'src1'").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+@query("language_shares", NO_CTE + "SELECT lang, count(*) AS n, floor(count(*) * 1e6 / (SELECT count(*) FROM documents) + 0.5) / 1e6 AS share FROM documents GROUP BY lang")
+def language_shares(spark, d):
+    g = read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("total", F.sum("n").over(Window.partitionBy())).select("lang", "n", micro(F.col("n") / F.col("total"), "share"))
+
+
+@query("deleted_files", NO_CTE + "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def deleted_files(spark, d):
+    t = read(spark, d, "documents").select("doc_id")
+    return t.where("doc_id % 2 = 0").join(t.where("doc_id % 3 = 0"), "doc_id", "left_anti")
+
+
+@query("ui_strings", NO_CTE + "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS links FROM pages")
+def ui_strings(spark, d):
+    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_reverse(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
