@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 #: Texts are handed to Python code in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

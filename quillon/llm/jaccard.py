@@ -37,7 +37,7 @@ LONGEST_L, COMMON, MOST_COMMON = 6, 48, 500_000
 #: Bits of the filter that thins out texts before they are shuffled for an exact check.
 FILTER_BITS = 1 << 24
 #: Words remembered by a worker.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class Memo(dict):
