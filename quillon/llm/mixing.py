@@ -134,7 +134,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     one = rounded(parts.where(open_).select(key, "source", F.col("total").alias("size"), (F.col("part") * F.col("total")).alias("mass")))
     back = aimed(one.select("key.*", F.col("one").cast("long").alias("one")))
     rest = parts.where(~open_).withColumn("one", F.lit(0).cast("long"))
-    cols = ["doc_id", "source", "body", "size", "repeats", "source_size", "target", (F.col("whole") + F.col("one")).alias("copies")]
+    cols = ["doc_id", "source", "body", "size", "repeats", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("one")).otherwise(F.lit(0).cast("long")).alias("copies")]
     return back.select(*cols).unionByName(rest.select(*cols))
 
 

@@ -1,0 +1,305 @@
+"""The operators against plain versions, round trips and edge cases."""
+
+import gzip
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from quillon.llm import jaccard, matroska, mixing, pieces, pii, quality, secrets, token_counts, toxicity, warc  # noqa: E402
+from quillon.llm.components import components  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "  ", "   a", "a  b   c    d", " \n \t x", "亜é漢字 hello", "🙂🙂 ok", "▁▁x ▁y", "<s> </s> <unk> <0x0A>", "a\x00b", "x" * 3000, " " * 100, "foo<|endoftext|>bar  <|endoftext|> baz\n<|endoftext|>\n\n x", "a\x85b \x85 c\x1c\x1d d", "don't  stop\n\n\nhere's 12345 $$$###"]
+
+
+def texts(n=400, alphabet=" \n\tabcdefghtheing  éß漢▁'1.,<|>s\x1c\x85", longest=60, seed=0):
+    r = random.Random(seed)
+    return ODD + ["".join(r.choice(alphabet) for _ in range(r.randrange(longest))) for _ in range(n)]
+
+
+def frame(spark, values, **more):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t) if t else 0) for i, t in enumerate(values)], DOCS)
+
+
+# 1
+
+
+def base_secrets(t):
+    kinds = {"assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "(AKIA[A-Z0-9]+)", "hex": "([0-9a-f]+)"}
+    least = {"assign": 12, "access": 18, "hex": 16}
+    out = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if len(m.group(1)) >= least[k]]
+    return sorted(out, key=lambda x: (x[1], list(kinds).index(x[0])))
+
+
+def test_secrets_base_and_links(spark):
+    r = random.Random(1)
+    bits = ["token", "=", "Secret: ", "AKIA", "ABCDEF0123456789", "0123456789abcdef", " ", '"', "é", "api_key", "\n\n", "password='", "x" * 13]
+    values = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(500)] + ["token=secret=abcdefghijklmnop token: secret: abcdefghijklmn"]
+    for t in values:
+        assert [x for x in secrets.spans(t) if x[0] in secrets.BASE] == base_secrets(t)
+    assert secrets.spans('user = "bob" pwd: hunter22 host=db.example.com:5432\n\nuser = zed') == [("weak_id", 8, 11), ("weak_secret", 18, 26), ("endpoint", 32, 51)]
+    assert secrets.spans('user = "bob"\n\npwd: hunter22') == [] and secrets.spans("see https://example.com/a") == []
+    rows = secrets.digest(secrets.secret_spans(frame(spark, [None, "", values[-1]]))).orderBy("doc_id").collect()
+    assert [x.n_assign for x in rows] == [0, 0, 1] and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# 2 and 10
+
+
+def test_pieces_like_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    for t in texts(1500):
+        ids = library.encode(t)
+        assert own.encode(t) == ids and own.decode(ids) == library.decode(ids)
+        assert own.digest(t) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        assert own.ids_and_check(t) == (ids, True)
+    r = random.Random(2)
+    for _ in range(200):
+        t = "▁" + "".join(r.choice("theingandofß") for _ in range(r.randrange(1, 30)))
+        assert own.backtrack(t) == own.merge(t)
+
+
+def test_token_counts_like_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    values = texts(1500)
+    assert token_counts.Counter(path)(values) == [len(x) for x in t.encode_batch(values, add_special_tokens=False)]
+    rows = token_counts.token_counts(frame(spark, [None, "", "a b"]), path, 1).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_tokens, x.over_limit) for x in rows] == [(0, 0, False), (0, 0, False), (3, 2, True)]
+    assert sorted(x for b in token_counts.balanced(["a" * i for i in range(1, 50)], 100) for x in b) == sorted("a" * i for i in range(1, 50))
+
+
+# 3
+
+
+def plain_components(values, size, percent):
+    sets = [set(x.tolist()) for x in jaccard.token_sets(values, size)]
+    parent = list(range(len(values)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if a and 100 * n >= percent * (len(a) + len(sets[j]) - n) and sets[j]:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_finds_every_link(spark, size, percent):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    passage = [r.choice(words) for _ in range(40)]
+    values = [None, "", "  ", "one", "ONE", "one two", "one two"]
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(r.randrange(20, 120))]
+        for _ in range(r.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(r.randrange(4)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            values.append(" ".join(copy if r.random() < 0.7 else copy + passage))
+    got = jaccard.jaccard_join(frame(spark, values), size, percent).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.n_shingles, x.component_id) for x in got] == plain_components(values, size, percent)
+    if size == 5:
+        kept = {x.doc_id for x in jaccard.one_of_each(frame(spark, values), size, percent).collect()}
+        assert kept == {i for i, n, c in plain_components(values, size, percent) if i == c}
+
+
+def test_components_of_a_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
+    assert {r.node: r.root for r in components(e).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# 4
+
+
+def test_mixing_targets_and_repeats(spark):
+    r = random.Random(4)
+    rows = [(i, "w " * r.randrange(0, 60), "en", r.choice(["a", "b", "c", None]), 0) for i in range(600)]
+    rows += [rows[0], (None, "x y", "en", "a", 3), (601, None, "en", "d", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.report(docs).collect()
+    assert len(got) == len(rows) and all(0 <= x.taken <= 2 * x["size"] for x in got)
+    source = {"a": 5.0, "b": 2.0, "c": 1.0, "d": 5.0, None: 2.0}
+    sizes = {s: sum(len((t or "").split()) for _, t, _, x, _ in rows if x == s) for s in source}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(source)
+    while True:  # excess is shared again until none is above
+        level = left / sum(source[s] for s in free)
+        over = {s for s in free if level * source[s] > 2 * sizes[s]}
+        if not over:
+            target |= {s: level * source[s] for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left, free = left - sum(2 * sizes[s] for s in over), free - over
+    by = {x.doc_id: x.source for x in docs.collect()}
+    for s in source:
+        own = [x for x in got if by[x.doc_id] == s]
+        assert abs(own[0].target - target[s]) < 1e-6 and abs(sum(x.taken for x in own) - target[s]) <= 60
+    assert sorted(map(str, got)) == sorted(map(str, mixing.report(docs.repartition(7)).collect()))
+    assert mixing.mix(docs).count() == sum(x.taken // x["size"] for x in got if x["size"])
+
+
+# 5
+
+
+def test_network_gradients_and_learning():
+    import numpy as np
+
+    net = toxicity.Network({"a": 1, "b": 2}, {"^a$": 1}, np.array([0, 1, -1], np.float32), np.array([0, 1], np.float32))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    r = np.random.default_rng(0)
+    x, mask, y = r.standard_normal((4, 3, 11)), np.array([[1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], float), np.array([1.0, 0, 1])
+
+    def loss():
+        out = net.run({s: net.project(x, s) for s in "fb"}, mask)
+        return float(-(y * np.log(toxicity.sigmoid(out)) + (1 - y) * np.log(1 - toxicity.sigmoid(out))).mean())
+
+    g, _ = net.gradients(x, mask, y, np.ones(3))
+    for name in ("Wf", "Ub", "cf", "A", "v", "o"):
+        p = net.p[name]
+        i = tuple(0 for _ in p.shape)
+        old = p[i]
+        p[i] = old + 1e-2
+        up = loss()
+        p[i] = old - 1e-2
+        down = loss()
+        p[i] = old
+        assert abs((up - down) / 2e-2 - g[name][i]) < 5e-3
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for i in range(240):
+        ws = [rnd.choice(words) for _ in range(rnd.randrange(20, 150))]
+        if i % 3 == 0:
+            ws[rnd.randrange(len(ws))] = "idiot"
+            ws[rnd.randrange(len(ws))] = "zzlowe" + rnd.choice(words)
+        rows.append((" ".join(ws), int(i % 3 == 0)))
+    net = toxicity.trained(rows[:180], 1 / 3)
+    score = toxicity._work(net)([t for t, _ in rows[180:]] + ["", None])
+    assert sum((s[0] >= 0.5) == y for s, (_, y) in zip(score, rows[180:], strict=False)) >= 54
+    assert score[-1] == score[-2] and 0 <= score[-1][0] < 0.5
+    assert toxicity._work(toxicity.trained([], 0.5))(["a"]) == [(0.5,)]
+    assert toxicity.windows(10) == [0] and toxicity.windows(130)[-1] == 130 - toxicity.WINDOW
+
+
+# 6
+
+
+def test_warc_splits_at_any_byte(spark):
+    tricky = b"\x1f\x8b\x08" + gzip.compress(b"WARC nothing") + bytes(range(256)) * 40
+    payloads = [b"", b"<p>one</p>", tricky, b"x" * 50_000, "é漢".encode()]
+    data = b"".join(warc.record(i, f"http://h/{i} a", p, None, False) for i, p in enumerate(payloads)) + warc.record(9, None, b"<p>one</p>", 1, True)
+    for split in (1, 37, 500, len(data)):
+        got = [warc.row_of(h, b) for s in range(0, len(data), split) for _, h, b in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + split))]
+        assert [(x[0], x[2], x[3], x[4], x[5]) for x in got] == [(i, len(p), warc.digest32(p), "response", None) for i, p in enumerate(payloads)] + [(9, 10, warc.digest32(b"<p>one</p>"), "revisit", 1)]
+    pages = spark.createDataFrame([(1, "u", "a"), (5, "u", "a"), (3, None, "a"), (4, "u", None), (2, "u", "")], "page_id long, url string, html string")
+    rows = {x.page_id: (x.record_type, x.refers_to, x.payload_bytes) for x in warc.round_trip(pages, 64).collect()}
+    assert rows == {1: ("revisit", 5, 1), 5: ("response", None, 1), 3: ("revisit", 5, 1), 4: ("response", None, 0), 2: ("revisit", 4, 0)}
+
+
+# 7
+
+
+def test_matroska_round_trip_and_lacing(spark):
+    for n in (1, 5, 16, 17, 600):
+        payload = random.Random(n).randbytes(192 * n)
+        for how in ("none", "fixed", "xiph", "ebml"):
+            data = matroska.mux(payload, how)
+            m = matroska.parse(data)
+            assert matroska.payload_of(data, m) == payload and [p.timestamp for p in m.packets] == [24 * i for i in range(n)]
+            assert [c for _, _, c in m.cues] and all(data[c : c + 4] == b"\x1f\x43\xb6\x75" for _, _, c in m.cues)
+    frames = [b"a" * 300, b"b" * 10, b"c" * 999, b"d"]
+    for how in ("xiph", "ebml"):
+        flags, body = matroska.lace(frames, how)
+        block = b"\x81\x00\x05" + bytes([flags]) + body
+        _, time, _, ranges = matroska.frames_of(block, 0, len(block))
+        assert time == 5 and [block[a : a + n] for a, n in ranges] == frames
+    for cut in (3, 60, 200):
+        with pytest.raises(ValueError):
+            matroska.parse(matroska.mux(b"z" * 192 * 3)[:-cut])
+    rows = matroska.media_digests(frame(spark, [None, "", "é" * 96])).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.payload_bytes) for x in rows] == [(0, 192), (0, 192), (192, 192)]
+    assert rows[2].payload_sha256 == hashlib.sha256(("é" * 96).encode()).hexdigest() and rows[2].tail_crc32 == zlib.crc32(("é" * 8).encode())
+    assert matroska.packet_table(matroska.media_columns(frame(spark, ["a" * 400]))).count() == 3
+
+
+# 8
+
+
+def base_personal(t):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(k, m):
+        d = [int(c) for c in m if c.isdigit()]
+        if k == "card":
+            return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+        return {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m.split(".")), "phone": 9 <= len(d) <= 15}[k]
+
+    return [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t or "") if good(k, m.group())]
+
+
+def test_personal_spans_and_redaction(spark):
+    values = texts(800, "aB1 2.3@-+()4é🙂\n_%0", 80, 6) + ["a@b.c.d_x@foo.com.", "1.1.1.1.1.1.1.1", "0001.2.3.255", "4923437827071911 4923-4378-2707-1911", None, "1" * 4000, "a@b" + ".c" * 3000, "Tel. (555) 123-4567 or SSN 123-45-6789; order 555-123-4567"]
+    docs = frame(spark, values)
+    found = pii.personal_spans(docs)
+    got = {x.doc_id: [(y.kind, y.start, y.end) for y in x.spans] for x in found.collect()}
+    for i, t in enumerate(values):
+        assert [x for x in got[i] if x[0] in pii.BASE] == base_personal(t), t
+    assert [x[0] for x in got[len(values) - 1]] == ["local_phone", "national_id"]
+    spans = F.from_json(F.lit('[{"kind":"ip","start":2,"end":5},{"kind":"phone","start":4,"end":7}]'), "array<struct<kind:string,start:int,end:int>>")
+    r = spark.range(1).select(pii.redacted(F.lit("é🙂345678"), spans).alias("x"), pii.redacted(F.lit("abc"), F.slice(spans, 1, 0)).alias("y")).first()
+    assert (r.x, r.y) == ("é🙂<IP>8", "abc")
+
+
+# 9
+
+
+def test_quality_counts_and_fences(spark):
+    def plain(t):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen, copies = set(), 0
+        for line in (t or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                copies += line in seen
+                seen.add(line)
+        windows = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        marked = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+        return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t or ""), copies, len(marked)
+
+    for t in [None, *texts(400), *texts(300, "ab \n", 60, 8)]:
+        assert quality.measures(t)[:5] == plain(t)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    good = [" ".join(word() for _ in range(80)) + "." for _ in range(60)]
+    bad = [" ".join(word() + "###" for _ in range(80)) for _ in range(5)] + [None, "a b"]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", 0) for i, t in enumerate(good + bad)], DOCS)
+    kept = {x.doc_id: x["__kept"] for x in quality.quality(docs).collect()}
+    assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 67))
+    assert quality.fences(quality.sketches(quality.measured(docs, ["lang", "source"]))).count() == 2
+
+
+def test_empty_tables(spark):
+    none = frame(spark, []).withColumn("spans", F.lit(1)).withColumn("node", F.lit(2))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert pieces.round_trip(none, path).count() == 0 and jaccard.jaccard_join(none).count() == 0
+    assert mixing.report(none).count() == 0 and pii.personal_spans(none, keep=["doc_id"]).count() == 0
+    assert quality.quality(none).count() == 0 and matroska.media_digests(none).count() == 0
+    assert secrets.secret_spans(none).count() == 0 and warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert toxicity.toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
