@@ -42,3 +42,11 @@ def sign_test(wins: int, n: int) -> float:
     """Exact two-sided probability of at least as lopsided a count."""
     k = max(wins, n - wins)
     return min(1.0, 2 * sum(comb(n, i) for i in range(k, n + 1)) / 2**n) if n else 1.0
+
+
+def sign_test_of(wins: Column, n: Column) -> Column:
+    """Two-sided exact binomial tail at one half, with iterated coefficients; no pairs: 1."""
+    low = F.least(wins, n - wins)
+    start = F.struct(F.pow(F.lit(0.5), n).alias("c"), F.lit(0.0).alias("s"))
+    step = lambda acc, i: F.struct((acc["c"] * (n - i) / (i + 1)).alias("c"), (acc["s"] + acc["c"]).alias("s"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0).cast("long"), low), start, step)["s"])

@@ -67,3 +67,10 @@ def durable(validations: DataFrame, after: int = 3) -> DataFrame:
     """``fact_key, scan_id, survived, durable``: distinct scans survived so far."""
     w = Window.partitionBy("fact_key").orderBy("scan_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return validations.select("fact_key", "scan_id").distinct().withColumn("survived", F.count(F.lit(1)).over(w)).withColumn("durable", F.col("survived") >= after)
+
+
+def tree_hash(files: DataFrame, *by: str) -> DataFrame:
+    """``by, digest``: an order-stable digest of ``path, content_hash``, over leaves by path hash, so no task holds a whole tree."""
+    line = F.concat("path", F.lit("\t"), "content_hash")
+    leaves = files.groupBy(*by, F.substring(F.md5("path"), 1, 4).alias("leaf")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h"))
+    return leaves.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("leaf", "h"))), "\n"), 256).alias("digest"))

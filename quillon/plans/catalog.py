@@ -270,7 +270,7 @@ def facts_for_seeds(spark, d):
 # ---- text ranking
 
 
-BM25 = """, q0 AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 20 = 0), q AS (SELECT query_id, term, count(*) AS times FROM q0 GROUP BY 1, 2),
+BM25 = """, q0 AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 50 = 0), q AS (SELECT query_id, term, count(*) AS times FROM q0 GROUP BY 1, 2),
 d0 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d0), ex AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM d0),
 tf AS (SELECT term, doc_id, len, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
@@ -279,7 +279,7 @@ SELECT query_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM (SELECT *,
 
 @query("bm25_top10", BM25)
 def bm25_top10(spark, d):
-    queries = read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    queries = read(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     s = ranking.bm25(read(spark, d, "documents"), queries).withColumn("score", F.floor(F.col("score") * 1e4 + 0.5) / 1e4)
     return ranking.top(s, "query_id", [F.desc("score"), F.col("doc_id")], 10).select("query_id", "doc_id", "score")
 
@@ -419,10 +419,11 @@ def benchmark_medians(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(cost.alias("cost"), F.count(F.lit(1)).alias("n"))
 
 
-@query("working_tree_hash", NO_CTE + "SELECT sha256(string_agg(source || '/' || doc_id || chr(9) || md5(text), chr(10) ORDER BY source || '/' || doc_id || chr(9) || md5(text))) AS digest FROM documents WHERE source = 'src1'")
+@query("working_tree_hash", NO_CTE + """WITH l AS (SELECT source, md5(source || '/' || doc_id)[1:4] AS leaf, source || '/' || doc_id || chr(9) || md5(text) AS line FROM documents),
+f AS (SELECT source, leaf, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(leaf || h, chr(10) ORDER BY leaf)) AS digest FROM f GROUP BY 1""")
 def working_tree_hash(spark, d):
-    line = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"))
-    return read(spark, d, "documents").where("source = 'src1'").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    return incremental.tree_hash(read(spark, d, "documents").select("source", path.alias("path"), F.md5("text").alias("content_hash")), "source")
 
 
 @query("language_shares", NO_CTE + "SELECT lang, count(*) AS n, floor(count(*) * 1e6 / (SELECT count(*) FROM documents) + 0.5) / 1e6 AS share FROM documents GROUP BY lang")
@@ -442,6 +443,30 @@ def ui_strings(spark, d):
     return read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
 
 
+@query("attempt_numbers", NO_CTE + "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events")
+def attempt_numbers(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, d, "events").select("event_id", F.row_number().over(w).cast("long").alias("attempt"))
+
+
+@query("dedup_in_order", NO_CTE + "SELECT user_id, event_type, min(event_id) AS position FROM events GROUP BY 1, 2")
+def dedup_in_order(spark, d):
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("position"))
+
+
+@query("sign_test", NO_CTE + """WITH g AS (SELECT o_custkey AS task, count(*) AS n, least(count(*) FILTER (o_totalprice > 200000), count(*) FILTER (NOT o_totalprice > 200000)) AS k FROM orders GROUP BY 1)
+SELECT task, n, floor(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) * 1e6 + 0.3) / 1e6 AS p_value FROM g""")
+def sign_test(spark, d):
+    over = (F.col("o_totalprice") > 200000).cast("long")
+    g = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum(over).alias("wins"))
+    return g.select("task", "n", (F.floor(evaluation.sign_test_of(F.col("wins"), F.col("n")) * 1e6 + 0.3) / 1e6).alias("p_value"))
+
+
+@query("edge_dump", "SELECT src, dst, edge_type, confidence FROM edges")
+def edge_dump(spark, d):
+    return derive.edges(spark, d).select("src", "dst", "edge_type", "confidence")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_reverse(spark, sf_dir)
 
