@@ -257,7 +257,9 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     need = F.expr(f"({percent} * n + 99) DIV 100").cast("int")
     costs = [F.when(need >= m, F.sum(F.when(F.col("pos") < p + (m - 1), F.col("df") - 1).otherwise(0)) / float(m)) for m in range(1, LONGEST_L + 1)]
     best = shared.groupBy("node", "n").agg(F.array(*costs).alias("cost")).select("node", F.array_position("cost", F.array_min("cost")).cast("int").alias("l"))
-    probes = cut(shared.join(best, "node").where(F.col("pos") < p + F.col("l") - 1).select("node", "n", "token", "l"))
+    # the shorter of two similar sets shares so many tokens that a shorter prefix of it does
+    own = F.col("pos") < F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) DIV {100 + percent}").cast("int") + F.col("l")
+    probes = cut(shared.join(best, "node").where(F.col("pos") < p + F.col("l") - 1).select("node", "n", "token", "l", own.alias("own")))
 
     # one centre for each node
     rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c))
@@ -272,13 +274,16 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     part = cut(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # pairs of entities in different components that share enough tokens
-    placed = probes.join(standing, "node", "left").join(part, "node", "left").select("node", "n", "token", "l", F.coalesce("entity", "node").alias("entity"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("root", "node").alias("root"))
+    placed = probes.join(standing, "node", "left").join(part, "node", "left").select("node", "n", "token", "l", "own", F.coalesce("entity", "node").alias("entity"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("root", "node").alias("root"))
     placed = cut(placed)
-    slim = placed.groupBy("token", "entity").agg(F.min("l").alias("l"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("off").alias("off"), F.min("root").alias("root"))
-    x, y = (slim.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("entity", "l", "low", "high", "off", "root")]) for s in "xy")
-    met = x.join(y, "token").where("entityx < entityy AND rootx <> rooty").where(fits(F.col("highx"), F.col("lowy"), percent) | fits(F.col("highy"), F.col("lowx"), percent) | ((F.col("lowx") <= F.col("highy")) & (F.col("lowy") <= F.col("highx"))))
-    pairs = met.groupBy("entityx", "entityy").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("lx", "ly")).alias("l"), F.max("offx").alias("offx"), F.max("offy").alias("offy")).where("k >= l")
-    far = cut(distances(docs, cut(pairs.select(F.col("entityx").alias("a"), F.col("entityy").alias("b"), "offx", "offy")), ids, size, key, text))
+    short = F.when(F.col("own"), F.col("n"))
+    slim = cut(placed.groupBy("token", "entity").agg(F.min("l").alias("l"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(short).alias("least"), F.max(short).alias("most"), F.max("off").alias("off"), F.min("root").alias("root")))
+    x, y = (slim.select("token", *[F.col(c).alias(f"{c}{s}") for c in slim.columns[1:]]) for s in "xy")
+    met = y.where("leasty IS NOT NULL").join(x, "token").where("entityx <> entityy AND rootx <> rooty AND (leastx IS NULL OR entityy < entityx)").where(shorter("y", "x", percent) | shorter("x", "y", percent))
+    turned = F.col("entityy") < F.col("entityx")
+    met = met.select(F.least("entityx", "entityy").alias("a"), F.greatest("entityx", "entityy").alias("b"), F.least("lx", "ly").alias("l"), F.when(turned, F.col("offy")).otherwise(F.col("offx")).alias("offx"), F.when(turned, F.col("offx")).otherwise(F.col("offy")).alias("offy"))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.max("offx").alias("offx"), F.max("offy").alias("offy")).where("k >= l")
+    far = cut(distances(docs, cut(pairs.select("a", "b", "offx", "offy")), ids, size, key, text))
     near = far.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent))
     limit = 1 - percent / 100 + 1e-9
     ring = far.where(~similar(F.col("shared"), F.col("na"), F.col("nb"), percent) & (gap() <= limit + F.col("offx") + F.col("offy")) & (F.col("offx") + F.col("offy") > 0)).select(F.col("a").alias("ea"), F.col("b").alias("eb"), gap().alias("gap"))
@@ -311,3 +316,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
 def fits(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be similar."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def shorter(a: str, b: str, percent: int) -> Column:
+    """Whether a set of entity ``a`` with the token in its shorter prefix can be similar to a set of ``b`` that is no smaller."""
+    return (F.col(f"least{a}") <= F.col(f"high{b}")) & (100 * F.col(f"most{a}") >= percent * F.col(f"low{b}"))
