@@ -9,7 +9,8 @@ Groups of copies are never expanded into pairs. Equal sets are one node. Each no
 node of least hash that shares most of its prefix; nodes close to a centre are stood in for by it, and further
 candidates are pairs of centres in different components. By the triangle inequality of the Jaccard distance a pair of
 centres that is too far apart rules out all pairs of what they stand for; where it doesn't, those members that are far enough from their
-centre are compared themselves, so no link between components is lost.
+centre are compared themselves, so no link between components is lost. Of two similar sets the smaller shares tokens in a shorter
+prefix of its own, so only those are joined; sketches of the centres bound their distance from below where they are paired.
 
 Results are exact up to equal 64-bit hashes of different shingles or sets.
 
@@ -36,6 +37,8 @@ from .components import components
 LONGEST_L, COMMON, MOST_COMMON = 6, 48, 500_000
 #: Bits of the filter that thins out texts before they are shuffled for an exact check.
 FILTER_BITS = 1 << 24
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 #: Words remembered by a worker.
 REMEMBERED = 150_000
 
@@ -108,9 +111,15 @@ def region(n: int, percent: int) -> int:
     return min(n, p + LONGEST_L - 1 + max(8, p // 5))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of SKETCH_BITS classes of tokens whether the set has an odd number; two differ in no more bits than the sets do in tokens."""
+    odd = np.bincount((tokens & (SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(size: int, percent: int):
     def rows(texts):
-        return [(node_of(t), len(t), t[: region(len(t), percent)] if len(t) else None) for t in token_sets(texts, size)]
+        return [(node_of(t), len(t), t[: region(len(t), percent)] if len(t) else None, sketch(t) if len(t) else None) for t in token_sets(texts, size)]
 
     return rows
 
@@ -230,8 +239,8 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("body"))
     key, text = "doc_id", "text"
-    sets = cut(map_texts(docs, partial(_sets, size, percent), "node long, n int, region array<long>", [key, "body"], text))
-    nodes = cut(sets.where("n > 0").groupBy("node").agg(F.min(key).alias("id"), F.any_value("n").alias("n"), F.any_value("region").alias("region")))
+    sets = cut(map_texts(docs, partial(_sets, size, percent), "node long, n int, region array<long>, sketch array<long>", [key, "body"], text))
+    nodes = cut(sets.where("n > 0").groupBy("node").agg(F.min(key).alias("id"), F.any_value("n").alias("n"), F.any_value("region").alias("region"), F.any_value("sketch").alias("sketch")))
     ids = nodes.select("node", "id")
 
     # the order: tokens that many sets have go last
@@ -277,15 +286,19 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     placed = probes.join(standing, "node", "left").join(part, "node", "left").select("node", "n", "token", "l", "own", F.coalesce("entity", "node").alias("entity"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("root", "node").alias("root"))
     placed = cut(placed)
     short = F.when(F.col("own"), F.col("n"))
-    slim = cut(placed.groupBy("token", "entity").agg(F.min("l").alias("l"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(short).alias("least"), F.max(short).alias("most"), F.max("off").alias("off"), F.min("root").alias("root")))
-    x, y = (slim.select("token", *[F.col(c).alias(f"{c}{s}") for c in slim.columns[1:]]) for s in "xy")
+    slim = placed.groupBy("token", "entity").agg(F.min("l").alias("l"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(short).alias("least"), F.max(short).alias("most"), F.max("off").alias("off"), F.min("root").alias("root"))
+    slim = cut(slim.join(nodes.select(F.col("node").alias("entity"), F.col("n").alias("size"), "sketch"), "entity"))
+    x, y = (slim.select("token", *[F.col(c).alias(f"{c}{s}") for c in slim.columns if c != "token"]) for s in "xy")
     met = y.where("leasty IS NOT NULL").join(x, "token").where("entityx <> entityy AND rootx <> rooty AND (leastx IS NULL OR entityy < entityx)").where(shorter("y", "x", percent) | shorter("x", "y", percent))
+    # the least distance that the sketches of two centres allow
+    apart = sum((F.bit_count(F.col("sketchx")[i].bitwiseXOR(F.col("sketchy")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketchx")[0].bitwiseXOR(F.col("sketchy")[0])))
+    limit = 1 - percent / 100 + 1e-9
+    met = met.where(2 * apart <= (limit + F.col("offx") + F.col("offy")) * (F.col("sizex") + F.col("sizey") + apart))
     turned = F.col("entityy") < F.col("entityx")
     met = met.select(F.least("entityx", "entityy").alias("a"), F.greatest("entityx", "entityy").alias("b"), F.least("lx", "ly").alias("l"), F.when(turned, F.col("offy")).otherwise(F.col("offx")).alias("offx"), F.when(turned, F.col("offx")).otherwise(F.col("offy")).alias("offy"))
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.max("offx").alias("offx"), F.max("offy").alias("offy")).where("k >= l")
     far = cut(distances(docs, cut(pairs.select("a", "b", "offx", "offy")), ids, size, key, text))
     near = far.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent))
-    limit = 1 - percent / 100 + 1e-9
     ring = far.where(~similar(F.col("shared"), F.col("na"), F.col("nb"), percent) & (gap() <= limit + F.col("offx") + F.col("offy")) & (F.col("offx") + F.col("offy") > 0)).select(F.col("a").alias("ea"), F.col("b").alias("eb"), gap().alias("gap"))
     mine = placed.select("node", "n", "token", "l", "entity", "off", "root")
     left = ring.join(mine.select(*[F.col(c).alias(f"{c}x") for c in mine.columns]), F.col("ea") == F.col("entityx"))
