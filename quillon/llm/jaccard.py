@@ -6,7 +6,7 @@ The order puts tokens that many sets have last and goes by hash otherwise. Each
 number of candidates: the postings of its prefix, over the l of them that a candidate has to share.
 
 Groups of copies are never expanded into pairs. Equal sets are one node. Each node is first compared with one centre, the
-node of least hash that shares most of its prefix; nodes close to a centre are stood in for by it, and further
+node of least hash that shares most of its prefix; nodes very close to a centre are stood in for by it, and further
 candidates are pairs of centres in different components. By the triangle inequality of the Jaccard distance a pair of
 centres that is too far apart rules out all pairs of what they stand for; where it doesn't, those members that are far enough from their
 centre are compared themselves, so no link between components is lost. Of two similar sets the smaller shares tokens in a shorter
@@ -279,7 +279,8 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     star = cut(distances(docs, cut(star), ids, size, key, text))
     linked = star.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent))
     gap = lambda: 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    standing = cut(linked.select(F.col("a").alias("node"), F.col("b").alias("entity"), gap().alias("off")))
+    # a centre stands only for close nodes: each bit of distance widens what has to be paired with it
+    standing = cut(linked.where(gap() <= (1 - percent / 100) / 4).select(F.col("a").alias("node"), F.col("b").alias("entity"), gap().alias("off")))
     part = cut(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # pairs of entities in different components that share enough tokens
