@@ -5,8 +5,8 @@ the first ``n - ceil(t n) + 1`` of each in any order common to all, and share l
 The order puts tokens that many sets have last and goes by hash otherwise. Each set then takes the l with the least estimated
 number of candidates: the postings of its prefix, over the l of them that a candidate has to share.
 
-Groups of copies are never expanded into pairs. Equal sets are one node. Each node is first compared with one centre, the
-node of least hash that shares most of its prefix; nodes very close to a centre are stood in for by it, and further
+Groups of copies are never expanded into pairs. Equal sets are one node. Each node is first compared with a few centres,
+the nearest by sketch of nodes that lead its tokens by hash; nodes very close to a centre are stood in for by it, and further
 candidates are pairs of centres in different components. By the triangle inequality of the Jaccard distance a pair of
 centres that is too far apart rules out all pairs of what they stand for; where it doesn't, those members that are far enough from their
 centre are compared themselves, so no link between components is lost. Of two similar sets the smaller shares tokens in a shorter
@@ -39,6 +39,8 @@ LONGEST_L, COMMON, MOST_COMMON = 6, 48, 500_000
 FILTER_BITS = 1 << 24
 #: Bits of a set's sketch.
 SKETCH_BITS = 512
+#: Nodes that lead each token, and how many of the leaders of its tokens a node is compared with.
+LEADERS, NEAREST = 3, 4
 #: Words remembered by a worker.
 REMEMBERED = 150_000
 
@@ -270,17 +272,22 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     own = F.col("pos") < F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) DIV {100 + percent}").cast("int") + F.col("l")
     probes = cut(shared.join(best, "node").where(F.col("pos") < p + F.col("l") - 1).select("node", "n", "token", "l", own.alias("own")))
 
-    # one centre for each node
-    rank = lambda c: F.struct(F.xxhash64(F.col(c)), F.col(c))
-    centre = probes.groupBy("token").agg(F.min_by(F.struct("node", "n", "l"), rank("node")).alias("c"))
-    votes = probes.join(centre, "token").select("node", "n", "l", "c").where(fits(F.col("n"), F.col("c.n"), percent) & (F.col("node") != F.col("c.node")))
-    counts = votes.groupBy("node", "l", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("l", "c.l"))
-    star = counts.groupBy("node").agg(F.max_by(F.col("c.node"), F.struct("k", F.col("c.node"))).alias("b")).select(F.col("node").alias("a"), "b")
+    # a few centres for each node: of those that lead its tokens the ones nearest by sketch
+    lead = [F.min_by(F.struct("node", "n"), F.struct(F.xxhash64(F.col("node"), F.lit(r)), F.col("node"))) for r in range(LEADERS)]
+    centre = probes.groupBy("token").agg(F.array_distinct(F.array(*lead)).alias("c")).select("token", F.explode("c").alias("c"))
+    votes = probes.join(centre, "token").where(fits(F.col("n"), F.col("c.n"), percent) & (F.col("node") != F.col("c.node"))).select("node", F.col("c.node").alias("other")).distinct()
+    brief = nodes.select("node", "n", "sketch")
+    x, y = (brief.select(F.col("node").alias(name), F.col("n").alias(f"size{s}"), F.col("sketch").alias(f"sketch{s}")) for s, name in (("x", "node"), ("y", "other")))
+    limit = 1 - percent / 100 + 1e-9
+    votes = votes.join(x, "node").join(y, "other").where(2 * apart() <= limit * (F.col("sizex") + F.col("sizey") + apart()))
+    nearest = F.row_number().over(Window.partitionBy("node").orderBy(apart() / (F.col("sizex") + F.col("sizey")), "other"))
+    star = votes.select(F.col("node").alias("a"), F.col("other").alias("b"), nearest.alias("r")).where(F.col("r") <= NEAREST)
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = cut(distances(docs, cut(star), ids, size, key, text))
     linked = star.where(similar(F.col("shared"), F.col("na"), F.col("nb"), percent))
     gap = lambda: 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     # a centre stands only for close nodes: each bit of distance widens what has to be paired with it
-    standing = cut(linked.where(gap() <= (1 - percent / 100) / 4).select(F.col("a").alias("node"), F.col("b").alias("entity"), gap().alias("off")))
+    standing = cut(linked.where(gap() <= (1 - percent / 100) / 4).groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct(gap(), F.col("b"))).alias("entity"), F.min(gap()).alias("off")))
     part = cut(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     # pairs of entities in different components that share enough tokens
@@ -291,10 +298,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, key: str = "
     slim = cut(slim.join(nodes.select(F.col("node").alias("entity"), F.col("n").alias("size"), "sketch"), "entity"))
     x, y = (slim.select("token", *[F.col(c).alias(f"{c}{s}") for c in slim.columns if c != "token"]) for s in "xy")
     met = y.where("leasty IS NOT NULL").join(x, "token").where("entityx <> entityy AND rootx <> rooty AND (leastx IS NULL OR entityy < entityx)").where(shorter("y", "x", percent) | shorter("x", "y", percent))
-    # the least distance that the sketches of two centres allow
-    apart = sum((F.bit_count(F.col("sketchx")[i].bitwiseXOR(F.col("sketchy")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketchx")[0].bitwiseXOR(F.col("sketchy")[0])))
-    limit = 1 - percent / 100 + 1e-9
-    met = met.where(2 * apart <= (limit + F.col("offx") + F.col("offy")) * (F.col("sizex") + F.col("sizey") + apart))
+    met = met.where(2 * apart() <= (limit + F.col("offx") + F.col("offy")) * (F.col("sizex") + F.col("sizey") + apart()))
     turned = F.col("entityy") < F.col("entityx")
     met = met.select(F.least("entityx", "entityy").alias("a"), F.greatest("entityx", "entityy").alias("b"), F.least("lx", "ly").alias("l"), F.when(turned, F.col("offy")).otherwise(F.col("offx")).alias("offx"), F.when(turned, F.col("offx")).otherwise(F.col("offy")).alias("offy"))
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("l"), F.max("offx").alias("offx"), F.max("offy").alias("offy")).where("k >= l")
@@ -332,6 +336,11 @@ def fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def apart() -> Column:
+    """In how many bits the sketches of a pair differ: no more than the tokens in which the sets do."""
+    return sum((F.bit_count(F.col("sketchx")[i].bitwiseXOR(F.col("sketchy")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketchx")[0].bitwiseXOR(F.col("sketchy")[0])))
+
+
 def shorter(a: str, b: str, percent: int) -> Column:
     """Whether a set of entity ``a`` with the token in its shorter prefix can be similar to a set of ``b`` that is no smaller."""
     return (F.col(f"least{a}") <= F.col(f"high{b}")) & (100 * F.col(f"most{a}") >= percent * F.col(f"low{b}"))
