@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Each word is a vector of its own (known words) and of its character n-grams (any word), so that inflected and unseen
-words are read by their parts. A window of words is read in both directions, attention pools the states, and a logistic
+words are read by their parts. A word of more than 40 characters (a sentence of an unspaced script, a joined run) is read in
+overlapping pieces, each a step with the word's own vector and the piece's n-grams; a shorter one is one step. A window of steps is read in both directions, attention pools the states, and a logistic
 unit scores it. Windows overlap and cover the whole text; the text's score is a calibrated function of the highest one.
 
 Training is numpy on the driver, over a bounded sample of labelled rows (SAMPLE of each class, by the order of a hash).
@@ -28,8 +29,10 @@ from .common import map_texts
 SAMPLE, LONGEST = 1500, 200_000
 WINDOW, STRIDE = 64, 48
 VOCABULARY, NGRAMS, SIZES = 4000, 20_000, (3, 4, 5)
+#: Signs of a word with its two marks that one step reads, and how many of them the next step reads again, so that no n-gram is lost.
+PIECE, OVERLAP = 42, max(SIZES) - 1
 DIM, HIDDEN, ATTENTION, EPOCHS, BATCH = 4, 8, 8, 5, 256
-#: Words remembered by a worker, and windows read at once.
+#: Steps remembered by a worker, and windows read at once.
 REMEMBERED, CHUNK = 200_000, 2048
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|"
 
@@ -38,13 +41,22 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def grams(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
+def marked(word: str) -> str:
+    return f"^{word}$"
+
+
+def grams(w: str) -> list[str]:
+    """N-grams of a marked word, or of a piece of one."""
     return [w[i : i + k] for k in SIZES for i in range(len(w) - k + 1)]
 
 
+def pieces(w: str) -> list[str]:
+    """A marked word in pieces that together have all of its n-grams."""
+    return [w[a : a + PIECE] for a in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
+
+
 def windows(n: int) -> list[int]:
-    """Where the windows of so many words start: the last one reaches the end."""
+    """Where the windows of so many steps start: the last one reaches the end."""
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
@@ -69,11 +81,29 @@ class Network:
 
     # vectors of words
 
-    def parts(self, word: str) -> tuple[int, list[int]]:
-        """Row of the word (0: unknown) and of its known n-grams."""
-        bare = word.strip(STRIP)
+    def steps(self, words: list[str]) -> list[str | tuple[int, str]]:
+        """The words in order; instead of each long one its pieces, with the word's row."""
+        most = PIECE - 2
+        if max(map(len, words), default=0) <= most:
+            return words
+        out: list[str | tuple[int, str]] = []
+        for w in words:
+            if len(w) > most and len(bare := w.strip(STRIP)) > most:
+                row = self.vocabulary.get(bare, 0)
+                out += [(row, x) for x in pieces(marked(bare))]
+            else:
+                out.append(w)
+        return out
+
+    def parts(self, step: str | tuple[int, str]) -> tuple[int, list[int]]:
+        """Row of the word (0: unknown) and of the known n-grams of what the step reads of it."""
+        if isinstance(step, str):
+            bare = step.strip(STRIP)
+            row, piece = self.vocabulary.get(bare, 0), marked(bare)
+        else:
+            row, piece = step
         get = self.ngrams.get
-        return self.vocabulary.get(bare, 0), [j for g in grams(bare) if (j := get(g)) is not None]
+        return row, [j for g in grams(piece) if (j := get(g)) is not None]
 
     def vectors(self, parts: list[tuple[int, list[int]]]) -> np.ndarray:
         ids = np.array([i for i, _ in parts], np.int64)
@@ -169,7 +199,7 @@ class Network:
     # scores of texts
 
     def reader(self):
-        """A function from texts to (highest logit, number of windows), which remembers words' projected vectors."""
+        """A function from texts to (highest logit, number of windows), which remembers steps' projected vectors."""
         memory = {"ids": {}, "rows": None}
 
         def logits(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +207,7 @@ class Network:
             if len(ids) > REMEMBERED:
                 ids.clear()
                 memory["rows"] = None
-            split = [words_of(x) for x in texts]
+            split = [self.steps(words_of(x)) for x in texts]
             new = list({w for ws in split for w in ws if w not in ids})
             if memory["rows"] is None:
                 memory["rows"] = {s: np.zeros((1, 3 * HIDDEN), np.float32) for s in "fb"}
@@ -244,7 +274,7 @@ def trained(rows: list[tuple[str | None, int]], share: float, seed: int = 0) ->
     for ws, y in zip(split, labels.tolist(), strict=True):
         own = set(ws)
         count[y][0].update(own)
-        count[y][1].update({g for w in own for g in grams(w)})
+        count[y][1].update({g for w in own for g in grams(marked(w))})
     sizes = {y: int((labels == y).sum()) for y in (0, 1)}
 
     def strongest(which: int, most: int) -> dict[str, float]:
@@ -259,7 +289,7 @@ def trained(rows: list[tuple[str | None, int]], share: float, seed: int = 0) ->
     known: dict[str, tuple] = {}
     tell: dict[str, float] = {}
     examples: list[tuple[list[tuple], int]] = []
-    for ws, y in zip(split, labels.tolist(), strict=True):
+    for ws, y in zip(map(net.steps, split), labels.tolist(), strict=True):
         for w in set(ws):
             if w not in known:
                 known[w] = p = net.parts(w)

@@ -199,6 +199,23 @@ def test_network_gradients_and_learning():
     assert toxicity.windows(10) == [0] and toxicity.windows(130)[-1] == 130 - toxicity.WINDOW
 
 
+def test_whole_long_words_are_read():
+    for n in (1, 39, 40, 41, 45, 79, 200):
+        w = "".join(random.Random(n).choice("abcdefghij漢") for _ in range(n))
+        parts = toxicity.pieces(toxicity.marked(w))
+        assert {g for x in parts for g in toxicity.grams(x)} == set(toxicity.grams(f"^{w}$")) and (len(parts) == 1) == (n <= 40)
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for i in range(240):
+        ws = [rnd.choice(words) for _ in range(rnd.randrange(30, 150))]
+        if i % 3 == 0:
+            ws[rnd.randrange(10, len(ws))] = "zzlowe"  # behind the first 40 characters of the only word
+        rows.append(("_".join(ws), int(i % 3 == 0)))
+    score = toxicity._work(toxicity.trained(rows[:180], 1 / 3))([t for t, _ in rows[180:]])
+    assert sum((s[0] >= 0.5) == y for s, (_, y) in zip(score, rows[180:], strict=True)) >= 54
+
+
 # 6
 
 
