@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +59,11 @@ def strong(text: str) -> list[tuple[str, int, int]]:
 
 def lone_secrets(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(a: int, b: int) -> bool:
         i = bisect_left(starts, b)
-        return not any(s < b and e > a for s, e in taken[max(0, i - 4) : i])
+        return i == 0 or furthest[i - 1] <= a
 
     def mixed(t: str) -> bool:
         return any(c.isdigit() for c in t) and any("A" <= c <= "Z" for c in t) and any("a" <= c <= "z" for c in t) and entropy(t[:256]) >= ENTROPY
@@ -85,23 +86,20 @@ def linked(text: str, base: list[tuple[str, int, int]], reach: int = REACH) -> l
         return []
     breaks = [m.start() for m in EMPTY_LINE.finditer(text)]
 
-    def near(span: tuple[int, int], parts: list[tuple[int, int]]) -> bool:
-        """Interval join with sorted parts: a neighbour of another place, in reach and in the same scope."""
-        i = bisect_left(parts, span)
-        for step in (-1, 1):
-            j = i - 1 if step < 0 else i
-            while 0 <= j < len(parts) and (span[0] - parts[j][0] if step < 0 else parts[j][0] - span[1]) <= reach + 4096:
-                a, b = parts[j]
-                if b <= span[0] or a >= span[1]:
-                    gap = span[0] - b if b <= span[0] else a - span[1]
-                    low, high = min(b, span[1]), max(a, span[0])
-                    if gap <= reach and bisect_left(breaks, low) == bisect_left(breaks, high):
-                        return True
-                    break
-                j += step
-        return False
-
-    spans = {x for x in ids + ends if near(x[1:], secrets)} | {x for x in weak_secrets if near(x[1:], others)}
+    def bounds(parts: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        return sorted(a for a, _ in parts), sorted(b for _, b in parts)
+
+    def near(span: tuple[int, int], starts: list[int], ends: list[int]) -> bool:
+        """Interval join by sorted bounds: of the parts that end before the span the last end, of those that start after it the
+        first start; no other is closer or in its scope without that one, as no part crosses an empty line.
+        """
+        i, j = bisect_right(ends, span[0]), bisect_left(starts, span[1])
+        gaps = [(ends[i - 1], span[0])] if i else []
+        gaps += [(span[1], starts[j])] if j < len(starts) else []
+        return any(high - low <= reach and bisect_left(breaks, low) == bisect_left(breaks, high) for low, high in gaps)
+
+    of_secrets, of_others = bounds(secrets), bounds(others)
+    spans = {x for x in ids + ends if near(x[1:], *of_secrets)} | {x for x in weak_secrets if near(x[1:], *of_others)}
     return sorted(spans, key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
