@@ -34,11 +34,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a shorter run fails at each of its
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id|access_?key(?:_?id)?|tenant(?:_?id)?)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9._@+-]{3,})", re.I | re.A)
-SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:pwd|pass|pw|passphrase|credential|private_?key)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"',;<>]{6,})", re.I | re.A)
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id|access_?key(?:_?id)?|tenant(?:_?id)?)[\"']?[ \t]*+[:=][ \t]*+[\"']?([A-Za-z0-9._@+-]{3,})", re.I | re.A)
+SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:pwd|pass|pw|passphrase|credential|private_?key)[\"']?[ \t]*+[:=][ \t]*+[\"']?([^\s\"',;<>]{6,})", re.I | re.A)
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,}")
-HOST = re.compile(r"(?<![A-Za-z0-9_])(?:host|hostname|server|endpoint|url|bucket)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9.:/_-]{4,})", re.I | re.A)
+HOST = re.compile(r"(?<![A-Za-z0-9_])(?:host|hostname|server|endpoint|url|bucket)[\"']?[ \t]*+[:=][ \t]*+[\"']?([A-Za-z0-9.:/_-]{4,})", re.I | re.A)
 EMPTY_LINE = re.compile(r"\n[ \t\r]*\n")
 #: How far apart parts may stand, in code points, and the least entropy of a lone secret, in bits a sign.
 REACH, ENTROPY = 300, 3.6
@@ -66,7 +66,7 @@ def lone_secrets(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return i == 0 or furthest[i - 1] <= a
 
     def mixed(t: str) -> bool:
-        return any(c.isdigit() for c in t) and any("A" <= c <= "Z" for c in t) and any("a" <= c <= "z" for c in t) and entropy(t[:256]) >= ENTROPY
+        return any(c.isdigit() for c in t) and any("A" <= c <= "Z" for c in t) and any("a" <= c <= "z" for c in t) and entropy(t) >= ENTROPY
 
     out = [("weak_secret", *m.span()) for m in LONG.finditer(text) if free(*m.span()) and mixed(m.group())]
     return out + [("weak_secret", *m.span(1)) for m in SECRET.finditer(text) if free(*m.span(1))]

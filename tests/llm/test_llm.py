@@ -82,6 +82,17 @@ def test_secrets_links_past_long_and_nested_parts():
     assert [x[0] for x in secrets.spans(t) if x[0] == "weak_secret"] == []
 
 
+def test_secrets_in_aligned_files_and_padded_tokens():
+    for gap in (" ", " " * 9, "\t" * 6, " " * 40):
+        for names in (("user", "host", "pwd"), ("client_id", "endpoint", "passphrase")):
+            t = "".join(f"{k}{gap}={gap}{v}\n" for k, v in zip(names, ("admin", "db1.example", "hunter22"), strict=True))
+            assert [(x[0], t[x[1] : x[2]]) for x in secrets.spans(t)] == [("weak_id", "admin"), ("endpoint", "db1.example"), ("weak_secret", "hunter22")]
+    r = random.Random(10)
+    token = "A" * 256 + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(2000))
+    assert [x[0] for x in secrets.spans(f"host=db1.example {token}")] == ["endpoint", "weak_secret"]
+    assert secrets.spans("user" + " " * 200_000 + "pwd" + "\t" * 200_000) == []
+
+
 # 2 and 10
 
 
