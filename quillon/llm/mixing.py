@@ -8,8 +8,8 @@ blocks of a bounded number of documents; what is left of each block goes to the
 size is a tree of small folds over all executors. Draws are hashes of the documents, so reruns agree.
 
 Edge cases: a null or empty text has size 0 and is taken 0 times; a source whose texts are all empty has target 0; null
-sources come last in order and are a source of their own; repeated rows (same id, source and text) are one unit that is
-taken as often for each; null ids are ids like others; extra columns are ignored; an empty table gives an empty table.
+sources come last in order and are a source of their own; repeated rows (same id, source and text) are one unit, of
+whose copies only the last one's fraction is rounded, and which its rows share, none with more than one copy above another; null ids are ids like others; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -115,38 +115,53 @@ def rounded(parts: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``doc_id, source, body, size, repeats, source_size, target, copies`` of every distinct row.
 
-    Rows are distinct by id, source and hash of the text (``body``); each of the ``repeats`` is taken ``copies`` times.
+    Rows are distinct by id, source and hash of the text (``body``); the ``repeats`` together are taken ``copies`` times.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("body"), words(F.col(text)).alias("size"))
     units = cut(slim.groupBy("doc_id", "source", "body", "size").agg(F.count(F.lit(1)).alias("repeats")))
     goal = cut(targets(units.select("source", (F.col("size") * F.col("repeats")).alias("size"))))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate + F.lit(1e-12))
-    goal = goal.select(F.col("source").alias("__source"), "source_size", "target", whole.cast("long").alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("part"))
+    goal = goal.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("rate"))
     goal = F.broadcast(goal) if goal.count() <= 10_000 else goal
 
     def aimed(rows: DataFrame) -> DataFrame:
-        return rows.join(goal, rows["source"].eqNullSafe(F.col("__source"))).drop("__source")
+        wanted = F.col("rate") * F.col("repeats")
+        whole = F.floor(wanted + F.lit(1e-12))
+        near = rows.join(goal, rows["source"].eqNullSafe(F.col("__source"))).drop("__source")
+        return near.withColumns({"whole": whole.cast("long"), "part": F.greatest(wanted - whole, F.lit(0.0))})
 
-    parts = aimed(units).withColumn("total", (F.col("size") * F.col("repeats")).cast("double"))
-    open_ = (F.col("total") > 0) & (F.col("part") > 0)
+    parts = aimed(units)
+    open_ = (F.col("size") > 0) & (F.col("part") > 0)
     key = F.struct("doc_id", "source", "body", "size", "repeats").alias("key")
-    one = rounded(parts.where(open_).select(key, "source", F.col("total").alias("size"), (F.col("part") * F.col("total")).alias("mass")))
+    one = rounded(parts.where(open_).select(key, "source", "size", (F.col("part") * F.col("size")).alias("mass")))
     back = aimed(one.select("key.*", F.col("one").cast("long").alias("one")))
     rest = parts.where(~open_).withColumn("one", F.lit(0).cast("long"))
     cols = ["doc_id", "source", "body", "size", "repeats", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("one")).otherwise(F.lit(0).cast("long")).alias("copies")]
     return back.select(*cols).unionByName(rest.select(*cols))
 
 
+def share(copies: str, repeats: str, i: Column) -> Column:
+    """How many of a unit's copies the i-th of its repeated rows gets, from 1."""
+    return F.expr(f"{copies} div {repeats}") + (i <= F.col(copies) % F.col(repeats)).cast("long")
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    n = mixed(docs, text, doc_id, source).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "body", F.col("copies").cast("int").alias("__copies"))
-    n = n.withColumnRenamed("body", "__body")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__body"))
-    return docs.join(n, same).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+
+    def unit(i: Column, s: Column, body: Column) -> Column:
+        return F.struct(i.alias("i"), s.alias("s"), body.alias("b")).alias("__unit")  # equal structs have nulls at the same places
+
+    n = mixed(docs, text, doc_id, source).where("copies > 0").select(unit(F.col("doc_id"), F.col("source"), F.col("body")), "copies", "repeats")
+    n = n.select(F.col("__unit"), F.struct("copies", "repeats").alias("__n"))
+    # of one type on both sides: a cast in the join's key would have the window's rows moved again
+    own = unit(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.xxhash64(F.col(f"`{text}`"))).cast(n.schema["__unit"].dataType)
+    rows = docs.withColumn("__unit", own).join(n, "__unit")
+    i = F.row_number().over(Window.partitionBy("__unit").orderBy("__unit"))
+    rows = rows.withColumn("__copies", share("__n.copies", "__n.repeats", i).cast("int")).where("__copies > 0")
+    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row."""
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))
-    return mixed(docs).withColumn("__again", each).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed(docs).withColumn("__again", each).select("doc_id", "size", "source_size", "target", (share("copies", "repeats", F.col("__again")) * F.col("size")).alias("taken"))

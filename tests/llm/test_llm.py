@@ -199,6 +199,26 @@ def test_mixing_targets_and_repeats(spark):
     assert mixing.mix(docs).count() == sum(x.taken // x["size"] for x in got if x["size"])
 
 
+def test_mixing_of_many_equal_rows(spark):
+    r = random.Random(11)
+    rows = [(i, "w " * r.randrange(1, 40), "en", "a" if i % 2 else "b", 0) for i in range(60)]
+    rows += [(1000, "w " * 40, "en", "a", 0)] * 101 + [(None, "w " * 30, "en", "b", 0)] * 53 + [(1001, "w " * 7, "en", None, 0)] * 90
+    docs = spark.createDataFrame(rows, DOCS)
+    source = {i: s for i, _, _, s, _ in rows}
+    got = mixing.report(docs).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        own = [x for x in got if source[x.doc_id] == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 40
+    for i in (1000, None, 1001):
+        n = [x.taken // x["size"] for x in got if x.doc_id == i]
+        assert max(n) - min(n) <= 1
+    count = {i: 0 for i in source}
+    for x in mixing.mix(docs).collect():
+        count[x.doc_id] += 1
+    assert count == {i: sum(x.taken // x["size"] for x in got if x.doc_id == i) for i in source}
+
+
 # 5
 
 
