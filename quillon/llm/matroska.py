@@ -2,6 +2,8 @@
 
 ``parse`` reads variable-length ids and sizes, walks segments and clusters of known or unknown size, undoes Xiph, fixed
 and EBML lacing, and gives one row per frame with its track, timestamp and byte range, beside the tracks and cues.
+Packets' times are nanoseconds by the file's scale, and whole milliseconds of them; within a laced block by its duration,
+else the track's default one, else the length of PCM samples, else unknown (null). Cues and the duration stay in ticks.
 ``mux`` stores bytes losslessly as 8-bit samples in an audio track, frames of 192 samples laced into blocks.
 
 Edge cases: a null text is stored as one padded frame, as an empty one is; equal texts give equal files; nothing in a
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +28,7 @@ EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x15
 EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 NUMBER, UID, TYPE, LACING, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE, GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+TIMESTAMP, SIMPLE, GROUP, BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0x23E383
 POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TOP = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
 
@@ -36,11 +39,12 @@ LACED, BLOCKS = 16, 32
 
 class Packet(NamedTuple):
     track: int
-    timestamp: int
+    timestamp: int | None
     offset: int
     size: int
     cluster: int
     keyframe: bool
+    time_ns: int | None
 
 
 class Media(NamedTuple):
@@ -110,7 +114,7 @@ def mux(payload: bytes, how: str = "fixed", laced: int = LACED, blocks: int = BL
     count = len(payload) // FRAME
     info = element(INFO, number(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", count * FRAME_MS)) + element(MUXER, b"quillon") + element(WRITER, b"quillon"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", RATE_HZ)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(TYPE, 2) + number(LACING, int(how != "none")) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, number(NUMBER, 1) + number(UID, 1) + number(TYPE, 2) + number(LACING, int(how != "none")) + number(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     for first in range(0, count, laced * blocks):
         parts = [number(TIMESTAMP, first * FRAME_MS)]
@@ -200,6 +204,19 @@ def frames_of(data, at: int, end: int) -> tuple[int, int, bool, list[tuple[int,
     return track, time, bool(flags & 0x80), out
 
 
+def times(start: int, sizes: list[int], length: int | None, track: dict) -> list[int | None]:
+    """When the frames of a block start, in nanoseconds, from the block's time and its length if it has one."""
+    n, each = len(sizes), track.get("default_ns", 0)
+    if n == 1 or length is not None:
+        return [start + i * (length or 0) // n for i in range(n)]
+    if each:
+        return [start + i * each for i in range(n)]
+    bits = track["rate"] * track["channels"] * track["depth"] if track.get("codec", "").startswith("A_PCM/") else 0
+    if bits:
+        return [start + round(8e9 * before / bits) for before in accumulate(sizes[:-1], initial=0)]
+    return [start, *[None] * (n - 1)]
+
+
 def parse(data: bytes) -> Media:
     """The tables of a file; ValueError if it is damaged or cut off."""
     try:
@@ -210,6 +227,7 @@ def parse(data: bytes) -> Media:
 
 def read(data: bytes) -> Media:
     tracks: list[dict] = []
+    by_number: dict[int, dict] = {}
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     clusters: list[int] = []
@@ -220,7 +238,8 @@ def read(data: bytes) -> Media:
     for kind, a, b in top:
         if kind != SEGMENT:
             continue
-        for k, c, d in children(data, a, b):
+        # what the times of packets depend on first, wherever it stands
+        for k, c, d in sorted(children(data, a, b), key=lambda x: x[0] not in (INFO, TRACKS)):
             if k == INFO:
                 for x, e, f in children(data, c, d):
                     scale = uint(data, e, f) if x == SCALE else scale
@@ -228,10 +247,12 @@ def read(data: bytes) -> Media:
             elif k == TRACKS:
                 for x, e, f in children(data, c, d):
                     if x == TRACK:
-                        t: dict = {"number": 0, "type": 0, "codec": "", "rate": 0.0, "channels": 1, "depth": 0, "default_ms": FRAME_MS}
+                        t: dict = {"number": 0, "type": 0, "codec": "", "rate": 0.0, "channels": 1, "depth": 0, "default_ns": 0}
                         for y, g, h in children(data, e, f):
                             if y in (NUMBER, TYPE):
                                 t["number" if y == NUMBER else "type"] = uint(data, g, h)
+                            elif y == DEFAULT_DURATION:
+                                t["default_ns"] = uint(data, g, h)
                             elif y == CODEC:
                                 t["codec"] = bytes(data[g:h]).decode("ascii", "replace")
                             elif y == AUDIO:
@@ -241,6 +262,7 @@ def read(data: bytes) -> Media:
                                     elif z in (CHANNELS, DEPTH):
                                         t["channels" if z == CHANNELS else "depth"] = uint(data, i, j)
                         tracks.append(t)
+                        by_number[t["number"]] = t
             elif k == CLUSTER:
                 base, number_of = 0, len(clusters)
                 clusters.append(c)
@@ -259,8 +281,8 @@ def read(data: bytes) -> Media:
                     elif x != SIMPLE:
                         continue
                     track, time, key, ranges = frames_of(data, e, f)
-                    step = length / len(ranges) if length is not None else FRAME_MS
-                    packets += [Packet(track, int(base + time + i * step), o, n, number_of, key) for i, (o, n) in enumerate(ranges)]
+                    at_ns = times((base + time) * scale, [n for _, n in ranges], length if length is None else length * scale, by_number.get(track, {}))
+                    packets += [Packet(track, None if t is None else t // 1_000_000, o, n, number_of, key, t) for (o, n), t in zip(ranges, at_ns, strict=True)]
             elif k == CUES:
                 for x, e, f in children(data, c, d):
                     if x == POINT:
@@ -316,7 +338,7 @@ def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per packet of every file in a binary column: track, timestamp, byte range, cluster, keyframe."""
+    """One row per packet of every file in a binary column: track, timestamp (ms), byte range, cluster, keyframe, time in nanoseconds."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
@@ -330,8 +352,8 @@ def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") ->
                 for a in range(0, len(rows), 100_000):
                     part = rows[a : a + 100_000]
                     cols = list(zip(*part, strict=True))
-                    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+                    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
                     keys = pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type)
                     yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    return files.select(F.col(key), F.col(media)).mapInArrow(run, f"`{key}` {kind}, track int, timestamp long, offset long, size long, cluster int, keyframe boolean")
+    return files.select(F.col(key), F.col(media)).mapInArrow(run, f"`{key}` {kind}, track int, timestamp long, offset long, size long, cluster int, keyframe boolean, time_ns long")

@@ -320,6 +320,36 @@ def test_matroska_round_trip_and_lacing(spark):
     assert matroska.packet_table(matroska.media_columns(frame(spark, ["a" * 400]))).count() == 3
 
 
+def foreign_media(scale, track, block_duration=None, tracks_last=False):
+    m = matroska
+    info = m.element(m.INFO, m.number(m.SCALE, scale))
+    tracks = m.element(m.TRACKS, m.element(m.TRACK, m.number(m.NUMBER, 1) + m.number(m.TYPE, 2) + track))
+    flags, body = m.lace([b"a" * 300, b"b" * 10, b"c" * 90], "xiph")
+    block = b"\x81" + (5).to_bytes(2, "big") + bytes([flags]) + body
+    part = m.element(m.SIMPLE, block) if block_duration is None else m.element(m.GROUP, m.element(m.BLOCK, block) + m.number(m.BLOCK_DURATION, block_duration))
+    cluster = m.element(m.CLUSTER, m.number(m.TIMESTAMP, 1000) + part)
+    return m.element(m.EBML, m.number(m.EBML_VERSION, 1)) + m.element(m.SEGMENT, cluster + info + tracks if tracks_last else info + tracks + cluster)
+
+
+def test_matroska_times_of_laced_frames(spark):
+    m, default = matroska, lambda n: matroska.number(0x23E383, n)
+    codec = lambda name: m.element(m.CODEC, name)
+    opus, pcm = codec(b"A_OPUS"), codec(b"A_PCM/INT/LIT") + m.element(m.AUDIO, m.element(m.RATE, b"\x40\x8f\x40" + b"\x00" * 5) + m.number(m.CHANNELS, 1) + m.number(m.DEPTH, 8))
+    for last in (False, True):
+        for scale, track, duration, want in (
+            (1_000_000, opus + default(20_000_000), None, [1005_000_000, 1025_000_000, 1045_000_000]),
+            (20_833, opus + default(2_500_000), None, [1005 * 20_833, 1005 * 20_833 + 2_500_000, 1005 * 20_833 + 5_000_000]),
+            (100_000, opus, 90, [100_500_000, 103_500_000, 106_500_000]),
+            (1_000_000, pcm, None, [1005_000_000, 1305_000_000, 1315_000_000]),
+            (1_000_000, opus, None, [1005_000_000, None, None]),
+        ):
+            got = m.parse(foreign_media(scale, track, duration, last)).packets
+            assert [p.time_ns for p in got] == want and [p.timestamp for p in got] == [t if t is None else t // 1_000_000 for t in want]
+    assert m.parse(m.mux(b"z" * 192 * 3)).tracks[0]["default_ns"] == 24_000_000
+    files = spark.createDataFrame([(1, foreign_media(1_000_000, opus))], "doc_id long, media binary")
+    assert [r.timestamp for r in m.packet_table(files).orderBy("offset").collect()] == [1005, None, None]
+
+
 # 8
 
 
