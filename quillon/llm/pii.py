@@ -11,7 +11,8 @@ The trees are trained on the driver, on EXAMPLES generated sentences (a bound, w
 come from the same expressions as the rows'.
 
 Patterns are written so that no text takes more than linear time: runs are taken whole (possessive) and a start inside
-a run that has failed isn't tried again.
+a run that has failed isn't tried again. Places are sums over blocks of matches, a candidate's surroundings come from the gaps
+beside it, and base spans that it touches are found by halving, so a text of very many matches takes little more than that, too.
 
 Edge cases: a null text is taken as empty; equal rows give equal rows; extra columns are ignored; an empty table gives an
 empty table; digits in runs longer than any kind are no candidates.
@@ -19,6 +20,7 @@ empty table; digits in runs longer than any kind are no candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -41,31 +43,73 @@ PATTERNS = {
 #: A sign without which a kind can't occur; texts without it skip its pattern.
 NEEDS = {"email": "@", "phone": "+", "spelled_email": "(?i)dot"}
 BEFORE, AFTER = 32, 8
+#: Matches summed at once, and signs that a long text is cut into.
+BLOCK, CHUNK = 128, 1024
 #: Training sentences, trees, share of held-out sentences, and the precision asked of them.
 EXAMPLES, TREES, RATE, HELD_OUT, PRECISION = 4000, 40, 0.3, 0.3, 0.99
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, most: bool = False) -> Column:
+    """For each of an array of integers the sum (or the most, 0 at least) of those before it.
+
+    An array that grows by one is copied each time, so blocks of BLOCK are summed first: each element costs a block at most.
+    """
+
+    def over(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: F.greatest(acc, x) if most else acc + x)
+
+    def both(x: Column, y: Column) -> Column:
+        return F.greatest(x, y) if most else x + y
+
+    def all_of(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: over(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(totals, lambda t: F.transform(t, lambda _, b: over(F.slice(t, F.lit(1), b))))
+        return let(before, lambda t: F.transform(v, lambda _, i: both(t[(i / BLOCK).cast("int")], over(F.slice(v, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, all_of(v)).otherwise(F.array().cast("array<int>")))
+
+
+def last(text: Column, n: int) -> Column:
+    """At most the last ``n`` signs."""
+    return F.when(F.length(text) > n, F.substring(text, -n, n)).otherwise(text)
+
+
 def found(text: Column, kind: str) -> Column:
-    """The matches of a kind in order, with start and end in code points.
+    """The matches of a kind in order, with start and end in code points, and for wider kinds the signs before and after.
 
-    The gaps between matches come from splitting by the same pattern; their lengths give the places.
+    The gaps between matches come from splitting by the same pattern; their lengths give the places, and they hold the signs
+    around a match: three matches before it are longer than BEFORE, the next one is longer than AFTER.
     """
-    pattern = F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    shape = "array<struct<kind:string,start:int,end:int,m:string>>"
-    none = F.array().cast(shape)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["m"].alias("m"))).alias("out"))
-
-    placed = F.aggregate(each, start, step, lambda acc: acc["out"])
+    shape = "kind:string,start:int,end:int,m:string" + (",before:string,after:string" if kind in MORE else "")
+    none = F.array().cast(f"array<struct<{shape}>>")
+
+    def placed(matches: Column, gaps: Column, starts: Column) -> Column:
+        def each(m: Column, i: Column) -> Column:
+            at = starts[i] + F.length(gaps[i])
+            cols = [F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), m.alias("m")]
+            if kind in MORE:
+                back = [F.when(i >= k, F.concat(last(gaps[i - k], BEFORE), matches[i - k])).otherwise(F.lit("")) for k in (3, 2, 1)]
+                cols.append(last(F.concat(*back, last(gaps[i], BEFORE)), BEFORE).alias("before"))
+                cols.append(F.substring(F.concat(F.substring(gaps[i + 1], 1, AFTER), F.coalesce(F.get(matches, i + 1), F.lit(""))), 1, AFTER).alias("after"))
+            return F.struct(*cols)
+
+        return F.transform(matches, each)
+
+    def located(matches: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            steps = F.transform(matches, lambda m, i: F.length(gaps[i]) + F.length(m))
+            return let(running(steps), lambda starts: placed(matches, gaps, starts))
+
+        return F.when(F.size(matches) > 0, let(F.split(text, PATTERNS[kind], -1), with_gaps)).otherwise(none)
+
     need = F.contains(text, F.lit(NEEDS[kind])) if len(NEEDS.get(kind, "long")) == 1 else F.rlike(text, F.lit(NEEDS.get(kind, "[0-9]")))
-    return F.when(need, placed).otherwise(none)
+    return F.when(need, let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), located)).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -106,11 +150,9 @@ WORDS = {
 }
 
 
-def features(x: Column, text: Column) -> list[Column]:
+def features(x: Column) -> list[Column]:
     """Numbers of a candidate: its form, and the signs and words around it."""
-    before = F.when(x["start"] > 0, F.substring(text, F.greatest(x["start"] - BEFORE, F.lit(0)) + 1, F.least(x["start"], F.lit(BEFORE)))).otherwise(F.lit(""))
-    after = F.substring(text, x["end"] + 1, F.lit(AFTER))
-    m = x["m"]
+    before, after, m = x["before"], x["after"], x["m"]
     flag = lambda c: c.cast("double")
     return [
         *[flag(x["kind"] == k) for k in MORE],
@@ -200,15 +242,15 @@ def trained_on(rows: tuple) -> tuple[tuple, dict[str, float]]:
 
 
 def train(spark: SparkSession) -> tuple[tuple, dict[str, float]]:
-    made = candidates(examples(spark)).select("id", "label", "text", F.explode("__more").alias("x")).select("id", "label", F.array(*features(F.col("x"), F.col("text"))).alias("f"))
+    made = candidates(examples(spark)).select("id", "label", F.explode("found.more").alias("x")).select("id", "label", F.array(*features(F.col("x"))).alias("f"))
     return trained_on(tuple((r["label"], *r["f"]) for r in made.orderBy("id", "f").collect()))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` (checked) and ``__more`` (not yet scored), arrays of kind, start, end, match."""
+def candidates(docs: DataFrame, text: str = "text", into: str = "found") -> DataFrame:
+    """``docs`` with a struct of ``base`` (for each kind its checked matches) and ``more`` (not yet scored)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[F.filter(found(t, k), VALID[k]) for k in BASE])
-    return docs.withColumn("__base", base).withColumn("__more", F.concat(*[found(t, k) for k in MORE]))
+    base = F.struct(*[F.filter(found(t, k), VALID[k]).alias(k) for k in BASE])
+    return docs.withColumn(into, F.struct(base.alias("base"), F.concat(*[found(t, k) for k in MORE]).alias("more")))
 
 
 def expression(t: tuple, f: Column) -> Column:
@@ -217,41 +259,85 @@ def expression(t: tuple, f: Column) -> Column:
     return F.when(f[t[0]] <= t[1], expression(t[2], f)).otherwise(expression(t[3], f))
 
 
-def selected(rows: DataFrame, trees: tuple, at: dict[str, float], text: str = "text", into: str = "spans") -> DataFrame:
+def touches(spans: Column, x: Column) -> Column:
+    """Whether one of the spans (disjoint, by start) has a sign of ``x``: the last that starts before the end of ``x``, if any.
+
+    Few are looked through; of many that one is found by halving.
+    """
+
+    def halve(bounds: Column, _: Column) -> Column:
+        mid = F.shiftright(bounds["low"] + bounds["high"], 1)
+        below = spans[mid]["start"] < x["end"]
+        open_ = bounds["low"] < bounds["high"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(bounds["low"]).alias("low"), F.when(open_ & ~below, mid).otherwise(bounds["high"]).alias("high"))
+
+    n = F.aggregate(F.sequence(F.lit(1), F.lit(31)), F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda b: b["low"])
+    many = let(n, lambda i: F.when(i > 0, spans[i - 1]["end"] > x["start"]).otherwise(F.lit(False)))
+    return F.when(F.size(spans) <= 24, F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))).otherwise(many)
+
+
+def selected(rows: DataFrame, trees: tuple, at: dict[str, float], found_: str = "found", into: str = "spans") -> DataFrame:
     """``rows`` with the spans: the base spans, and the candidates past their kind's threshold that touch none of them."""
 
     def passes(x: Column) -> Column:
-        scored = F.aggregate(F.array(F.array(*features(x, F.col(text)))), F.lit(0.0), lambda s, f: s + sum((RATE * expression(t, f) for t in trees), F.lit(0.0)))
+        scored = F.aggregate(F.array(F.array(*features(x))), F.lit(0.0), lambda s, f: s + sum((RATE * expression(t, f) for t in trees), F.lit(0.0)))
         limit = F.element_at(F.create_map(*[v for k, s in at.items() for v in (F.lit(k), F.lit(s))]), x["kind"])
         return scored >= limit
 
-    apart = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.when(F.size("__more") > 0, F.filter("__more", lambda x: apart(x) & passes(x))).otherwise(F.col("__more"))
-    slim = F.transform(F.concat("__base", more), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.withColumn(into, slim).drop("__base", "__more")
+    def slim(spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    def of(c: Column) -> Column:
+        def apart(x: Column) -> Column:
+            out = F.lit(True)
+            for k in BASE:
+                out = out & ~touches(c["base"][k], x)
+            return out
+
+        more = F.when(F.size(c["more"]) > 0, F.filter(c["more"], lambda x: apart(x) & passes(x))).otherwise(c["more"])
+        return F.concat(*[slim(c["base"][k]) for k in BASE], slim(more))
+
+    return rows.withColumn(into, let(F.col(found_), of))
 
 
 def personal_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = "spans") -> DataFrame:
-    """The kept columns (all but the text by default) and the spans: array of kind, start, end by kind and then start."""
+    """The kept columns (all but the text by default; none may be named like ``into``) and the spans: array of kind, start, end by kind and then start."""
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     trees, at = train(docs.sparkSession)
-    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]).withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return selected(candidates(slim, "__t"), trees, at, "__t", into).select(*[F.col(f"`{c}`") for c in keep], into)
+    kept = [F.col(f"`{c}`") for c in keep]
+    slim = docs.select(F.struct(*kept, F.lit(0).alias("__none")).alias("kept"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    out = selected(candidates(slim), trees, at)
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], F.col("spans").alias(into))
+
+
+def cut_out(chunks: Column, start: Column, end: Column) -> Column:
+    """The signs from ``start`` to ``end`` of a text in chunks of CHUNK signs."""
+
+    def parts(a: Column, b: Column) -> Column:
+        inside = F.substring(chunks[a], start % CHUNK + 1, end - start)
+        across = F.concat(F.substring(chunks[a], start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, b - a - 1), ""), F.substring(F.coalesce(F.get(chunks, b), F.lit("")), F.lit(1), end % CHUNK))
+        return F.when(a == b, inside).otherwise(across)
+
+    return F.when(start < end, parts((start / CHUNK).cast("int"), (end / CHUNK).cast("int"))).otherwise(F.lit(""))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """A text with its spans, overlapping ones as one, replaced by the name of their first kind."""
-    t = F.coalesce(text, F.lit(""))
-    order = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = x["start"] - acc["at"]
-        piece = F.array(F.substring(t, acc["at"] + 1, F.greatest(gap, F.lit(0))), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(gap < 0, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
+    def done(chunks: Column) -> Column:
+        order = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+        def pieces(xs: Column) -> Column:
+            def piece(reached: Column) -> Column:
+                names = F.transform(xs, lambda x, i: F.when((x["start"] < reached[i]), F.lit("")).otherwise(F.concat(cut_out(chunks, reached[i], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
+                end = F.greatest(reached[F.size(xs) - 1], xs[F.size(xs) - 1]["end"])
+                return F.concat(F.array_join(names, ""), cut_out(chunks, end, F.length(text)))
+
+            return let(running(F.transform(xs, lambda x: x["end"]), True), piece)
+
+        return let(order, pieces)
 
-    done = F.aggregate(order, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), done)).otherwise(text)
 
 
 def of_kind(kind: str):
