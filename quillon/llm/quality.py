@@ -29,6 +29,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 DROP_WORD = str.maketrans("", "", " \t\n\x0b\x0c\r")
 #: Growth of the buckets of a sketch, and what is added to a value so that zero has a bucket.
 GROWTH, LEAST = 1.02, 1e-3
+#: Groups of language and source up to which their fences are broadcast (some 200 bytes each).
+MOST_BROADCAST = 20_000
 #: Rows of a source at which its own fences weigh as much as those of its language.
 PRIOR = 200.0
 #: Of each measure: its name, how far from the median a fence stands in units of the upper or lower half of the middle 80 %, the least distance, and which sides have one.
@@ -139,10 +141,11 @@ def fences(sketch: DataFrame) -> DataFrame:
     return ends.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == r[0], F.struct("lower_end", "upper_end"))).alias(r[0]) for r in RULES])
 
 
-def judged(rows: DataFrame, m: str = "__m", lang: str = "lang", source: str = "source", into: str = "__kept") -> DataFrame:
-    """``rows`` with a verdict, by the fences of all rows."""
-    f = fences(sketches(rows, m, lang, source)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[r[0] for r in RULES]).alias("__fence"))
-    joined = rows.join(f, rows[lang].eqNullSafe(f["__lang"]) & rows[source].eqNullSafe(f["__source"]), "left")
+def judged(rows: DataFrame, measures: DataFrame, m: str = "__m", lang: str = "lang", source: str = "source", into: str = "__kept") -> DataFrame:
+    """``rows`` with a verdict, by the fences of the rows ``measures``. The fences are written first and broadcast only if they are few."""
+    f = cut(fences(sketches(measures, m, lang, source)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[r[0] for r in RULES]).alias("__fence")))
+    few = F.broadcast(f) if f.count() <= MOST_BROADCAST else f
+    joined = rows.join(few, rows[lang].eqNullSafe(f["__lang"]) & rows[source].eqNullSafe(f["__source"]), "left")
     inside = F.lit(True)
     for k, v in ratios(F.col(m)).items():
         end = F.col("__fence")[k]
@@ -151,8 +154,14 @@ def judged(rows: DataFrame, m: str = "__m", lang: str = "lang", source: str = "s
 
 
 def quality(docs: DataFrame, carry: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The carried columns (all by default) with the struct ``__m`` of counts and the verdict ``__kept``.
+    """The carried columns (all by default; none may be named like the two that follow) with the struct ``__m`` of counts and the verdict ``__kept``.
 
-    The measures are written once to the shared folder, for the sketches and for the filter.
+    The measures are written once to the shared folder, for the sketches and for the filter; where texts are carried along, they are
+    measured twice instead, so that no copy of them is written or shuffled.
     """
-    return judged(cut(measured(docs, carry or docs.columns, text)), lang=lang, source=source)
+    carry = carry or docs.columns
+    rows = measured(docs, carry, text)
+    if text in carry:
+        return judged(rows, measured(docs, [lang, source], text), lang=lang, source=source)
+    rows = cut(rows)
+    return judged(rows, rows, lang=lang, source=source)
