@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
@@ -47,7 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark) + "/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing is to be computed from them any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def map_texts(docs: DataFrame, work: Callable[[], Callable[[list], list]], schema: str, key: str | list[str] = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
@@ -89,3 +101,24 @@ def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_clear: dict[str, Callable[[], object]] = {}
+
+
+def remembers(name: str, clear: Callable[[], object]) -> None:
+    """Says how what a worker remembers for the operator ``name`` is let go."""
+    _clear[name] = clear
+
+
+def works(name: str) -> None:
+    """Called where an operator works: a worker process outlives a stage, and keeps what one operator remembers at a time."""
+    global _at_work
+    if _at_work != name:
+        for other, clear in _clear.items():
+            if other != name:
+                clear()
+        _at_work = name
+
+
+_at_work = ""

@@ -24,7 +24,7 @@ from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, remembers, works
 
 MARK = "▁"
 #: Stretches remembered by a worker in each of two generations, the longest that are, and the pairs of pieces.
@@ -206,9 +206,17 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
+def made(path: str) -> Pieces:
+    return Pieces(path)
+
+
+remembers("pieces", made.cache_clear)
+
+
 def loaded(path: str) -> Pieces:
     """The model of a worker process, with what it remembers."""
-    return Pieces(path)
+    works("pieces")
+    return made(path)
 
 
 def _digests(path: str):

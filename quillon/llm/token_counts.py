@@ -17,7 +17,7 @@ from functools import lru_cache, partial
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, remembers, works
 
 #: Unicode White_Space, which the tokenizer's pattern takes as \\s.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -116,9 +116,17 @@ class Counter:
 
 
 @lru_cache(maxsize=1)
+def made(path: str) -> Counter:
+    return Counter(path)
+
+
+remembers("counts", made.cache_clear)
+
+
 def loaded(path: str) -> Counter:
     """The counter of a worker process, with what it remembers."""
-    return Counter(path)
+    works("counts")
+    return made(path)
 
 
 def _work(path: str):
