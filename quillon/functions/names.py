@@ -11,13 +11,35 @@ def prefix_of(fqn: Column) -> Column:
     return F.split_part(fqn, F.lit("("), F.lit(1))
 
 
-def simple_key(fqn: Column) -> Column:
-    """``Type#member``."""
-    return F.regexp_replace(prefix_of(fqn), r"^.*\.", "")
+def type_part(fqn: Column) -> Column:
+    """What stands before the first ``#``."""
+    return F.split_part(fqn, F.lit("#"), F.lit(1))
 
 
 def member_name(fqn: Column) -> Column:
-    return F.regexp_replace(prefix_of(fqn), "^.*#", "")
+    """The member behind the first ``#``, without parameters; null if there is none."""
+    return F.when(fqn.contains("#"), prefix_of(F.regexp_replace(fqn, "^[^#]*#", "")))
+
+
+def simple_key(fqn: Column) -> Column:
+    """``Type#member`` without package, or ``Type``."""
+    return F.concat(last_segment(type_part(fqn)), F.coalesce(F.concat(F.lit("#"), member_name(fqn)), F.lit("")))
+
+
+def package_of(fqn: Column) -> Column:
+    """What stands before the last ``::`` of the type, else before its last dot, else nothing."""
+    t = type_part(fqn)
+    return F.when(t.contains("::"), F.regexp_extract(t, "^(.*)::", 1)).when(t.contains("."), F.regexp_extract(t, r"^(.*)\.", 1)).otherwise(F.lit(""))
+
+
+def graphql_coordinate(fqn: Column) -> Column:
+    """The schema coordinate of ``graphql:module:Type.field`` or ``graphql:Type.field``; null for other names."""
+    return F.when(fqn.startswith("graphql:"), F.regexp_replace(fqn, "^(?:graphql:)(?:.*:)?", ""))
+
+
+def graphql_module(fqn: Column) -> Column:
+    """The module of a namespaced coordinate, else null."""
+    return F.when(fqn.rlike("^graphql:.*:"), F.regexp_extract(fqn, "^graphql:(.*):", 1))
 
 
 def last_segment(path: Column) -> Column:
@@ -31,11 +53,16 @@ def subject_prefixes(fqn: Column) -> Column:
 
 
 def fqn_shape(fqn: Column) -> Column:
-    """Without parameters and, to three levels, without generics."""
-    out = prefix_of(fqn)
-    for _ in range(3):
-        out = F.regexp_replace(out, "<[^<>]*>", "")
-    return out
+    """Without generics, however deep, and then without parameters."""
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = F.when(piece == "<", acc["depth"] + 1).when(piece == ">", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        keep = (acc["depth"] == 0) & ~piece.isin("<", ">")
+        return F.struct(depth.alias("depth"), F.when(keep, F.array_append(acc["kept"], piece)).otherwise(acc["kept"]).alias("kept"))
+
+    pieces = F.regexp_extract_all(fqn, F.lit("[<>]|[^<>]+"), F.lit(0))
+    return prefix_of(F.aggregate(pieces, start, step, lambda acc: F.array_join(acc["kept"], "")))
 
 
 def name_tokens(name: Column) -> Column:
@@ -58,7 +85,9 @@ def module_of(path: Column) -> Column:
 
 
 def is_test(path: Column, fqn: Column) -> Column:
-    return path.contains("/test/") | path.contains("Test.") | path.contains(".spec.") | path.contains(".test.") | fqn.contains("#test") | fqn.contains("Test#")
+    """Whether a symbol is test code, by five forms of paths and three of names."""
+    by_path = path.contains("/test/") | path.contains("/tests/") | path.endswith(".test.ts") | path.endswith(".test.tsx") | path.endswith(".spec.ts")
+    return by_path | fqn.contains("Test#") | fqn.endswith("Test") | fqn.endswith("Tests")
 
 
 def is_frontend(path: Column) -> Column:

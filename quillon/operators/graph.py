@@ -2,7 +2,8 @@
 
 A node's impact is the largest product of weight times confidence over paths of bounded length from any seed; a later,
 weaker arrival can't improve anything behind it, so one maximum per node and level is enough. Levels are joins against
-edges capped once by a window; the loop on the driver sees row counts only.
+edges capped once by a window; each level is written once, so none is computed again for the next, and the loop on the driver
+sees row counts only and ends when nothing is left to follow.
 
 Edge cases: cycles and loops end by the depth; seeds never are results; seeds without edges give no rows.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.derive import WEIGHTS
+from .settle import sized
 
 BODY = ("reads", "writes", "persists", "emits", "calls", "calls_graphql", "calls_http")
 DEPTH, FLOOR, FAN_OUT = 5, 0.15, 200
@@ -42,32 +44,39 @@ def impact(edges: DataFrame, seeds: DataFrame, reverse: bool = True, depth: int
     ``body_only`` drops other edges at the first level, before the cap.
     """
     steps = weighted(edges, reverse)
+    if body_only:
+        steps = steps.persist()
     later = capped(steps, cap).select("node", "next", "score").persist()
     first = capped(steps.where(F.col("edge_type").isin(*BODY)), cap).select("node", "next", "score") if body_only else later
-    origin = seeds.select(F.col("fqn").alias("seed")).distinct().persist()
-    front = origin.select(F.col("seed").alias("node"), F.lit(1.0).alias("at"))
-    reached = None
+    origin, _ = sized(seeds.select(F.col("fqn").alias("seed")).distinct())
+    front, n = sized(origin.select(F.col("seed").alias("node"), F.lit(1.0).alias("at")))
+    found = origin.sparkSession.createDataFrame([], "node string, at double, depth int")
     for level in range(1, depth + 1):
+        if not n:
+            break
         moved = front.join(first if level == 1 else later, "node").select(F.col("next").alias("node"), (F.col("at") * F.col("score")).alias("at")).where(F.col("at") >= floor)
-        front = moved.groupBy("node").agg(F.max("at").alias("at")).join(F.broadcast(origin), F.col("node") == F.col("seed"), "left_anti")
-        now = front.withColumn("depth", F.lit(level))
-        reached = now if reached is None else reached.unionByName(now)
+        front, n = sized(moved.groupBy("node").agg(F.max("at").alias("at")).join(origin, F.col("node") == F.col("seed"), "left_anti"))
+        found = found.unionByName(front.withColumn("depth", F.lit(level)))
+    later.unpersist()
+    steps.unpersist()
     best = F.max(F.struct(F.col("at"), (-F.col("depth")).alias("d")))
-    return reached.groupBy(F.col("node").alias("fqn")).agg(best.alias("b")).select("fqn", thousandths(F.col("b.at")).alias("score"), (-F.col("b.d")).cast("int").alias("depth"))
+    return found.groupBy(F.col("node").alias("fqn")).agg(best.alias("b")).select("fqn", thousandths(F.col("b.at")).alias("score"), (-F.col("b.d")).cast("int").alias("depth"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
-    """``fqn, depth`` of every node within so many steps, without weights."""
+    """``fqn, depth`` of every node within so many steps, without weights; a node met before isn't left again."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    origin = seeds.select(F.col("fqn").alias("seed")).distinct()
-    front = origin.select(F.col("seed").alias("node"))
-    out = None
+    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct().persist()
+    front, n = sized(seeds.select(F.col("fqn").alias("node")).distinct())
+    met = front.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
-        front = front.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        now = front.withColumn("depth", F.lit(level))
-        out = now if out is None else out.unionByName(now)
-    return out.groupBy(F.col("node").alias("fqn")).agg(F.min("depth").alias("depth")).join(origin, F.col("fqn") == F.col("seed"), "left_anti")
+        if not n:
+            break
+        moved = front.join(steps, "node").select(F.col("next").alias("node")).distinct()
+        front, n = sized(moved.join(met, "node", "left_anti"))
+        met = met.unionByName(front.withColumn("depth", F.lit(level)))
+    steps.unpersist()
+    return met.where("depth > 0").select(F.col("node").alias("fqn"), "depth")
 
 
 def both_ways(edges: DataFrame, seeds: DataFrame, **how) -> DataFrame:
@@ -75,12 +84,20 @@ def both_ways(edges: DataFrame, seeds: DataFrame, **how) -> DataFrame:
     return impact(edges, seeds, True, **how).unionByName(impact(edges, seeds, False, **how)).groupBy("fqn").agg(F.max("score").alias("score"))
 
 
-def supertypes(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """``fqn, ancestor, depth``: the closure of extends and implements."""
-    pairs = edges.where(F.col("edge_type").isin("extends", "implements")).select(F.col("src").alias("fqn"), F.col("dst").alias("ancestor")).distinct()
-    step = pairs.select(F.col("fqn").alias("of"), F.col("ancestor").alias("up"))
-    front, out = pairs, pairs.withColumn("depth", F.lit(1))
+def closure(pairs: DataFrame, depth: int = 8) -> DataFrame:
+    """``fqn, ancestor, depth`` of pairs ``fqn, ancestor``: all ancestors within so many steps, each by its shortest way."""
+    front, n = sized(pairs.select("fqn", "ancestor").distinct())
+    step = front.select(F.col("fqn").alias("of"), F.col("ancestor").alias("up"))
+    out = front.withColumn("depth", F.lit(1))
     for level in range(2, depth + 1):
-        front = front.join(step, F.col("ancestor") == F.col("of")).select("fqn", F.col("up").alias("ancestor")).distinct()
+        moved = front.join(step, F.col("ancestor") == F.col("of")).select("fqn", F.col("up").alias("ancestor")).distinct()
+        front, n = sized(moved.join(out, ["fqn", "ancestor"], "left_anti"))
+        if not n:
+            break
         out = out.unionByName(front.withColumn("depth", F.lit(level)))
-    return out.groupBy("fqn", "ancestor").agg(F.min("depth").alias("depth"))
+    return out
+
+
+def supertypes(edges: DataFrame, depth: int = 8) -> DataFrame:
+    """``fqn, ancestor, depth``: the closure of extends and implements."""
+    return closure(edges.where(F.col("edge_type").isin("extends", "implements")).select(F.col("src").alias("fqn"), F.col("dst").alias("ancestor")), depth)

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 
 def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``fqn, change``: added, removed, api, body, api_and_body; both sides have ``fqn, sig_hash, body_hash``."""
-    a = old.select("fqn", F.col("sig_hash").alias("s0"), F.col("body_hash").alias("b0"))
-    b = new.select("fqn", F.col("sig_hash").alias("s1"), F.col("body_hash").alias("b1"))
-    sig, body = F.col("s0") != F.col("s1"), F.col("b0") != F.col("b1")
-    change = F.when(F.col("s0").isNull(), "added").when(F.col("s1").isNull(), "removed").when(sig & body, "api_and_body").when(sig, "api").when(body, "body")
-    return a.join(b, "fqn", "full_outer").select("fqn", change.alias("change")).where(F.col("change").isNotNull())
+    """``fqn, change``: added, removed, api, contract, body, api_and_body; both sides have ``fqn, sig_hash, body_hash`` and maybe ``annotations``.
+
+    ``annotations`` is an array of which order doesn't count. Nulls equal each other: a null hash on both sides is no change. A
+    changed signature comes before changed annotations, these before a changed body alone.
+    """
+
+    def side(df: DataFrame, k: int) -> DataFrame:
+        ann = F.sort_array(F.coalesce(F.col("annotations"), F.array().cast("array<string>"))) if "annotations" in df.columns else F.array().cast("array<string>")
+        return df.select("fqn", F.struct(F.col("sig_hash").alias("sig"), F.col("body_hash").alias("body"), ann.alias("ann")).alias(f"s{k}"))
+
+    differ = lambda f: ~F.col(f"s0.{f}").eqNullSafe(F.col(f"s1.{f}"))
+    sig, body, ann = differ("sig"), differ("body"), differ("ann")
+    change = F.when(F.col("s0").isNull(), "added").when(F.col("s1").isNull(), "removed").when(sig & body, "api_and_body").when(sig, "api").when(ann, "contract").when(body, "body")
+    return side(old, 0).join(side(new, 1), "fqn", "full_outer").select("fqn", change.alias("change")).where(F.col("change").isNotNull())
 
 
 def renames(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
@@ -34,14 +42,16 @@ def file_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Stored rows, refreshed by incoming ones of the same key, and new ones; incoming rows revive deleted ones."""
+    """Stored rows, refreshed by incoming ones of the same key whatever their values, and new ones; incoming rows revive deleted ones. A null key equals a null key."""
     cols = [c for c in stored.columns if c != key]
-    a, b = stored.alias("a"), incoming.alias("b")
-    return a.join(b, key, "full_outer").select(key, *[F.when(F.col(f"b.{cols[0]}").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in cols])
+    a = stored.select(F.col(key).alias("ka"), F.struct(*cols).alias("a"))
+    b = incoming.select(F.col(key).alias("kb"), F.struct(*cols).alias("b"))
+    both = a.join(b, F.col("ka").eqNullSafe(F.col("kb")), "full_outer")
+    return both.select(F.when(F.col("b").isNotNull(), F.col("kb")).otherwise(F.col("ka")).alias(key), *[F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in cols])
 
 
 def replace_symbols(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``fqn, file_path, authority``: of rows with one name the higher authority stays, then the same file, then the incoming one."""
+    """``fqn, file_path, authority``: of rows with one name the higher authority stays, then the incoming one, then the first path."""
     both = stored.withColumn("new", F.lit(0)).unionByName(incoming.withColumn("new", F.lit(1)))
     rank = F.when(F.col("authority") == "declares", 0).otherwise(1)
     order = Window.partitionBy("fqn").orderBy(rank, F.desc("new"), "file_path")

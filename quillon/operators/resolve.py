@@ -1,33 +1,126 @@
 """Resolution of textual hints into edges: a ladder of tiers, each a join, of which the first that applies counts.
 
-Tiers: the exact name (1.0); the name before its parameters, if unique (.9) or with 2 to 4 overloads (.9/n each);
-``Type#member`` if unique (.7); the member's name if unique (.6) or with 2 to 4 candidates (.6/n each); else the hint is
-external or unresolved. More than four candidates fall through to the next tier.
+| tier | applies if | confidence | resolution |
+|-|-|-|-|
+| exact, contract | the hint is a symbol's name; contract if it is a GraphQL name | 1.0, .95 | exact, contract |
+| prefix | the hint is the name of 1 to 4 symbols before their parameters | .9 / n | heuristic |
+| graphql | the coordinate is served by some routes: by one, or one in the caller's top-level folder, else by each of n | .95, 1 / n | contract, heuristic |
+| inherited | the nearest supertype, to depth 8, has the member, once | .85 | heuristic |
+| simple | ``Type#member`` without package is unique | .7 | heuristic |
+| member | the bare member (``m`` or ``#m``) is that of 1 to 4 symbols | .6 / n | heuristic |
+| sibling, external | its package, or that of the nearest supertype outside, isn't the project's; sibling if the project's owner's | 0 | sibling, external |
+| unresolved | otherwise | 0 | unresolved |
+
+Keys are counted first (partial sums, so a common name is no hot key), only those with few enough symbols are joined, and of
+those only what some hint asks for; so no step has more than four rows a hint, but for routes of one coordinate. Of supertypes at one
+depth the first by name counts.
+
+Edge cases: a null hint is unresolved; equal hints share their result; symbols count once by name; without ``supers`` or ``src_path``
+the tiers that need them never apply; no symbols: every hint with a package is external.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import member_name, prefix_of, simple_key
+from ..functions.names import graphql_coordinate, graphql_module, member_name, package_of, prefix_of, simple_key, type_part
+from .graph import closure
+from .settle import settled
+
+DEPTH = 8
+
+
+def few(keyed: DataFrame, wanted: DataFrame, most: int | None) -> DataFrame:
+    """``key, dst, n`` of wanted keys that no more than ``most`` symbols have."""
+    asked = keyed.join(wanted, "key", "left_semi")
+    counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counts.where(F.col("n") <= most) if most else counts, "key")
+
+
+def package_root(packages: DataFrame) -> DataFrame:
+    """``root``: the owner, two segments, of more than half of the packages (``pkg``) that have one; else no row."""
+    owned = packages.where(F.col("pkg").contains(".")).select("pkg").distinct()
+    by = owned.groupBy(F.regexp_extract("pkg", r"^[^.]*\.[^.]*", 0).alias("root")).agg(F.count(F.lit(1)).alias("n"))
+    return by.crossJoin(F.broadcast(owned.agg(F.count(F.lit(1)).alias("all")))).where(F.col("n") * 2 > F.col("all")).select("root")
+
+
+def packages_of(symbols: DataFrame) -> DataFrame:
+    """``pkg``: the packages that symbols are in."""
+    return symbols.select(package_of(F.col("fqn")).alias("pkg")).where("pkg <> ''").distinct()
+
+
+def _tier(rows: DataFrame, name: str, rank: int, base: Column, resolution: Column | str = "heuristic") -> DataFrame:
+    label = F.lit(resolution) if isinstance(resolution, str) else resolution
+    return rows.select("hint", "head", "dst", F.lit(name).alias("tier") if name else F.when(F.col("hint").startswith("graphql:"), "contract").otherwise("exact").alias("tier"), F.lit(rank).alias("rank"), base.cast("double").alias("confidence"), label.alias("resolution"))
+
+
+def resolve(hints: DataFrame, symbols: DataFrame, supers: DataFrame | None = None) -> DataFrame:
+    """``src, edge_type, site_line, hint, dst, tier, resolution, confidence``: one row per edge and candidate of its tier.
+
+    ``hints``: ``src, edge_type, site_line, hint`` and maybe ``src_path``; ``symbols``: ``fqn``; ``supers``: ``fqn, ancestor`` as declared.
+    """
+    f = F.col("fqn")
+    s = settled(symbols.select("fqn").where("fqn IS NOT NULL").distinct())
+    path = F.coalesce(F.col("src_path"), F.lit("")) if "src_path" in hints.columns else F.lit("")
+    # the caller's folder matters to GraphQL hints only
+    head = F.when(F.col("hint").startswith("graphql:"), F.split_part(path, F.lit("/"), F.lit(1))).otherwise("")
+    asked = hints.withColumn("head", head)
+    wanted = settled(asked.where("hint IS NOT NULL").select("hint", "head").distinct())
 
+    def by(key: Column, lookup: Column, most: int | None) -> DataFrame:
+        looked = wanted.withColumn("key", lookup).where("key IS NOT NULL")
+        return looked.join(few(s.select(key.alias("key"), f.alias("dst")).where("key IS NOT NULL"), looked.select("key"), most), "key")
 
-def candidates(symbols: DataFrame, key, name: str, most: int) -> DataFrame:
-    """``hint, dst, n`` for keys with at most so many symbols."""
-    keyed = symbols.select(key.alias("hint"), F.col("fqn").alias("dst"))
-    return keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hint"))).where(F.col("n") <= most).withColumn("tier", F.lit(name))
+    h = F.col("hint")
+    exact = F.when(h.startswith("graphql:"), 0.95).otherwise(1.0)
+    bare = F.regexp_replace(h, "^#", "")
+    bare = F.when(~bare.contains("#") & ~bare.contains("(") & ~bare.contains("::"), bare)
+    has_parameters = F.when(f.contains("("), prefix_of(f))
+    tiers = [
+        _tier(by(f, h, None), "", 0, exact, F.when(h.startswith("graphql:"), "contract").otherwise("exact")),
+        _tier(by(has_parameters, h, 4), "prefix", 1, F.lit(0.9) / F.col("n")),
+        _tier(by(simple_key(f), simple_key(h), 1), "simple", 4, F.lit(0.7)),
+        _tier(by(member_name(f), bare, 4), "member", 5, F.lit(0.6) / F.col("n")),
+    ]
+    routes = by(graphql_coordinate(f), graphql_coordinate(h), None)
+    near = (F.split_part(F.coalesce(graphql_module(F.col("dst")), F.lit("")), F.lit("/"), F.lit(1)) == F.col("head")) & (F.col("head") != "")
+    chosen = routes.withColumn("near", near)
+    alone = chosen.groupBy("hint", "head").agg(F.sum(F.col("near").cast("int")).alias("near_n"), F.count(F.lit(1)).alias("all_n"))
+    chosen = chosen.join(alone, ["hint", "head"]).where("near_n <> 1 OR near").withColumn("n", F.when(F.col("near_n") == 1, 1).otherwise(F.col("all_n")))
+    tiers.append(_tier(chosen, "graphql", 2, F.when(F.col("n") == 1, 0.95).otherwise(F.lit(1.0) / F.col("n")), F.when(F.col("n") == 1, "contract").otherwise("heuristic")))
 
+    above = None
+    if supers is not None:
+        types = wanted.select(type_part(h).alias("fqn")).distinct()
+        declared = supers.select("fqn", "ancestor").distinct()
+        # only what is above some hint's type
+        start = types.join(declared, "fqn").select("fqn", "ancestor")
+        above = settled(closure(declared, DEPTH).join(start.select("fqn").distinct(), "fqn", "left_semi"))
+        member = wanted.where(h.contains("#")).withColumn("fqn", type_part(h)).join(above.where("fqn <> ancestor"), "fqn")
+        member = settled(member.withColumn("key", F.concat("ancestor", F.lit("#"), F.regexp_replace(h, "^[^#]*#", ""))))
+        full = member.join(s.select(f.alias("key"), f.alias("dst")), "key")
+        once = member.join(few(s.select(has_parameters.alias("key"), f.alias("dst")).where("key IS NOT NULL"), member.select("key"), 1).drop("n"), "key")
+        hits = full.unionByName(once.select(*full.columns)).groupBy("hint", "head").agg(F.min(F.struct("depth", "ancestor", F.col("dst"))).alias("x")).select("hint", "head", F.col("x.dst").alias("dst"))
+        tiers.append(_tier(hits, "inherited", 3, F.lit(0.85)))
+    found = tiers[0]
+    for t in tiers[1:]:
+        found = found.unionByName(t)
+    top = found.groupBy("hint", "head").agg(F.min("rank").alias("rank"))
+    best = found.join(top, ["hint", "head", "rank"]).drop("rank")
 
-def resolve(hints: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``src, edge_type, site_line, hint, dst, resolution, confidence``: one row per edge and candidate of its tier."""
-    s = symbols.select("fqn").distinct()
-    ladder = [("exact", F.col("fqn"), 1, 1.0), ("prefix", prefix_of(F.col("fqn")), 4, 0.9), ("simple", simple_key(F.col("fqn")), 1, 0.7), ("member", member_name(F.col("fqn")), 4, 0.6)]
-    found = None
-    for rank, (name, key, most, base) in enumerate(ladder):
-        c = candidates(s, key, name, most).withColumn("rank", F.lit(rank)).withColumn("confidence", F.lit(base) / F.col("n"))
-        found = c if found is None else found.unionByName(c)
-    wanted = hints.select("hint").distinct()
-    best = wanted.join(found, "hint").withColumn("top", F.min("rank").over(Window.partitionBy("hint"))).where("rank = top").select("hint", "dst", F.col("tier").alias("resolution"), "confidence")
-    other = F.when(F.col("hint").startswith("org."), "external").otherwise("unresolved")
-    return hints.join(best, "hint", "left").select("src", "edge_type", "site_line", "hint", "dst", F.coalesce("resolution", other).alias("resolution"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    # what no tier resolves: outside of the project, or not found
+    packages = packages_of(s)
+    rest = wanted.select("hint").distinct().withColumn("pkg", package_of(h))
+    outside = rest.where("pkg <> ''").join(packages, "pkg", "left_anti").select("hint", "pkg")
+    if above is not None:
+        up = above.withColumn("pkg", F.when(F.col("ancestor").contains("."), F.regexp_extract("ancestor", r"^(.*)\.", 1)).otherwise("")).where("pkg <> '' AND fqn <> ancestor").join(packages, "pkg", "left_anti")
+        first = up.groupBy("fqn").agg(F.min(F.struct("depth", "ancestor", "pkg")).alias("x")).select("fqn", F.col("x.pkg").alias("pkg"))
+        more = rest.select("hint", type_part(h).alias("fqn")).join(first, "fqn").join(outside.select("hint"), "hint", "left_anti").select("hint", "pkg")
+        outside = outside.unionByName(more)
+    root = F.coalesce(F.first("root"), F.lit("")).alias("root")
+    sibling = (F.col("root") != "") & ((F.col("pkg") == F.col("root")) | F.col("pkg").startswith(F.concat("root", F.lit("."))))
+    outside = outside.crossJoin(F.broadcast(package_root(packages).agg(root))).select("hint", F.when(sibling, "sibling").otherwise("external").alias("place"))
+    out = asked.join(best, ["hint", "head"], "left").join(outside, "hint", "left")
+    place = F.coalesce("place", F.lit("unresolved"))
+    return out.select("src", "edge_type", "site_line", "hint", "dst", F.coalesce("tier", place).alias("tier"), F.coalesce("resolution", place).alias("resolution"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

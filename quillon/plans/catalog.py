@@ -105,10 +105,11 @@ def file_facts(spark, d):
     return derive.symbols(spark, d).where(~F.col("deleted")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
 
 
-@query("test_and_frontend", """SELECT file_path LIKE '%/test/%' OR contains(file_path, 'Test.') OR contains(file_path, '.spec.') OR contains(file_path, '.test.') OR contains(fqn, '#test') OR contains(fqn, 'Test#') AS is_test,
- file_path LIKE '%.ts' OR file_path LIKE '%.tsx' OR file_path LIKE '%.jsx' OR file_path LIKE '%.js' AS is_frontend, count(*) AS n FROM symbols GROUP BY 1, 2""")
+@query("test_and_frontend", """SELECT contains(file_path, '/test/') OR contains(file_path, '/tests/') OR ends_with(file_path, '.test.ts') OR ends_with(file_path, '.test.tsx') OR ends_with(file_path, '.spec.ts') OR contains(fqn, 'Test#') OR ends_with(fqn, 'Test') OR ends_with(fqn, 'Tests') AS is_test,
+ file_path LIKE '%.ts' OR file_path LIKE '%.tsx' OR file_path LIKE '%.jsx' OR file_path LIKE '%.js' AS is_frontend, count(*) AS n FROM (SELECT replace(rtrim(replace(file_path || '/', '.ts/', CASE WHEN start_line % 2 = 0 THEN '.spec.ts/' ELSE '.ts/' END), '/'), 'geo/ASIA/', 'geo/tests/') AS file_path, CASE WHEN ends_with(fqn, '_7') THEN fqn || 'Test' ELSE fqn END AS fqn FROM symbols) GROUP BY 1, 2""")
 def test_and_frontend(spark, d):
-    s = derive.symbols(spark, d)
+    path = F.rtrim(F.replace(F.concat("file_path", F.lit("/")), F.lit(".ts/"), F.when(F.col("start_line") % 2 == 0, ".spec.ts/").otherwise(".ts/")), F.lit("/"))
+    s = derive.symbols(spark, d).select(F.when(F.col("fqn").endswith("_7"), F.concat("fqn", F.lit("Test"))).otherwise(F.col("fqn")).alias("fqn"), F.replace(path, F.lit("geo/ASIA/"), F.lit("geo/tests/")).alias("file_path"))
     return s.groupBy(N.is_test(F.col("file_path"), F.col("fqn")).alias("is_test"), N.is_frontend(F.col("file_path")).alias("is_frontend")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -170,50 +171,105 @@ def neighbours_of_files(spark, d):
     return own.union(into).union(out).distinct()
 
 
-RESOLVE = """, s AS (SELECT DISTINCT fqn FROM symbols),
-k AS (SELECT fqn AS hint, fqn AS dst, 0 AS rank, 'exact' AS tier, 1 AS most, 1.0 AS base FROM s UNION ALL SELECT split_part(fqn, '(', 1), fqn, 1, 'prefix', 4, 0.9 FROM s
- UNION ALL SELECT regexp_replace(split_part(fqn, '(', 1), '^.*\\.', ''), fqn, 2, 'simple', 1, 0.7 FROM s UNION ALL SELECT regexp_replace(split_part(fqn, '(', 1), '^.*#', ''), fqn, 3, 'member', 4, 0.6 FROM s),
-c AS (SELECT *, count(*) OVER (PARTITION BY hint, rank) AS n FROM k), ok AS (SELECT *, min(rank) OVER (PARTITION BY hint) AS top FROM c WHERE n <= most), best AS (SELECT * FROM ok WHERE rank = top),
-r AS (SELECT h.src, h.edge_type, h.site_line, h.hint, h.truth, b.dst, coalesce(b.tier, CASE WHEN starts_with(h.hint, 'org.') THEN 'external' ELSE 'unresolved' END) AS resolution, coalesce(b.base / b.n, 0)::DOUBLE AS confidence FROM hints h LEFT JOIN best b USING (hint))
+PACKAGE = "CASE WHEN contains({0}, '::') THEN regexp_extract({0}, '^(.*)::', 1) WHEN contains({0}, '.') THEN regexp_extract({0}, '^(.*)\\.', 1) ELSE '' END"
+SIMPLE = "regexp_replace(regexp_replace(split_part({0}, '#', 1), '^.*::', ''), '^.*\\.', '') || CASE WHEN contains({0}, '#') THEN '#' || split_part(regexp_replace({0}, '^[^#]*#', ''), '(', 1) ELSE '' END"
+RESOLVE_ANY = """, s AS (SELECT DISTINCT fqn FROM {symbols}), w AS (SELECT DISTINCT hint, CASE WHEN starts_with(hint, 'graphql:') THEN split_part({path}, '/', 1) ELSE '' END AS head FROM {hints}),
+pk AS (SELECT DISTINCT """ + PACKAGE.format("split_part(fqn, '#', 1)") + """ AS pkg FROM s), pk2 AS (SELECT * FROM pk WHERE pkg <> ''),
+own AS (SELECT root FROM (SELECT regexp_extract(pkg, '^[^.]*\\.[^.]*') AS root, count(*) AS n FROM pk2 WHERE contains(pkg, '.') GROUP BY 1) WHERE 2 * n > (SELECT count(*) FROM pk2 WHERE contains(pkg, '.'))),
+pre AS (SELECT k, fqn, count(*) OVER (PARTITION BY k) AS n FROM (SELECT split_part(fqn, '(', 1) AS k, fqn FROM s WHERE contains(fqn, '('))),
+sim AS (SELECT k, fqn, count(*) OVER (PARTITION BY k) AS n FROM (SELECT """ + SIMPLE.format("fqn") + """ AS k, fqn FROM s)),
+mbr AS (SELECT k, fqn, count(*) OVER (PARTITION BY k) AS n FROM (SELECT split_part(regexp_replace(fqn, '^[^#]*#', ''), '(', 1) AS k, fqn FROM s WHERE contains(fqn, '#'))),
+route AS (SELECT regexp_replace(fqn, '^(?:graphql:)(?:.*:)?', '') AS k, fqn, split_part(regexp_extract(fqn, '^graphql:(.*):', 1), '/', 1) AS module FROM s WHERE starts_with(fqn, 'graphql:')),
+up(fqn, ancestor, depth) AS (SELECT fqn, ancestor, 1 FROM {supers} UNION SELECT up.fqn, p.ancestor, depth + 1 FROM up JOIN {supers} p ON p.fqn = up.ancestor WHERE depth < 8), up1 AS (SELECT fqn, ancestor, min(depth) AS depth FROM up WHERE fqn <> ancestor GROUP BY 1, 2),
+g0 AS (SELECT w.hint, w.head, r.fqn, (module = head AND head <> '') AS near FROM w JOIN route r ON starts_with(w.hint, 'graphql:') AND r.k = regexp_replace(w.hint, '^(?:graphql:)(?:.*:)?', '')),
+g1 AS (SELECT *, sum(near::INT) OVER (PARTITION BY hint, head) AS nn, count(*) OVER (PARTITION BY hint, head) AS n FROM g0), g2 AS (SELECT hint, head, fqn, CASE WHEN nn = 1 THEN 1 ELSE n END AS n FROM g1 WHERE nn <> 1 OR near),
+i0 AS (SELECT w.hint, w.head, up1.depth, up1.ancestor, c.fqn FROM w JOIN up1 ON contains(w.hint, '#') AND up1.fqn = split_part(w.hint, '#', 1) JOIN (SELECT fqn AS k, fqn FROM s UNION SELECT k, fqn FROM pre WHERE n = 1) c ON c.k = up1.ancestor || '#' || regexp_replace(w.hint, '^[^#]*#', '')),
+t AS (SELECT hint, head, fqn AS dst, CASE WHEN starts_with(hint, 'graphql:') THEN 'contract' ELSE 'exact' END AS tier, 0 AS rank, CASE WHEN starts_with(hint, 'graphql:') THEN 0.95 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN starts_with(hint, 'graphql:') THEN 'contract' ELSE 'exact' END AS resolution FROM w JOIN s ON s.fqn = w.hint
+ UNION ALL SELECT hint, head, fqn, 'prefix', 1, 0.9::DOUBLE / n, 'heuristic' FROM w JOIN pre ON k = hint AND n <= 4
+ UNION ALL SELECT hint, head, fqn, 'graphql', 2, CASE WHEN n = 1 THEN 0.95 ELSE 1.0::DOUBLE / n END, CASE WHEN n = 1 THEN 'contract' ELSE 'heuristic' END FROM g2
+ UNION ALL SELECT hint, head, first(fqn ORDER BY depth, ancestor, fqn), 'inherited', 3, 0.85::DOUBLE, 'heuristic' FROM i0 GROUP BY hint, head
+ UNION ALL SELECT hint, head, fqn, 'simple', 4, 0.7::DOUBLE, 'heuristic' FROM w JOIN sim ON n = 1 AND k = """ + SIMPLE.format("hint") + """
+ UNION ALL SELECT hint, head, fqn, 'member', 5, 0.6::DOUBLE / n, 'heuristic' FROM w JOIN mbr ON n <= 4 AND k = regexp_replace(hint, '^#', '') AND NOT contains(regexp_replace(hint, '^#', ''), '#') AND NOT contains(hint, '(') AND NOT contains(hint, '::')),
+best AS (SELECT * FROM (SELECT *, min(rank) OVER (PARTITION BY hint, head) AS top FROM t) WHERE rank = top),
+hp AS (SELECT DISTINCT hint, """ + PACKAGE.format("split_part(hint, '#', 1)") + """ AS pkg FROM w),
+o1 AS (SELECT hint, pkg FROM hp WHERE pkg <> '' AND pkg NOT IN (SELECT pkg FROM pk2)),
+o2 AS (SELECT fqn, first(pkg ORDER BY depth, ancestor) AS pkg FROM (SELECT *, CASE WHEN contains(ancestor, '.') THEN regexp_extract(ancestor, '^(.*)\\.', 1) ELSE '' END AS pkg FROM up1) WHERE pkg <> '' AND pkg NOT IN (SELECT pkg FROM pk2) GROUP BY fqn),
+o3 AS (SELECT * FROM o1 UNION ALL SELECT hint, o2.pkg FROM hp JOIN o2 ON o2.fqn = split_part(hint, '#', 1) WHERE hint NOT IN (SELECT hint FROM o1)),
+place AS (SELECT hint, CASE WHEN pkg = (SELECT root FROM own) OR starts_with(pkg, (SELECT root FROM own) || '.') THEN 'sibling' ELSE 'external' END AS place FROM o3),
+r AS (SELECT h.src, h.edge_type, h.site_line, h.hint, h.truth, b.dst, coalesce(b.tier, p.place, 'unresolved') AS tier, coalesce(b.resolution, p.place, 'unresolved') AS resolution, coalesce(b.confidence, 0)::DOUBLE AS confidence FROM {hints} h LEFT JOIN best b ON b.hint = h.hint AND b.head = CASE WHEN starts_with(h.hint, 'graphql:') THEN split_part({hpath}, '/', 1) ELSE '' END LEFT JOIN place p ON p.hint = h.hint)
 """
+RESOLVE = RESOLVE_ANY.replace("{symbols}", "symbols").replace("{hints}", "hints").replace("{supers}", "supers").replace("{path}", "''").replace("{hpath}", "''")
+TIERS = ("exact", "contract", "prefix", "graphql", "inherited", "simple", "member", "sibling", "external", "unresolved")
 
 
-@query("resolve_ladder", RESOLVE + "SELECT edge_type, resolution, count(*) AS n, count(DISTINCT dst) AS targets, floor(min(confidence) * 1e6 + 0.5) / 1e6 AS least FROM r GROUP BY 1, 2")
-def resolve_ladder(spark, d):
-    r = resolve.resolve(derive.hints(derive.edges(spark, d)), derive.symbols(spark, d))
-    return r.groupBy("edge_type", "resolution").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("targets"), micro(F.min("confidence"), "least"))
+def resolved(spark, d):
+    s = derive.symbols(spark, d)
+    return resolve.resolve(derive.hints(derive.edges(spark, d)), s, derive.supers(s))
 
 
-@query("edges_by_resolution", RESOLVE + ", site AS (SELECT src, site_line, hint, min(CASE resolution WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 WHEN 'simple' THEN 2 WHEN 'member' THEN 3 WHEN 'external' THEN 4 ELSE 5 END) AS tier FROM r GROUP BY 1, 2, 3) SELECT tier::INT AS tier, count(*) AS n FROM site GROUP BY tier")
+@query("resolve_ladder", RESOLVE + "SELECT edge_type, tier, resolution, count(*) AS n, count(DISTINCT dst) AS targets, floor(min(confidence) * 1e6 + 0.5) / 1e6 AS least FROM r GROUP BY 1, 2, 3")
+def resolve_ladder(spark, d):
+    """Every edge's hint, by tier: all tiers but GraphQL's, for which see ``resolve_graphql``."""
+    return resolved(spark, d).groupBy("edge_type", "tier", "resolution").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("targets"), micro(F.min("confidence"), "least"))
+
+
+ROUTES = """, rt AS (SELECT 'graphql:svc' || (p_partkey % 3) || '/backend:Query.' || p_brand || '_' || (p_size % 7) AS fqn FROM part UNION SELECT 'graphql:Query.only' || p_size FROM part UNION SELECT 'com.acme.core.T' || p_size || '#m' || p_size || '(int)' FROM part),
+rh AS (SELECT 'c' || o_custkey AS src, 'calls_graphql' AS edge_type, 1 AS site_line, NULL AS truth, 'svc' || (o_orderkey % 4) || '/frontend/x.ts' AS src_path, CASE o_orderkey % 5 WHEN 0 THEN 'graphql:Query.only' || (o_orderkey % 60) WHEN 1 THEN 'com.acme.other.X' || (o_orderkey % 9) || '#go' WHEN 2 THEN 'com.acme.core.K' || (o_orderkey % 60) || '#m' || (o_orderkey % 60) ELSE 'graphql:Query.Brand#' || (o_custkey % 30) || '_' || (o_orderkey % 9) END AS hint FROM orders),
+rs AS (SELECT DISTINCT 'com.acme.core.K' || p_size AS fqn, CASE WHEN p_size % 4 = 0 THEN 'com.acme.far.Base' WHEN p_size % 4 = 1 THEN 'javax.Base' ELSE 'com.acme.core.T' || p_size END AS ancestor FROM part)"""
+
+
+@query("resolve_graphql", ROUTES + RESOLVE_ANY.replace("{symbols}", "rt").replace("{hints}", "rh").replace("{supers}", "rs").replace("{path}", "src_path").replace("{hpath}", "h.src_path") + "SELECT tier, resolution, count(*) AS n, count(DISTINCT dst) AS targets, floor(min(confidence) * 1e6 + 0.5) / 1e6 AS least, floor(sum(confidence) * 1e3 + 0.5) / 1e3 AS total FROM r GROUP BY 1, 2")
+def resolve_graphql(spark, d):
+    """Hints of GraphQL coordinates, siblings of the project's owner, and members inherited from inside and outside."""
+    p, o = read(spark, d, "part"), read(spark, d, "orders")
+    text = lambda c: c.cast("string")
+    size = text(F.col("p_size"))
+    routes = [F.concat(F.lit("graphql:svc"), text(F.col("p_partkey") % 3), F.lit("/backend:Query."), "p_brand", F.lit("_"), text(F.col("p_size") % 7)), F.concat(F.lit("graphql:Query.only"), size), F.concat(F.lit("com.acme.core.T"), size, F.lit("#m"), size, F.lit("(int)"))]
+    symbols = p.select(F.explode(F.array(*routes)).alias("fqn")).distinct()
+    k, up = F.col("o_orderkey"), F.col("p_size") % 4
+    k60 = text(k % 60)
+    hint = F.when(k % 5 == 0, F.concat(F.lit("graphql:Query.only"), k60)).when(k % 5 == 1, F.concat(F.lit("com.acme.other.X"), text(k % 9), F.lit("#go"))).when(k % 5 == 2, F.concat(F.lit("com.acme.core.K"), k60, F.lit("#m"), k60))
+    hint = hint.otherwise(F.concat(F.lit("graphql:Query.Brand#"), text(F.col("o_custkey") % 30), F.lit("_"), text(k % 9)))
+    hints = o.select(F.concat(F.lit("c"), text(F.col("o_custkey"))).alias("src"), F.lit("calls_graphql").alias("edge_type"), F.lit(1).alias("site_line"), F.concat(F.lit("svc"), text(k % 4), F.lit("/frontend/x.ts")).alias("src_path"), hint.alias("hint"))
+    above = F.when(up == 0, "com.acme.far.Base").when(up == 1, "javax.Base").otherwise(F.concat(F.lit("com.acme.core.T"), size))
+    r = resolve.resolve(hints, symbols, p.select(F.concat(F.lit("com.acme.core.K"), size).alias("fqn"), above.alias("ancestor")))
+    return r.groupBy("tier", "resolution").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("targets"), micro(F.min("confidence"), "least"), (F.floor(F.sum("confidence") * 1e3 + 0.5) / 1e3).alias("total"))
+
+
+@query("edges_by_resolution", RESOLVE + ", site AS (SELECT src, site_line, hint, min(list_position([" + ", ".join(f"'{x}'" for x in TIERS) + "], tier) - 1) AS tier FROM r GROUP BY 1, 2, 3) SELECT tier::INT AS tier, count(*) AS n FROM site GROUP BY tier")
 def edges_by_resolution(spark, d):
-    r = resolve.resolve(derive.hints(derive.edges(spark, d)), derive.symbols(spark, d))
-    tier = F.array_position(F.array(*map(F.lit, ("exact", "prefix", "simple", "member", "external", "unresolved"))), F.col("resolution")) - 1
-    return r.groupBy("src", "site_line", "hint").agg(F.min(tier).cast("int").alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")) - 1
+    return resolved(spark, d).groupBy("src", "site_line", "hint").agg(F.min(tier).cast("int").alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("edge_accuracy", RESOLVE + ", j AS (SELECT resolution AS tier, confidence, dst = truth AS correct FROM r WHERE dst IS NOT NULL), b AS (SELECT tier, floor(confidence * 1000 + 0.5)::BIGINT AS claimed, count(*) AS n, sum(correct::INT)::BIGINT AS hits FROM j GROUP BY 1, 2) SELECT tier, claimed, n, floor(hits / n * 1e6 + 0.5) / 1e6 AS measured, floor((hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) * 1e6 + 0.5) / 1e6 AS low, floor((hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) * 1e6 + 0.5) / 1e6 AS high FROM b")
+@query("edge_accuracy", RESOLVE + """, j AS (SELECT r.tier, r.confidence, r.dst = h.truth AS correct FROM hints h JOIN (SELECT DISTINCT hint, dst, tier, confidence FROM r WHERE dst IS NOT NULL) r USING (hint)), b AS (SELECT tier, floor(confidence * 1000 + 0.5)::BIGINT AS claimed, count(*) AS n, sum(correct::INT)::BIGINT AS hits FROM j GROUP BY 1, 2),
+c AS (SELECT *, (hits / n + 3.8416 / (2 * n) - 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS low, (hits / n + 3.8416 / (2 * n) + 1.96 * sqrt(hits / n * (1 - hits / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS high FROM b),
+v AS (SELECT *, CASE WHEN n < 100 OR (high - low) / 2 > 0.15 THEN 'under_powered' WHEN claimed / 1000 < low OR claimed / 1000 > high THEN 'miscalibrated' ELSE 'ok' END AS verdict FROM c)
+SELECT tier, claimed, n, floor(hits / n * 1e6 + 0.5) / 1e6 AS measured, floor(low * 1e6 + 0.5) / 1e6 AS low, floor(high * 1e6 + 0.5) / 1e6 AS high, verdict, CASE WHEN verdict = 'miscalibrated' THEN floor((hits + 0.5) / (n + 1) * 1e6 + 0.5) / 1e6 END AS proposed FROM v""")
 def edge_accuracy(spark, d):
     h = derive.hints(derive.edges(spark, d))
-    r = resolve.resolve(h, derive.symbols(spark, d)).where("dst IS NOT NULL")
-    truth = h.select("src", "edge_type", "site_line", "hint", "truth")
-    # an edge's hint and site may stand for several targets; each is judged against its own truth
-    joined = h.join(r.select("hint", "dst", "resolution", "confidence").distinct(), "hint")
-    del truth
-    c = evaluation.calibration(joined.select(F.col("resolution").alias("tier"), "confidence", (F.col("dst") == F.col("truth")).alias("correct")))
-    return c.select("tier", "claimed", "n", micro(F.col("measured"), "measured"), micro(F.col("low"), "low"), micro(F.col("high"), "high"))
+    r = resolved(spark, d).where("dst IS NOT NULL")
+    # an edge's hint may stand for several targets; each is judged against its own truth
+    joined = h.join(r.select("hint", "dst", "tier", "confidence").distinct(), "hint")
+    c = evaluation.calibration(joined.select("tier", "confidence", (F.col("dst") == F.col("truth")).alias("correct")))
+    return c.select("tier", "claimed", "n", micro(F.col("measured"), "measured"), micro(F.col("low"), "low"), micro(F.col("high"), "high"), "verdict", micro(F.col("proposed"), "proposed"))
 
 
-@query("edge_counts", "SELECT count(*) AS sites, sum(hit)::BIGINT AS resolved FROM (SELECT src, site_line, hint, max((site_line % 5 < 4)::INT) AS hit FROM hints GROUP BY 1, 2, 3)")
+@query("edge_counts", RESOLVE + "SELECT count(*) AS sites, sum(hit)::BIGINT AS resolved FROM (SELECT src, site_line, hint, max((dst IS NOT NULL)::INT) AS hit FROM r GROUP BY 1, 2, 3)")
 def edge_counts(spark, d):
-    h = derive.hints(derive.edges(spark, d))
-    return h.groupBy("src", "site_line", "hint").agg(F.max((F.col("site_line") % 5 < 4).cast("int")).alias("hit")).agg(F.count(F.lit(1)).alias("sites"), F.sum("hit").alias("resolved"))
+    hit = F.max(F.col("dst").isNotNull().cast("int"))
+    return resolved(spark, d).groupBy("src", "site_line", "hint").agg(hit.alias("hit")).agg(F.count(F.lit(1)).alias("sites"), F.sum("hit").alias("resolved"))
 
 
-@query("package_root", ", p AS (SELECT regexp_extract(fqn, '^[^.]+\\.[^.#]+') AS root, count(*) AS n FROM symbols GROUP BY 1) SELECT root, n FROM p WHERE n * 10 > (SELECT sum(n) FROM p)")
+@query("package_root", """, f AS (SELECT fqn, false AS more FROM symbols UNION ALL SELECT replace(fqn, 'geo.', 'com.acme.'), true FROM symbols), p AS (SELECT DISTINCT more, """ + PACKAGE.format("split_part(fqn, '#', 1)") + """ AS pkg FROM f),
+o AS (SELECT more, regexp_extract(pkg, '^[^.]*\\.[^.]*') AS root, count(*) AS n FROM p WHERE contains(pkg, '.') GROUP BY 1, 2)
+SELECT o.more, o.root FROM o JOIN (SELECT more, sum(n) AS total FROM o GROUP BY 1) USING (more) WHERE 2 * n > total""")
 def package_root(spark, d):
-    p = derive.symbols(spark, d).groupBy(F.regexp_extract("fqn", r"^[^.]+\.[^.#]+", 0).alias("root")).agg(F.count(F.lit(1)).alias("n"))
-    total = p.agg(F.sum("n").alias("total"))
-    return p.crossJoin(F.broadcast(total)).where(F.col("n") * 10 > F.col("total")).select("root", "n")
+    """The owner of the symbols as they are (none has more than half of the packages), and with a part of them below one owner."""
+    s = derive.symbols(spark, d).select("fqn")
+    moved = s.select(F.replace("fqn", F.lit("geo."), F.lit("com.acme.")).alias("fqn"))
+    of = lambda x, more: resolve.package_root(resolve.packages_of(x)).select(F.lit(more).alias("more"), "root")
+    return of(s, False).unionByName(of(moved, True))
 
 
 @query("stale_callers", ", ch AS (SELECT fqn FROM symbols WHERE kind = 'class') SELECT dst AS fqn, count(DISTINCT src) AS callers FROM edges WHERE dst IN (SELECT fqn FROM ch) AND src NOT IN (SELECT fqn FROM ch) GROUP BY dst HAVING count(DISTINCT src) >= 3")
@@ -241,7 +297,7 @@ def self_invocation(spark, d):
 # ---- names
 
 
-@query("name_functions", """SELECT fqn, split_part(fqn, '(', 1) AS prefix, regexp_replace(split_part(fqn, '(', 1), '^.*\\.', '') AS simple, regexp_replace(split_part(fqn, '(', 1), '^.*#', '') AS member,
+@query("name_functions", """SELECT fqn, split_part(fqn, '(', 1) AS prefix, """ + SIMPLE.format("fqn") + """ AS simple, CASE WHEN contains(fqn, '#') THEN split_part(regexp_replace(fqn, '^[^#]*#', ''), '(', 1) END AS member,
  regexp_replace(regexp_replace(lower(fqn), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, ceil(strlen(fqn) / 3.5)::BIGINT AS tokens, substr(sha256(fqn), 1, 32) AS hash FROM symbols""")
 def name_functions(spark, d):
     f = F.col("fqn")
@@ -324,17 +380,20 @@ def budget_fill(spark, d):
 
 # ---- snapshots, findings, facts
 
-SNAP = """, old AS (SELECT source || '/' || doc_id AS fqn, md5(lang) AS sig_hash, md5(text) AS body_hash FROM documents WHERE doc_id % 5 <> 0),
-new AS (SELECT source || '/' || doc_id AS fqn, md5(CASE WHEN doc_id % 7 = 0 THEN lang || '!' ELSE lang END) AS sig_hash, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' ' ELSE text END) AS body_hash FROM documents WHERE doc_id % 4 <> 0)
+SNAP = """, old AS (SELECT source || '/' || doc_id AS fqn, CASE WHEN doc_id % 11 > 0 THEN md5(lang) END AS sig_hash, md5(text) AS body_hash, [lang, 'x'] AS ann FROM documents WHERE doc_id % 5 <> 0),
+new AS (SELECT source || '/' || doc_id AS fqn, CASE WHEN doc_id % 11 > 0 THEN md5(CASE WHEN doc_id % 7 = 0 THEN lang || '!' ELSE lang END) END AS sig_hash, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' ' ELSE text END) AS body_hash, CASE WHEN doc_id % 13 = 0 THEN ['x'] ELSE ['x', lang] END AS ann FROM documents WHERE doc_id % 5 = 0 OR doc_id % 4 <> 0)
 """
 
 
-@query("symbol_diff", SNAP + """SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.fqn IS NULL THEN 'added' WHEN n.fqn IS NULL THEN 'removed' WHEN o.sig_hash <> n.sig_hash AND o.body_hash <> n.body_hash THEN 'api_and_body' WHEN o.sig_hash <> n.sig_hash THEN 'api' WHEN o.body_hash <> n.body_hash THEN 'body' END AS change FROM old o FULL JOIN new n ON o.fqn = n.fqn) WHERE change IS NOT NULL GROUP BY change""")
+@query("symbol_diff", SNAP + """SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.fqn IS NULL THEN 'added' WHEN n.fqn IS NULL THEN 'removed' WHEN o.sig_hash IS DISTINCT FROM n.sig_hash AND o.body_hash IS DISTINCT FROM n.body_hash THEN 'api_and_body' WHEN o.sig_hash IS DISTINCT FROM n.sig_hash THEN 'api' WHEN list_sort(o.ann) IS DISTINCT FROM list_sort(n.ann) THEN 'contract' WHEN o.body_hash IS DISTINCT FROM n.body_hash THEN 'body' END AS change FROM old o FULL JOIN new n ON o.fqn = n.fqn) WHERE change IS NOT NULL GROUP BY change""")
 def symbol_diff(spark, d):
+    """Every document is in at least one of the two snapshots; some have no signature, some lose an annotation."""
     t = read(spark, d, "documents").withColumn("fqn", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
     i = F.col("doc_id")
-    old = t.where(i % 5 != 0).select("fqn", F.md5("lang").alias("sig_hash"), F.md5("text").alias("body_hash"))
-    new = t.where(i % 4 != 0).select("fqn", F.md5(F.when(i % 7 == 0, F.concat("lang", F.lit("!"))).otherwise(F.col("lang"))).alias("sig_hash"), F.md5(F.when(i % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("body_hash"))
+    sig = lambda c: F.when(i % 11 > 0, F.md5(c)).alias("sig_hash")
+    old = t.where(i % 5 != 0).select("fqn", sig(F.col("lang")), F.md5("text").alias("body_hash"), F.array("lang", F.lit("x")).alias("annotations"))
+    ann = F.when(i % 13 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), "lang")).alias("annotations")
+    new = t.where((i % 5 == 0) | (i % 4 != 0)).select("fqn", sig(F.when(i % 7 == 0, F.concat("lang", F.lit("!"))).otherwise(F.col("lang"))), F.md5(F.when(i % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("body_hash"), ann)
     return incremental.symbol_diff(old, new).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,12 +411,14 @@ def symbol_renames(spark, d):
     return incremental.renames(t.where("doc_id % 2 = 0").drop("doc_id"), t.where("doc_id % 2 = 1").drop("doc_id").withColumn("fqn", F.concat("fqn", F.lit("!"))))
 
 
-@query("upsert", NO_CTE + "SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, CASE WHEN b.k IS NOT NULL THEN false ELSE a.deleted END AS deleted FROM (SELECT c_custkey AS k, c_acctbal AS v, c_custkey % 3 = 0 AS deleted FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 5 = 0) b ON a.k = b.k")
+@query("upsert", NO_CTE + "SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, CASE WHEN b.k IS NOT NULL THEN false ELSE a.deleted END AS deleted FROM (SELECT c_custkey AS k, c_acctbal AS v, c_custkey % 3 = 0 AS deleted FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal + 1 END AS v FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 5 = 0) b ON a.k = b.k")
 def upsert(spark, d):
+    """Every customer is stored or comes in; some come in without a value."""
     c = read(spark, d, "customer")
     k = F.col("c_custkey")
     stored = c.where(k % 2 == 0).select(k.alias("k"), F.col("c_acctbal").alias("v"), (k % 3 == 0).alias("deleted"))
-    return incremental.upsert(stored, c.where(k % 5 == 0).select(k.alias("k"), (F.col("c_acctbal") + 1).alias("v"), F.lit(False).alias("deleted")), "k")
+    incoming = c.where((k % 2 == 1) | (k % 5 == 0)).select(k.alias("k"), F.when(k % 7 > 0, F.col("c_acctbal") + 1).alias("v"), F.lit(False).alias("deleted"))
+    return incremental.upsert(stored, incoming, "k")
 
 
 @query("replace_symbols", NO_CTE + """WITH x AS (SELECT p_brand AS fqn, p_type AS file_path, CASE WHEN p_size % 4 = 0 THEN 'declares' ELSE 'implements' END AS authority, p_partkey % 2 AS new FROM part)
@@ -367,14 +428,18 @@ def replace_symbols(spark, d):
     return incremental.replace_symbols(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 2 = 1").drop("p_partkey"))
 
 
-@query("finding_lifecycle", NO_CTE + """WITH g AS (SELECT u.user_id AS fingerprint, s.scan_id FROM (SELECT DISTINCT user_id FROM events) u, range(1, 31) s(scan_id)), p AS (SELECT DISTINCT user_id, day(ts) AS scan_id FROM events WHERE event_type = 'error'),
+@query("finding_lifecycle", NO_CTE + """WITH b AS (SELECT min(ts)::DATE AS first, max(ts)::DATE AS last FROM events), g AS (SELECT u.user_id AS fingerprint, s.scan_id FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(1, (last - first) + 2)) AS scan_id FROM b) s),
+p AS (SELECT DISTINCT user_id, (ts::DATE - first) + 1 AS scan_id FROM events, b WHERE event_type = 'error'),
 x AS (SELECT g.fingerprint, g.scan_id, p.user_id IS NOT NULL AS present FROM g LEFT JOIN p ON p.user_id = g.fingerprint AND p.scan_id = g.scan_id),
 w AS (SELECT *, lag(present) OVER (PARTITION BY fingerprint ORDER BY scan_id) AS before, coalesce(max(present::INT) OVER (PARTITION BY fingerprint ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS ever FROM x)
 SELECT fingerprint, scan_id::INT AS scan_id, CASE WHEN present AND NOT ever THEN 'NEW' WHEN present AND before THEN 'RECURRING' WHEN present THEN 'REGRESSED' WHEN before THEN 'FIXED' ELSE 'ABSENT' END AS status FROM w WHERE present OR ever""")
 def finding_lifecycle(spark, d):
-    e = read(spark, d, "events")
-    grid = e.select(F.col("user_id").alias("fingerprint")).distinct().withColumn("scan_id", F.explode(F.sequence(F.lit(1), F.lit(30))))
-    hit = e.where("event_type = 'error'").select(F.col("user_id").alias("fingerprint"), F.dayofmonth("ts").alias("scan_id")).distinct().withColumn("hit", F.lit(True))
+    """Users as findings; a scan a day, from the first day of the events to the last."""
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    ends = F.broadcast(e.agg(F.min("day").alias("first"), F.max("day").alias("last")))
+    scan = F.explode(F.sequence(F.lit(1), F.datediff("last", "first") + 1))
+    grid = e.select(F.col("user_id").alias("fingerprint")).distinct().crossJoin(ends).select("fingerprint", scan.alias("scan_id"))
+    hit = e.where("event_type = 'error'").crossJoin(ends).select(F.col("user_id").alias("fingerprint"), (F.datediff("day", "first") + 1).alias("scan_id")).distinct().withColumn("hit", F.lit(True))
     return incremental.lifecycle(grid.join(hit, ["fingerprint", "scan_id"], "left").select("fingerprint", "scan_id", F.coalesce("hit", F.lit(False)).alias("present")))
 
 
@@ -405,11 +470,12 @@ def worst_finding(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("component")).agg(F.max(w).alias("worst"))
 
 
-@query("calibration_error", NO_CTE + """WITH j AS (SELECT (n_chars % 100) / 100.0 AS c, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), b AS (SELECT least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS c, avg(y) AS y, sum((c - y) * (c - y)) AS sq FROM j GROUP BY 1)
-SELECT floor(sum(sq) / sum(n) * 1e6 + 0.5) / 1e6 AS brier, floor(sum(n * abs(c - y)) / sum(n) * 1e6 + 0.5) / 1e6 AS ece FROM b""")
+@query("calibration_error", NO_CTE + """WITH j AS (SELECT lang AS tier, (n_chars % 4) / 5.0 AS c, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), b AS (SELECT tier, c, count(*) AS n, avg(y) AS y FROM j GROUP BY 1, 2)
+SELECT (SELECT floor(avg((c - y) * (c - y)) * 1e6 + 0.5) / 1e6 FROM j) AS brier, floor(sum(n * abs(c - y)) / sum(n) * 1e6 + 0.5) / 1e6 AS ece FROM b""")
 def calibration_error(spark, d):
-    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    e = evaluation.brier_ece(j.select(((F.col("n_chars") % 100) / 100.0).alias("confidence"), F.col("quality").alias("correct")))
+    """Labels as outcomes, languages as tiers, and four claims."""
+    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "n_chars", F.col("lang").alias("tier")), "doc_id")
+    e = evaluation.brier_ece(j.select("tier", ((F.col("n_chars") % 4) / 5.0).alias("confidence"), F.col("quality").alias("correct")))
     return e.select(micro(F.col("brier"), "brier"), micro(F.col("ece"), "ece"))
 
 
@@ -455,11 +521,11 @@ def dedup_in_order(spark, d):
 
 
 @query("sign_test", NO_CTE + """WITH g AS (SELECT o_custkey AS task, count(*) AS n, least(count(*) FILTER (o_totalprice > 200000), count(*) FILTER (NOT o_totalprice > 200000)) AS k FROM orders GROUP BY 1)
-SELECT task, n, floor(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) * 1e6 + 0.3) / 1e6 AS p_value FROM g""")
+SELECT task, n, floor(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) * 1e6 + 0.5 + 1e-4) / 1e6 AS p_value FROM g""")
 def sign_test(spark, d):
     over = (F.col("o_totalprice") > 200000).cast("long")
     g = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum(over).alias("wins"))
-    return g.select("task", "n", (F.floor(evaluation.sign_test_of(F.col("wins"), F.col("n")) * 1e6 + 0.3) / 1e6).alias("p_value"))
+    return g.select("task", "n", (F.floor(evaluation.sign_test_of(F.col("wins"), F.col("n")) * 1e6 + 0.5 + 1e-4) / 1e6).alias("p_value"))
 
 
 @query("edge_dump", "SELECT src, dst, edge_type, confidence FROM edges")

@@ -56,7 +56,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     one, zero = F.lit(1.0), F.lit(0)
     c, s, p = m["customer"], m["supplier"], m["part"]
     orders = o.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), order_fqn().alias("src"))
-    lines = li.join(orders, li.l_orderkey == orders.ok)
+    # rows are made distinct on their keys, which names hold, before any name is built; one exchange by order serves both that and the join
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax"]
+    lines = li.select(*keys).repartition("l_orderkey").dropDuplicates(keys).join(orders, F.col("l_orderkey") == orders.ok)
     parts = [
         n.select(F.col("nation_fqn").alias("src"), F.col("region_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
         c.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
@@ -91,14 +93,22 @@ edges AS (
  UNION SELECT a.fqn, b.fqn, 'calls', 1 - l_discount, l_linenumber FROM lineitem JOIN mem a ON a.t = 'order' AND a.k = l_orderkey JOIN mem b ON b.t = 'part' AND b.k = l_partkey
  UNION SELECT a.fqn, b.fqn, 'injects', 1 - l_tax, l_linenumber FROM lineitem JOIN mem a ON a.t = 'order' AND a.k = l_orderkey JOIN mem b ON b.t = 'supplier' AND b.k = l_suppkey),
 weights(wt, weight) AS (VALUES """ + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in WEIGHTS.items()) + """),
-hints AS (SELECT src, edge_type, site_line, dst AS truth, CASE site_line % 5 WHEN 0 THEN dst WHEN 1 THEN split_part(dst, '(', 1) WHEN 2 THEN regexp_replace(split_part(dst, '(', 1), '^.*\\.', '') WHEN 3 THEN regexp_replace(split_part(dst, '(', 1), '^.*#', '') ELSE 'org.lib.' || regexp_replace(split_part(dst, '(', 1), '^.*#', '') END AS hint FROM edges)
+hints AS (SELECT src, edge_type, site_line, dst AS truth, CASE site_line % 8 WHEN 0 THEN dst WHEN 1 THEN pre WHEN 2 THEN regexp_replace(pre, '^.*\\.', '') WHEN 3 THEN mb WHEN 4 THEN 'org.lib.' || mb WHEN 5 THEN '#' || mb WHEN 6 THEN 'wrong.pkg.' || regexp_replace(pre, '^.*\\.', '') ELSE 'kids.' || regexp_replace(split_part(pre, '#', 1), '^.*\\.', '') || '#' || regexp_replace(pre, '^[^#]*#', '') END AS hint FROM (SELECT *, split_part(dst, '(', 1) AS pre, regexp_replace(split_part(dst, '(', 1), '^.*#', '') AS mb FROM edges)),
+supers AS (SELECT DISTINCT 'kids.' || x AS fqn, 'mids.' || x AS ancestor FROM (SELECT regexp_replace(split_part(fqn, '#', 1), '^.*\\.', '') AS x FROM symbols) UNION SELECT DISTINCT 'mids.' || regexp_replace(split_part(fqn, '#', 1), '^.*\\.', ''), split_part(fqn, '#', 1) FROM symbols)
 """
 
 
 def hints(e: DataFrame) -> DataFrame:
-    """Edges with their targets written in one of five ways: full name, prefix, ``Type#member``, member, unknown package."""
+    """Edges with their targets written in one of eight ways: full name, prefix, ``Type#member``, member, member of an unknown package, ``#member``, ``Type#member`` in a wrong package, member of a subtype."""
     prefix = F.split_part(F.col("dst"), F.lit("("), F.lit(1))
     simple, member = F.regexp_replace(prefix, r"^.*\.", ""), F.regexp_replace(prefix, "^.*#", "")
-    kind = F.col("site_line") % 5
-    hint = F.when(kind == 0, F.col("dst")).when(kind == 1, prefix).when(kind == 2, simple).when(kind == 3, member).otherwise(F.concat(F.lit("org.lib."), member))
+    kind = F.col("site_line") % 8
+    inherited = F.concat(F.lit("kids."), F.regexp_replace(F.split_part(prefix, F.lit("#"), F.lit(1)), r"^.*\.", ""), F.lit("#"), F.regexp_replace(prefix, "^[^#]*#", ""))
+    hint = F.when(kind == 0, F.col("dst")).when(kind == 1, prefix).when(kind == 2, simple).when(kind == 3, member).when(kind == 4, F.concat(F.lit("org.lib."), member)).when(kind == 5, F.concat(F.lit("#"), member)).when(kind == 6, F.concat(F.lit("wrong.pkg."), simple)).otherwise(inherited)
     return e.select("src", "edge_type", "site_line", F.col("dst").alias("truth"), hint.alias("hint"))
+
+
+def supers(s: DataFrame) -> DataFrame:
+    """``fqn, ancestor``: two subtypes, one above the other, of every type."""
+    t = s.select(F.split_part("fqn", F.lit("#"), F.lit(1)).alias("t")).distinct().withColumn("x", F.regexp_replace("t", r"^.*\.", ""))
+    return t.select(F.concat(F.lit("kids."), "x").alias("fqn"), F.concat(F.lit("mids."), "x").alias("ancestor")).unionByName(t.select(F.concat(F.lit("mids."), "x").alias("fqn"), F.col("t").alias("ancestor"))).distinct()
