@@ -47,7 +47,7 @@ from .components import components
 LONGEST_L, COMMON, MOST_COMMON = 4, 48, 500_000
 #: Bits of the filter that thins out texts before they are shuffled for an exact check.
 FILTER_BITS = 1 << 24
-#: Bits of a set's sketch.
+#: Least bits of a set's sketch.
 SKETCH_BITS = 512
 #: Sets that a centre is made of, and how many a task compares with one at most.
 SAMPLE, PART = 15, 128
@@ -130,8 +130,12 @@ def region(n: int, percent: int) -> int:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """For each of SKETCH_BITS classes of tokens whether the set has an odd number; two differ in no more bits than the sets do in tokens."""
-    odd = np.bincount((tokens & (SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """For each class of tokens whether the set has an odd number; two differ in no more bits than the sets do in tokens.
+
+    There are about as many classes as tokens, a power of two, so that sketches tell long sets apart, too.
+    """
+    bits = max(SKETCH_BITS, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & (bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
@@ -323,13 +327,20 @@ def fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def apart() -> Column:
-    """In how many bits the sketches of a pair differ: no more than the tokens in which the sets do."""
-    return sum((F.bit_count(F.col("sketchx")[i].bitwiseXOR(F.col("sketchy")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketchx")[0].bitwiseXOR(F.col("sketchy")[0])))
+    """In how many bits the sketches of a pair differ: no more than the tokens in which the sets do. A longer one is folded."""
+    x, y = F.col("sketchx"), F.col("sketchy")
+    m = F.least(F.size(x), F.size(y))
+
+    def folded(a: Column) -> Column:
+        return F.when(F.size(a) > m, F.zip_with(F.slice(a, 1, m), F.slice(a, m + 1, m), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, c: n + c)
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * m, bits).otherwise(0)
 
 
 def close(percent: int) -> Column:
     """Whether sets of sizes ``nx, ny`` with these sketches can be similar."""
-    return ((100 + percent) * apart() <= (100 - percent) * (F.col("nx") + F.col("ny"))) & fits(F.col("nx"), F.col("ny"), percent)
+    return fits(F.col("nx"), F.col("ny"), percent) & ((100 + percent) * apart() <= (100 - percent) * (F.col("nx") + F.col("ny")))
 
 
 def sided(df: DataFrame, side: str, *keep: str) -> DataFrame:

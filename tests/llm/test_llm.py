@@ -165,6 +165,54 @@ def test_jaccard_finds_every_link(spark, size, percent):
         assert kept == {i for i, n, c in plain_components(values, size, percent) if i == c}
 
 
+@pytest.mark.parametrize(("size", "percent", "common"), [(3, 90, 4), (5, 80, 6)])
+def test_jaccard_of_heavy_tokens(spark, monkeypatch, size, percent, common):
+    """Groups of near copies whose tokens are all heavy, with variants, bridges between them and texts that share a passage only."""
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "SAMPLE", 5)
+    monkeypatch.setattr(jaccard, "PART", 7)
+    r = random.Random(size)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage, values = [word() for _ in range(30)], []
+    for n, copies in ((110, 45), (60, 25), (400, 12)):
+        base = [word() for _ in range(n)]
+        variant = [word() if r.random() < 0.06 else w for w in base]
+        for _ in range(copies):
+            copy = list(r.choice((base, base, variant)))
+            for _ in range(r.randrange(6)):
+                copy[r.randrange(n)] = r.choice((word(), "same"))
+            values.append(" ".join(copy + (passage if r.random() < 0.2 else [])))
+    values += [" ".join([word() for _ in range(r.randrange(4, 12))] + passage) for _ in range(20)]
+    r.shuffle(values)
+    got = jaccard.jaccard_join(frame(spark, values), size, percent).orderBy("doc_id").collect()
+    want = plain_components(values, size, percent)
+    assert [(x.doc_id, x.n_shingles, x.component_id) for x in got] == want
+    assert 3 < len({c for _, _, c in want}) < len(values)
+
+
+def test_sketches_bound_the_difference(spark):
+    r = random.Random(12)
+    rows, true = [], []
+    for _ in range(200):
+        n = r.choice((20, 480, 900, 1100, 2500))
+        a = [r.getrandbits(63) for _ in range(n)]
+        b = a[: r.randrange(max(1, n // 2), n)] + [r.getrandbits(63) for _ in range(r.randrange(n))]
+        x, y = (jaccard.np.unique(jaccard.np.array(v, jaccard.np.int64)) for v in (a, b))
+        rows.append((len(true), jaccard.sketch(x).tolist(), jaccard.sketch(y).tolist()))
+        true.append(len(set(a) ^ set(b)))
+    got = spark.createDataFrame(rows, "i int, sketchx array<long>, sketchy array<long>").select("i", jaccard.apart().alias("k")).collect()
+    assert all(0 <= x.k <= true[x.i] for x in got) and sum(x.k for x in got) > 0.3 * sum(true)
+
+
+def test_one_of_each_with_repeats_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 1, True), (1, text, "a", 1, True), (2, text, "b", 2, None), (None, text, "b", 3, None), (3, None, "c", 4, None), (3, "", "c", 4, None), (None, None, "c", 5, None), (4, "other words " + text[:50], "d", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, h long, maybe boolean")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [docs.collect()[i] for i in (0, 4, 5, 6, 7)]))
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.node: r.root for r in components(e).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
