@@ -79,11 +79,80 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def label_slug(label: Column) -> Column:
+    """Letters and digits in lower case with one hyphen between runs, at most 60 signs before hyphens at the ends go."""
+    runs = F.regexp_replace(F.regexp_replace(label, "[^A-Za-z0-9]+", "-"), "^-", "")
+    return F.regexp_replace(F.substring(F.lower(runs), 1, 60), "-+$", "")
+
+
+def slugify(text: Column) -> Column:
+    """Every sign but letters and digits as a hyphen, ASCII letters in lower case, no hyphens at the ends."""
+    plain = F.translate(F.regexp_replace(text, r"[^\p{L}\p{N}]", "-"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(plain, "^-+|-+$", "")
+
+
+def seed_segment(fqn: Column) -> Column:
+    """The last segment of the member if there is one, else of the name, without parameters."""
+    return last_segment(prefix_of(F.regexp_replace(fqn, "^.*#", "")))
+
+
 def module_of(path: Column) -> Column:
     """The path before ``/src/``."""
     return F.when(F.contains(path, F.lit("/src/")), F.split_part(path, F.lit("/src/"), F.lit(1))).otherwise(F.lit(""))
 
 
+def script_module(path: Column) -> Column:
+    """The path of a TypeScript or JavaScript file without its extension."""
+    return F.regexp_replace(path, r"\.(?:tsx|ts|mts|cts|jsx|js|mjs|cjs)$", "")
+
+
+def python_module(path: Column) -> Column:
+    """The dotted module of a Python file; ``src`` and ``__init__`` are no parts of it."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"^\./", ""), r"\.py$", "")
+    return F.array_join(F.filter(F.split(bare, "/"), lambda x: ~x.isin("", "__init__", "src")), ".")
+
+
+def component(fqn: Column, parent_fqn: Column) -> Column:
+    """The last dotted part of the owner, or of the name where there is none."""
+    return F.element_at(F.split(F.coalesce(parent_fqn, fqn), "[.]"), -1)
+
+
+# The namespaces of fact keys.
+NAMESPACES = ("arch", "constraint", "convention", "decision", "discovery", "failure", "incident", "invariant", "pattern", "risk")
+
+
+def namespace_of(key: Column) -> Column:
+    return F.when(key.contains("."), F.split_part(key, F.lit("."), F.lit(1))).otherwise("other")
+
+
+def check_key(key: Column) -> Column:
+    """Why a fact key is refused, or null."""
+    space, rest = namespace_of(key), F.regexp_replace(key, r"^[^.]*\.", "")
+    return F.when(~key.contains("."), "no namespace").when(rest == "", "only a namespace").when(space == "task", "task is no namespace").when(~space.isin(*NAMESPACES), "unknown namespace")
+
+
+def route_of(decorator: Column) -> tuple[Column, Column]:
+    """Verb and path of a route decorator, nulls for others."""
+    d = F.regexp_replace(decorator, "^@+", "")
+    verb = F.upper(F.regexp_extract(d, r"^(?:[^(]*\.)?([^(.]*)\(", 1))
+    path = F.regexp_extract(d, "^[^(]*\\(\\s*[\"']*([^\"']*)", 1)
+    ok = verb.isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "ROUTE") & path.startswith("/")
+    return F.when(ok, verb), F.when(ok, path)
+
+
+def reason_class(reason: Column) -> Column:
+    c = F.when(reason.startswith("selected"), "selected").when(reason.contains("budget exhausted"), "budget exhausted").when(reason.contains("below floor"), "below floor")
+    return c.when(reason.contains("at most"), "component cap").when(reason.contains("anchor"), "no anchor").otherwise("other")
+
+
+def extract_version(line: Column) -> Column:
+    """The first run of digits and dots that starts with a digit and has a dot, or such a run at the end whatever it starts with; without dots at its end."""
+    inner = F.regexp_extract(line, r"(?:^|[^0-9.])([0-9]+\.[0-9.]*)[^0-9.]", 1)
+    tail = F.regexp_extract(line, r"(?:^|[^0-9.])([0-9]*\.[0-9.]*)$", 1)
+    best = F.when(inner != "", inner).when(tail != "", tail)
+    return F.regexp_replace(best, r"\.+$", "")
+
+
 def is_test(path: Column, fqn: Column) -> Column:
     """Whether a symbol is test code, by five forms of paths and three of names."""
     by_path = path.contains("/test/") | path.contains("/tests/") | path.endswith(".test.ts") | path.endswith(".test.tsx") | path.endswith(".spec.ts")

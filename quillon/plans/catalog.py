@@ -272,28 +272,6 @@ def package_root(spark, d):
     return of(s, False).unionByName(of(moved, True))
 
 
-@query("stale_callers", ", ch AS (SELECT fqn FROM symbols WHERE kind = 'class') SELECT dst AS fqn, count(DISTINCT src) AS callers FROM edges WHERE dst IN (SELECT fqn FROM ch) AND src NOT IN (SELECT fqn FROM ch) GROUP BY dst HAVING count(DISTINCT src) >= 3")
-def stale_callers(spark, d):
-    ch = derive.symbols(spark, d).where("kind = 'class'").select("fqn")
-    e = derive.edges(spark, d)
-    hit = e.join(ch, e["dst"] == ch["fqn"], "left_semi").join(ch, e["src"] == ch["fqn"], "left_anti")
-    return hit.groupBy(F.col("dst").alias("fqn")).agg(F.count_distinct("src").alias("callers")).where("callers >= 3")
-
-
-@query("seam_crossing", ", f AS (SELECT fqn, file_path LIKE '%.ts' AS front FROM symbols) SELECT a.front AS src_front, b.front AS dst_front, count(*) AS n FROM edges JOIN f a ON a.fqn = src JOIN f b ON b.fqn = dst WHERE a.front <> b.front GROUP BY 1, 2")
-def seam_crossing(spark, d):
-    f = derive.symbols(spark, d).select("fqn", N.is_frontend(F.col("file_path")).alias("front"))
-    a, b = f.select(F.col("fqn").alias("src"), F.col("front").alias("src_front")), f.select(F.col("fqn").alias("dst"), F.col("front").alias("dst_front"))
-    return derive.edges(spark, d).join(a, "src").join(b, "dst").where("src_front <> dst_front").groupBy("src_front", "dst_front").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("self_invocation", "SELECT e.src, e.dst FROM edges e JOIN symbols a ON a.fqn = e.src JOIN symbols b ON b.fqn = e.dst WHERE a.parent_fqn = b.parent_fqn OR a.parent_fqn = b.fqn")
-def self_invocation(spark, d):
-    s = derive.symbols(spark, d).select("fqn", "parent_fqn")
-    a, b = s.select(F.col("fqn").alias("src"), F.col("parent_fqn").alias("pa")), s.select(F.col("fqn").alias("dst"), F.col("parent_fqn").alias("pb"))
-    return derive.edges(spark, d).join(a, "src").join(b, "dst").where((F.col("pa") == F.col("pb")) | (F.col("pa") == F.col("dst"))).select("src", "dst")
-
-
 # ---- names
 
 
@@ -533,6 +511,9 @@ def edge_dump(spark, d):
     return derive.edges(spark, d).select("src", "dst", "edge_type", "confidence")
 
 
+from . import reviews  # noqa: E402, F401  registers its queries here
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_reverse(spark, sf_dir)
 
