@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,28 +50,37 @@ def relevance(match: Column, source: Column, state: Column, age: Column, confide
     return match * s * t * F.greatest(F.least(F.exp(-age / 40.0), F.lit(1.0)), F.lit(0.05)) * confidence
 
 
-def filled(candidates: DataFrame, budget: int, least: float = LEAST, per_component: int = PER_COMPONENT) -> DataFrame:
+def filled(candidates: DataFrame, budget: int, least: float = LEAST, per_component: int = PER_COMPONENT, spent: int = 0, ordered: bool = False) -> DataFrame:
     """The ledger of a greedy fill for each request: ``request_id, item, included, reason``.
 
-    Candidates go by score per token, then position. One that doesn't fit is passed over and later, smaller ones may
-    still enter; at most so many of a component are included. The fold is in order, so a request is one group; its
-    candidates are bounded by the traversal that proposes them.
+    ``candidates``: request_id, item, score, tokens, component, position and maybe anchor. They go by score per token, then position; one
+    without tokens goes last. A candidate without an anchor, below the floor, or of a component of which so many are included is left
+    out; one that doesn't fit is passed over and later, smaller ones may still enter. Empty and null components have no limit. ``ordered``
+    keeps the given order, without floor and limit. The fold is in order, so a request is one group; its candidates are bounded
+    by the traversal that proposes them. A null score counts as zero.
     """
+    has_anchor = "anchor" in candidates.columns
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(d=rows.score / rows.tokens.clip(lower=1)).sort_values(["d", "position"], ascending=[False, True], kind="stable")
-        left, used, out = budget, {}, []
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        score = rows.score.fillna(0.0)
+        rows = rows.assign(score=score, d=(score / rows.tokens).where(rows.tokens > 0, -np.inf))
+        rows = rows.sort_values("position", kind="stable") if ordered else rows.sort_values(["d", "position"], ascending=[False, True], kind="stable")
+        used, count, out = spent, {}, []
         for r in rows.itertuples():
-            if r.score < least:
-                why = "below the floor"
-            elif used.get(r.component, 0) >= per_component:
-                why = "component is full"
-            elif r.tokens > left:
-                why = "over budget"
+            named = isinstance(r.component, str) and r.component != ""
+            if has_anchor and not isinstance(r.anchor, str):
+                why = "no file:line anchor"
+            elif not ordered and r.score < least:
+                why = f"below floor ({least:.2f})"
+            elif not ordered and named and per_component > 0 and count.get(r.component, 0) >= per_component:
+                why = f"at most {per_component} items from {r.component}"
+            elif used + r.tokens > budget:
+                why = f"budget exhausted at {budget} tokens"
             else:
-                why, left = "included", left - r.tokens
-                used[r.component] = used.get(r.component, 0) + 1
-            out.append((key[0], r.item, why == "included", why))
+                why, used = "selected", used + r.tokens
+                if named:
+                    count[r.component] = count.get(r.component, 0) + 1
+            out.append((key[0], r.item, why == "selected", why))
         return pd.DataFrame(out, columns=["request_id", "item", "included", "reason"])
 
     return candidates.groupBy("request_id").applyInPandas(fold, "request_id long, item string, included boolean, reason string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import subject_prefixes
 from .evaluation import wilson
 
 # Open states; change kinds with their type and detail in the ledger.
@@ -93,3 +94,17 @@ def intact_facts(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
     found = anchors.join(now, same, "left")
     return found.groupBy("fact_key").agg(F.min(F.coalesce("__there", F.lit(False))).alias("intact"))
+
+
+def facts_for_seeds(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seed, fact_key`` of facts (``fact_key, subject``) about a seed (``fqn``), one of its ancestors, or any name that starts with it.
+
+    Both arms are equi joins: the second on the beginnings of subjects of the lengths that seeds have, of which there are no more
+    than a name has signs.
+    """
+    s = seeds.select(F.col("fqn").alias("seed")).distinct()
+    above = s.select("seed", F.explode(subject_prefixes(F.col("seed"))).alias("subject")).join(facts, "subject").select("seed", "fact_key")
+    lengths = F.broadcast(s.agg(F.collect_set(F.length("seed")).alias("lengths")))
+    starts = F.filter("lengths", lambda n: n <= F.length("subject"))
+    begun = facts.crossJoin(lengths).select("fact_key", F.explode(F.transform(starts, lambda n: F.substring(F.col("subject"), F.lit(1), n))).alias("seed"))
+    return above.unionByName(begun.join(s, "seed").select("seed", "fact_key")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import evaluation, graph, incremental, ranking, resolve
+from ..operators import evaluation, graph, incremental, ranking, resolve, states
 from . import derive
 from .derive import read
 
@@ -295,10 +295,7 @@ def facts_for_seeds(spark, d):
     brand = F.concat(F.lit("catalog."), "p_brand")
     subject = F.when(F.col("p_size") % 3 == 0, brand).when(F.col("p_size") % 3 == 1, F.lit("catalog")).otherwise(F.concat(brand, F.lit("#part_"), F.col("p_partkey").cast("string")))
     facts = p.select(F.concat(F.lit("arch."), F.col("p_partkey").cast("string")).alias("fact_key"), subject.alias("subject"))
-    s = seeds(spark, "catalog.Brand#12#part_1(3)", "catalog.Brand#11").withColumnRenamed("fqn", "seed")
-    above = s.select("seed", F.explode(N.subject_prefixes(F.col("seed"))).alias("subject")).join(facts, "subject").select("seed", "fact_key")
-    below = facts.join(F.broadcast(s), F.col("subject").startswith(F.col("seed"))).select("seed", "fact_key")
-    return above.union(below).distinct()
+    return states.facts_for_seeds(facts, seeds(spark, "catalog.Brand#12#part_1(3)", "catalog.Brand#11"))
 
 
 # ---- text ranking
@@ -348,11 +345,19 @@ def fact_relevance(spark, d):
     return read(spark, d, "part").select("p_partkey", micro(ranking.relevance(1.0 / (1 + z % 4), source, state, z, F.lit(0.9)), "relevance"))
 
 
-@query("budget_fill")
+@query("budget_fill", NO_CTE + """WITH RECURSIVE c AS (SELECT o_custkey AS request_id, o_orderkey::VARCHAR AS item, (o_orderkey % 97) / 97.0 AS score, (o_orderkey % 50 + 1)::BIGINT AS tokens, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE '' END AS component, o_orderkey AS position, o_orderkey % 11 > 0 AS anchored FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score / tokens DESC, position) AS i FROM c),
+f(request_id, i, used, taken, item, reason) AS (SELECT DISTINCT request_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM n
+ UNION ALL SELECT request_id, i, used + CASE WHEN reason = 'selected' THEN tokens ELSE 0 END, CASE WHEN reason = 'selected' THEN list_append(taken, component) ELSE taken END, item, reason FROM
+ (SELECT n.request_id, n.i, f.used, f.taken, n.tokens, n.component, n.item, CASE WHEN NOT n.anchored THEN 'no file:line anchor' WHEN n.score < {least} THEN 'below floor ({least:.2f})' WHEN n.component <> '' AND len(list_filter(f.taken, lambda x: x = n.component)) >= {per} THEN 'at most {per} items from ' || n.component WHEN f.used + n.tokens > 100 THEN 'budget exhausted at 100 tokens' ELSE 'selected' END AS reason
+ FROM f JOIN n ON n.request_id = f.request_id AND n.i = f.i + 1))
+SELECT request_id, item, reason = 'selected' AS included, reason FROM f WHERE i > 0""".replace("{least:.2f}", f"{ranking.LEAST:.2f}").replace("{least}", str(ranking.LEAST)).replace("{per}", str(ranking.PER_COMPONENT)))
 def budget_fill(spark, d):
+    """Orders as candidates of their customers' requests; some have no anchor, some no component."""
     o = read(spark, d, "orders")
     k = F.col("o_orderkey")
-    c = o.select(F.col("o_custkey").alias("request_id"), k.cast("string").alias("item"), ((k % 97) / 97).alias("score"), (k % 50 + 1).alias("tokens"), F.col("o_orderstatus").alias("component"), k.alias("position"))
+    component = F.when(k % 4 > 0, F.col("o_orderstatus")).otherwise("")
+    c = o.select(F.col("o_custkey").alias("request_id"), k.cast("string").alias("item"), ((k % 97) / 97).alias("score"), (k % 50 + 1).alias("tokens"), component.alias("component"), k.alias("position"), F.when(k % 11 > 0, "f:1").alias("anchor"))
     return ranking.filled(c, 100)
 
 

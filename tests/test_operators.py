@@ -49,7 +49,9 @@ def test_names(spark):
 
 def test_fill_passes_over_what_is_too_large(spark):
     c = spark.createDataFrame([(1, "a", 1.0, 5, "x", 0), (1, "big", 0.9, 100, "x", 1), (1, "c", 0.2, 5, "x", 2), (1, "low", 0.1, 1, "x", 3)], "request_id long, item string, score double, tokens long, component string, position long")
-    assert {r.item: r.reason for r in ranking.filled(c, 12).collect()} == {"a": "included", "big": "over budget", "c": "included", "low": "below the floor"}
+    assert {r.item: r.reason for r in ranking.filled(c, 12).collect()} == {"a": "selected", "big": "budget exhausted at 12 tokens", "c": "selected", "low": "below floor (0.15)"}
+    assert [r.item for r in ranking.filled(c, 112, ordered=True).collect() if r.included] == ["a", "big", "c", "low"]
+    assert ranking.filled(c, 12, spent=8).where("included").count() == 0
 
 
 def test_renames_decline_boilerplate(spark):
