@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import is_test
 from ..plans.derive import WEIGHTS
-from .settle import sized
+from .settle import settled, sized
 
 BODY = ("reads", "writes", "persists", "emits", "calls", "calls_graphql", "calls_http")
 DEPTH, FLOOR, FAN_OUT = 5, 0.15, 200
@@ -63,6 +64,19 @@ def impact(edges: DataFrame, seeds: DataFrame, reverse: bool = True, depth: int
     return found.groupBy(F.col("node").alias("fqn")).agg(best.alias("b")).select("fqn", thousandths(F.col("b.at")).alias("score"), (-F.col("b.d")).cast("int").alias("depth"))
 
 
+def report(reached: DataFrame, symbols: DataFrame, limit: int = 50, reverse: bool = True) -> DataFrame:
+    """``fqn, kind, file_path, start_line, score, depth, test, uncovered`` of what ``impact`` reached.
+
+    Tests are split off first and all stay; of the rest the ``limit`` best by score and then name. ``uncovered`` says of the whole report
+    that, upstream, something is reached but no test. What is no symbol is left out; nothing reached gives no rows.
+    """
+    slim = symbols.groupBy("fqn").agg(F.min(F.struct("kind", "file_path", "start_line")).alias("s"))
+    rows = settled(reached.join(slim, "fqn").select("fqn", "s.*", "score", "depth").withColumn("test", is_test(F.col("file_path"), F.col("fqn"))))
+    best = rows.where("NOT test").orderBy(F.desc("score"), "fqn").limit(limit)
+    bare = rows.agg((F.lit(reverse) & (F.count_if("test") == 0) & (F.count(F.lit(1)) > 0)).alias("uncovered"))
+    return rows.where("test").unionByName(best).crossJoin(F.broadcast(bare))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
     """``fqn, depth`` of every node within so many steps, without weights; a node met before isn't left again."""
     a, b = ("dst", "src") if reverse else ("src", "dst")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import rules, states
+from ..operators import graph, rules, states
 from . import derive
-from .catalog import NO_CTE, micro, query
+from .catalog import FORWARD, NO_CTE, SEEDS, impact_sql, micro, query, seeds
 from .derive import read
 
 ANNOTATED = """, ann AS (SELECT *, CASE WHEN kind = 'class' THEN CASE WHEN start_line % 2 = 0 THEN ['@Service'] ELSE ['Entity'] END WHEN start_line % 5 = 0 THEN ['@Transactional(readOnly = true)'] WHEN start_line % 7 = 0 THEN ['TransactionalEventListener'] END AS annotations, CASE start_line % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' END AS visibility FROM symbols),
@@ -184,3 +184,25 @@ def text_classes(spark, d):
     line = pick(F.concat(F.lit("v"), size, F.lit(".2.1-x")), "none", "a 1. b", F.concat(F.lit("end "), size, F.lit(".7.")), ".5")
     verb, route = N.route_of(decorator)
     return read(spark, d, "part").select("p_partkey", N.namespace_of(key).alias("space"), N.check_key(key).alias("refused"), verb.alias("verb"), route.alias("route"), N.reason_class(reason).alias("reason"), N.extract_version(line).alias("version"))
+
+
+REPORT = """, imp AS ({impact}), sy AS (SELECT fqn, min(struct_pack(kind := kind, file_path := file_path, start_line := start_line)) AS s FROM symbols GROUP BY 1),
+x AS (SELECT fqn, s.kind AS kind, s.file_path AS file_path, s.start_line AS start_line, score, depth, contains(s.file_path, '/test/') OR contains(s.file_path, '/tests/') OR regexp_matches(s.file_path, '\\.(test\\.ts|test\\.tsx|spec\\.ts)$') OR contains(fqn, 'Test#') OR regexp_matches(fqn, 'Tests?$') AS test FROM imp JOIN sy USING (fqn))
+SELECT * EXCLUDE (r), {reverse} AND (SELECT count(*) FILTER (test) = 0 AND count(*) > 0 FROM x) AS uncovered FROM (SELECT *, row_number() OVER (PARTITION BY test ORDER BY score DESC, fqn) AS r FROM x) WHERE test OR r <= {limit}"""
+
+
+def report_sql(reverse: bool, of: tuple[str, ...], limit: int) -> str:
+    views, _, last = impact_sql(reverse, of).rpartition("\nSELECT ")
+    return views + REPORT.format(impact="SELECT " + last, reverse=str(reverse).lower(), limit=limit)
+
+
+@query("impact_report", report_sql(True, SEEDS, 40))
+def impact_report(spark, d):
+    """What two nations' dependents are: none is a test, so the report is uncovered."""
+    return graph.report(graph.impact(derive.edges(spark, d), seeds(spark, *SEEDS)), derive.symbols(spark, d), 40)
+
+
+@query("impact_report_forward", report_sql(False, FORWARD, 10))
+def impact_report_forward(spark, d):
+    reached = graph.impact(derive.edges(spark, d), seeds(spark, *FORWARD), reverse=False)
+    return graph.report(reached, derive.symbols(spark, d), 10, reverse=False)

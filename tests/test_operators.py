@@ -157,3 +157,14 @@ def test_expansion_and_narrowest_spans(spark):
     sites = spark.createDataFrame([(1, "f", 5), (2, "f", 50)], "site int, file string, line int")
     spans = spark.createDataFrame([("outer", "f", 1, 100), ("inner", "f", 4, 6)], "def string, file string, first int, last int")
     assert sorted(map(tuple, evaluation.narrowest(sites, spans).collect())) == [(1, "inner"), (2, "outer")]
+
+
+def test_report_splits_tests_before_the_limit(spark):
+    reached = spark.createDataFrame([("p.A", 0.9, 1), ("p.B", 0.8, 1), ("p.C", 0.8, 2), ("p.CTest", 0.1, 3), ("none", 1.0, 1)], "fqn string, score double, depth int")
+    symbols = spark.createDataFrame([(x, "class", "f.java", 1) for x in ("p.A", "p.B", "p.C", "p.CTest")], "fqn string, kind string, file_path string, start_line int")
+    got = {r.fqn: (r.test, r.uncovered) for r in graph.report(reached, symbols, 2).collect()}
+    assert got == {"p.A": (False, False), "p.B": (False, False), "p.CTest": (True, False)}
+    bare = graph.report(reached.where("fqn <> 'p.CTest'"), symbols, 9)
+    assert [r.uncovered for r in bare.collect()] == [True] * 3
+    assert not any(r.uncovered for r in graph.report(reached.where("fqn = 'p.A'"), symbols, 9, reverse=False).collect())
+    assert graph.report(reached.where("false"), symbols).count() == 0
