@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import evaluation, graph, incremental, ranking, resolve, states
+from ..operators import evaluation, graph, incremental, lookup, ranking, resolve, states
 from . import derive
 from .derive import read
 
@@ -118,24 +118,40 @@ def body_change_edges(spark, d):
     return derive.edges(spark, d).groupBy("edge_type", F.col("edge_type").isin(*graph.BODY).alias("body")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("find_symbols", "SELECT fqn FROM symbols WHERE NOT deleted AND (lower(fqn) LIKE '%#customer_1(%' OR lower(fqn) = 'geo.asia') ORDER BY length(fqn), fqn LIMIT 25")
+NAMED = "(fqn = '{0}' OR ends_with(lower(fqn), lower('{0}')) OR contains(lower(fqn), lower('{0}') || '(') OR name = '{0}')"
+LIVE = ", live AS (SELECT *, regexp_replace(split_part(regexp_replace(fqn, '^.*#', ''), '(', 1), '^.*\\.', '') AS name FROM symbols WHERE NOT deleted) "
+
+
+@query("find_symbols", LIVE + "SELECT * FROM (SELECT 'name' AS how, fqn FROM live WHERE " + NAMED.format("Customer_1") + " ORDER BY length(fqn), fqn LIMIT 25) UNION ALL SELECT * FROM (SELECT 'path', fqn FROM live WHERE file_path = 'geo/ASIA/NATION_2.java' ORDER BY start_line, fqn LIMIT 25) UNION ALL SELECT * FROM (SELECT 'word', fqn FROM live WHERE " + NAMED.format("supplier_1") + " OR contains(lower(name), 'supplier_1') ORDER BY " + NAMED.format("supplier_1") + " DESC, length(fqn), fqn LIMIT 5)")
 def find_symbols(spark, d):
-    low = F.lower("fqn")
-    return derive.symbols(spark, d).where(~F.col("deleted") & (low.contains("#customer_1(") | (low == "geo.asia"))).orderBy(F.length("fqn"), "fqn").limit(25).select("fqn")
+    """Symbols by the end of a name, by a path, and by a word."""
+    s = derive.symbols(spark, d)
+    of = lambda how, df: df.select(F.lit(how).alias("how"), "fqn")
+    return of("name", lookup.find_symbols(s, "Customer_1")).unionByName(of("path", lookup.find_symbols(s, "geo/ASIA/NATION_2.java"))).unionByName(of("word", lookup.find_by_word(s, "supplier_1", 5)))
+
 
+@query("target_states", LIVE + "SELECT 'geo.ASIA' AS target, 'one' AS state, 'geo.ASIA' AS fqn UNION ALL SELECT 'nothing', 'not_found', NULL UNION ALL SELECT '(FURNITURE)', 'ambiguous', fqn FROM (SELECT fqn FROM live WHERE ends_with(lower(fqn), '(furniture)') ORDER BY length(fqn), fqn LIMIT 25) UNION ALL SELECT 'geo/ASIA/NATION_2.java', 'one', fqn FROM (SELECT fqn FROM live WHERE file_path = 'geo/ASIA/NATION_2.java' ORDER BY start_line, fqn LIMIT 25)")
+def target_states(spark, d):
+    """A full name, an unknown one, an ending of many names, and a path."""
+    s, out = derive.symbols(spark, d), None
+    for target in ("geo.ASIA", "nothing", "(FURNITURE)", "geo/ASIA/NATION_2.java"):
+        one = lookup.target_state(s, target).select(F.lit(target).alias("target"), "state", "fqn")
+        out = one if out is None else out.unionByName(one)
+    return out
 
-@query("members_of", "SELECT fqn FROM symbols WHERE starts_with(fqn, 'geo.ASIA.NATION_2#') OR starts_with(fqn, 'geo.ASIA.NATION_2.') OR starts_with(fqn, 'geo.ASIA.NATION_2::')")
+
+@query("members_of", "SELECT fqn FROM symbols WHERE NOT deleted AND (starts_with(fqn, 'geo.ASIA.NATION_2#') OR starts_with(fqn, 'geo.ASIA.NATION_2.') OR starts_with(fqn, 'geo.ASIA.NATION_2::'))")
 def members_of(spark, d):
-    f = F.col("fqn")
-    return derive.symbols(spark, d).where(f.startswith(SEEDS[0] + "#") | f.startswith(SEEDS[0] + ".") | f.startswith(SEEDS[0] + "::")).select("fqn")
+    return lookup.members_of(derive.symbols(spark, d), SEEDS[0]).select("fqn")
 
 
-@query("symbol_at", """SELECT file_path, line, fqn FROM (SELECT s.file_path, q.line, s.fqn, row_number() OVER (PARTITION BY s.file_path, q.line ORDER BY q.line - s.start_line, s.fqn) AS r
- FROM symbols s JOIN (SELECT DISTINCT file_path, 500 AS line FROM symbols) q ON q.file_path = s.file_path AND q.line BETWEEN s.start_line AND s.start_line + 100) WHERE r = 1""")
+@query("symbol_at", """, places AS (SELECT DISTINCT s.file_path, s.start_line + e.site_line AS line FROM edges e JOIN symbols s ON s.fqn = e.src), spans AS (SELECT *, start_line + 20 + start_line % 60 AS end_line FROM symbols WHERE NOT deleted)
+SELECT file_path, line, fqn FROM (SELECT q.file_path, q.line, s.fqn, row_number() OVER (PARTITION BY q.file_path, q.line ORDER BY s.end_line - s.start_line, s.fqn) AS r FROM places q JOIN spans s ON s.file_path = q.file_path AND q.line BETWEEN s.start_line AND s.end_line) WHERE r = 1""")
 def symbol_at(spark, d):
-    s = derive.symbols(spark, d)
-    hit = s.where(F.lit(500).between(F.col("start_line"), F.col("start_line") + 100)).withColumn("line", F.lit(500))
-    return ranking.top(hit, "file_path", [500 - F.col("start_line"), F.col("fqn")], 1).select("file_path", "line", "fqn")
+    """The innermost symbol at the site of every edge."""
+    s = derive.symbols(spark, d).withColumn("end_line", F.col("start_line") + 20 + F.col("start_line") % 60)
+    places = derive.edges(spark, d).join(s.select(F.col("fqn").alias("src"), "file_path", "start_line"), "src").select("file_path", (F.col("start_line") + F.col("site_line")).alias("line"))
+    return lookup.symbol_at(s, places)
 
 
 # ---- joins and set operations
