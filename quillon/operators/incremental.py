@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 
 def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``fqn, change``: added, removed, api, contract, body, api_and_body; both sides have ``fqn, sig_hash, body_hash`` and maybe ``annotations``.
@@ -84,3 +86,49 @@ def tree_hash(files: DataFrame, *by: str) -> DataFrame:
     line = F.concat("path", F.lit("\t"), "content_hash")
     leaves = files.groupBy(*by, F.substring(F.md5("path"), 1, 4).alias("leaf")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h"))
     return leaves.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("leaf", "h"))), "\n"), 256).alias("digest"))
+
+
+def mark_deleted(files: DataFrame, symbols: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables (``path`` or ``file_path``, ``deleted``) with the files of ``gone`` (``path``) and their symbols marked; marks stay."""
+    paths = gone.select(F.col("path").alias("__gone")).where("__gone IS NOT NULL").distinct()
+
+    def marked(df: DataFrame, path: str) -> DataFrame:
+        return df.join(paths, F.col(path) == F.col("__gone"), "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)) | F.col("__gone").isNotNull()).drop("__gone")
+
+    return marked(files, "path"), marked(symbols, "file_path")
+
+
+def replace_edges(stored: DataFrame, incoming: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Stored edges but those that files of ``incoming`` supplied (``file_path``), and the incoming ones from symbols that live."""
+    live = symbols.where(~F.coalesce("deleted", F.lit(False))).select(F.col("fqn").alias("src")).distinct()
+    kept = stored.join(incoming.select("file_path").distinct(), "file_path", "left_anti")
+    return kept.select(*stored.columns).unionByName(incoming.join(live, "src", "left_semi").select(*stored.columns))
+
+
+def append_once(ledger: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """The ledger and the rows of keys that it hasn't; of rows of one key the one with the least hash. Nulls in keys equal each other."""
+    k = F.struct(*key)
+    new = rows.groupBy(k.alias("__k")).agg(F.min_by(F.struct(*ledger.columns), F.xxhash64(*ledger.columns)).alias("__x"))
+    there = ledger.select(k.alias("__t")).distinct()
+    return ledger.unionByName(new.join(there, F.col("__k").eqNullSafe(F.col("__t")), "left_anti").select("__x.*"))
+
+
+def display_ids(stored: DataFrame, new: DataFrame, by: str, prefix: str, order: str) -> DataFrame:
+    """``new`` with ``uid``: numbers go on from the greatest of each group in ``stored`` (``by, uid``), in order."""
+    number = F.regexp_extract("uid", "([0-9]+)$", 1).try_cast("long")
+    last = stored.groupBy(F.col(by).alias("__by")).agg(F.max(number).alias("__last"))
+    i = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    out = new.withColumn("__i", i).join(last, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return out.withColumn("uid", F.concat(F.lit(prefix), (F.coalesce("__last", F.lit(0)) + F.col("__i")).cast("string"))).drop("__i", "__by", "__last")
+
+
+def alias_of(renames_: DataFrame, names: DataFrame, depth: int = 16) -> DataFrame:
+    """``fqn, now``: the present name of each (``fqn``) by renames (``old_fqn, new_fqn``), followed to their end or so many steps."""
+    now = names.select("fqn", F.col("fqn").alias("now")).distinct()
+    step = renames_.select("old_fqn", "new_fqn").groupBy("old_fqn").agg(F.max("new_fqn").alias("new_fqn"))
+    for _ in range(depth):
+        moved = settled(now.join(step, F.col("now") == F.col("old_fqn"), "left").select("fqn", F.coalesce("new_fqn", "now").alias("now"), F.col("new_fqn").isNotNull().alias("moved")))
+        now = moved.select("fqn", "now")
+        if moved.where("moved").isEmpty():
+            break
+    return now

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import graph, rules, states
+from ..operators import graph, incremental, rules, states
 from . import derive
 from .catalog import FORWARD, NO_CTE, SEEDS, impact_sql, micro, query, seeds
 from .derive import read
@@ -206,3 +206,52 @@ def impact_report(spark, d):
 def impact_report_forward(spark, d):
     reached = graph.impact(derive.edges(spark, d), seeds(spark, *FORWARD), reverse=False)
     return graph.report(reached, derive.symbols(spark, d), 10, reverse=False)
+
+
+@query("soft_delete", "SELECT file_path, count(*) AS n, sum((deleted OR ends_with(file_path, '.ts'))::INT)::BIGINT AS gone FROM symbols GROUP BY 1")
+def soft_delete(spark, d):
+    """Symbols of deleted files are deleted; here all scripts go."""
+    s = derive.symbols(spark, d)
+    files = s.select(F.col("file_path").alias("path"), F.lit(False).alias("deleted")).distinct()
+    _, after = incremental.mark_deleted(files, s, files.where(F.col("path").endswith(".ts")).select("path"))
+    return after.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("deleted").cast("int")).alias("gone"))
+
+
+EDGE_FILES = """, e AS (SELECT e.src, e.dst, e.edge_type, s.file_path FROM edges e JOIN symbols s ON s.fqn = e.src), inc AS (SELECT src, dst || '!' AS dst, edge_type, file_path FROM e WHERE contains(file_path, 'y1998'))
+"""
+
+
+@query("replace_edges", EDGE_FILES + "SELECT edge_type, ends_with(dst, '!') AS fresh, count(*) AS n FROM (SELECT * FROM e WHERE file_path NOT IN (SELECT file_path FROM inc) UNION ALL SELECT * FROM inc WHERE src IN (SELECT fqn FROM symbols WHERE NOT deleted)) GROUP BY 1, 2")
+def replace_edges(spark, d):
+    """The files of one year supply their edges anew."""
+    s = derive.symbols(spark, d)
+    e = derive.edges(spark, d).join(s.select(F.col("fqn").alias("src"), "file_path"), "src").select("src", "dst", "edge_type", "file_path")
+    incoming = e.where(F.col("file_path").contains("y1998")).withColumn("dst", F.concat("dst", F.lit("!")))
+    return incremental.replace_edges(e, incoming, s).groupBy("edge_type", F.col("dst").endswith("!").alias("fresh")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ledger_append", NO_CTE + "SELECT user_id, event_type, event_id < 500 AS old FROM (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type)")
+def ledger_append(spark, d):
+    """The first 500 events as the ledger by user and type, one row each; all events come in, and only new keys stay."""
+    e = read(spark, d, "events").select("user_id", "event_type", (F.col("event_id") < 500).alias("old"))
+    ledger = e.where("old").distinct()
+    return incremental.append_once(ledger, e.where("NOT old"), "user_id", "event_type")
+
+
+@query("display_ids", NO_CTE + "SELECT p_partkey, 'F-' || ((SELECT count(*) FROM part b WHERE b.p_brand = a.p_brand AND b.p_partkey % 2 = 0) + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)) AS uid FROM part a WHERE p_partkey % 2 = 1")
+def display_ids(spark, d):
+    """Even parts of a brand have numbers from 1; odd ones get those after them."""
+    p = read(spark, d, "part").select("p_partkey", "p_brand")
+    none = p.where("false").select("p_brand", F.lit("").alias("uid"))
+    stored = incremental.display_ids(none, p.where("p_partkey % 2 = 0"), "p_brand", "F-", "p_partkey").select("p_brand", "uid")
+    return incremental.display_ids(stored, p.where("p_partkey % 2 = 1"), "p_brand", "F-", "p_partkey").select("p_partkey", "uid")
+
+
+@query("aliases", NO_CTE + """WITH RECURSIVE r AS (SELECT o_orderkey AS o, o_orderkey + o_custkey AS n FROM orders WHERE o_orderkey % 3 > 0 AND o_custkey > 0), f(fqn, now, k) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders UNION ALL SELECT fqn, n, k + 1 FROM f JOIN r ON o = now WHERE k < 16)
+SELECT 'n' || fqn AS fqn, 'n' || first(now ORDER BY k DESC) AS now FROM f GROUP BY fqn""")
+def aliases(spark, d):
+    """Two of three orders are renamed, to a name that many other orders have, and may be renamed again."""
+    o = read(spark, d, "orders")
+    text = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    renamed = o.where("o_orderkey % 3 > 0 AND o_custkey > 0").select(text(F.col("o_orderkey")).alias("old_fqn"), text(F.col("o_orderkey") + F.col("o_custkey")).alias("new_fqn"))
+    return incremental.alias_of(renamed, o.select(text(F.col("o_orderkey")).alias("fqn")))
