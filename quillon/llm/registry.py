@@ -80,11 +80,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op12_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .max_score import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_report
+
+    return repair_report(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_jaccard, op4_mixing, op5_toxicity, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_jaccard, op4_mixing, op5_toxicity, op6_warc, op7_matroska, op8_pii, op9_quality, op10_token_counts, op11_filter_audit, op12_max_score, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import warc
+    from . import conversations, filter_audit, max_score, warc
 
-    return {"op6_warc": warc.ORACLE_SQL}
+    return {"op6_warc": warc.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op12_max_score": max_score.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
