@@ -1,44 +1,58 @@
-"""Snapshots: symbol diffs, renames, keyed upserts, replacement with authority, and the lifecycle of findings and facts."""
+"""Snapshots: symbol diffs, renames, keyed upserts, replacement with authority, and the lifecycle of facts.
+
+Edge cases, where a function says nothing else: empty tables give empty tables; rows repeated in full count once wherever a key is counted; ties
+of an order go by the row's other columns, so reruns agree; null keys group together and match nothing in joins.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settle import settled
 
 
-def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``fqn, change``: added, removed, api, contract, body, api_and_body; both sides have ``fqn, sig_hash, body_hash`` and maybe ``annotations``.
+def change_of(old: Column, new: Column) -> Column:
+    """The kind of change between two structs of ``sig_hash, body_hash, annotations``, either of which may be null; null if nothing changed.
 
-    ``annotations`` is an array of which order doesn't count. Nulls equal each other: a null hash on both sides is no change. A
+    ``annotations`` is an array of which order doesn't count, null as none. Nulls equal each other: a null hash on both sides is no change. A
     changed signature comes before changed annotations, these before a changed body alone.
     """
+    none = F.array().cast("array<string>")
+    ann = lambda s: F.sort_array(F.coalesce(s["annotations"], none))
+    sig, body = (~old[f].eqNullSafe(new[f]) for f in ("sig_hash", "body_hash"))
+    ann = ~ann(old).eqNullSafe(ann(new))
+    return F.when(old.isNull(), "added").when(new.isNull(), "removed").when(sig & body, "api_and_body").when(sig, "api").when(ann, "contract").when(body, "body")
+
+
+def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``fqn, change`` between two sets of symbols (``fqn, sig_hash, body_hash`` and maybe ``annotations``), see ``change_of``; names are unique on each side."""
 
     def side(df: DataFrame, k: int) -> DataFrame:
-        ann = F.sort_array(F.coalesce(F.col("annotations"), F.array().cast("array<string>"))) if "annotations" in df.columns else F.array().cast("array<string>")
-        return df.select("fqn", F.struct(F.col("sig_hash").alias("sig"), F.col("body_hash").alias("body"), ann.alias("ann")).alias(f"s{k}"))
+        ann = F.col("annotations") if "annotations" in df.columns else F.lit(None).cast("array<string>")
+        return df.select("fqn", F.struct("sig_hash", "body_hash", ann.alias("annotations")).alias(f"s{k}"))
 
-    differ = lambda f: ~F.col(f"s0.{f}").eqNullSafe(F.col(f"s1.{f}"))
-    sig, body, ann = differ("sig"), differ("body"), differ("ann")
-    change = F.when(F.col("s0").isNull(), "added").when(F.col("s1").isNull(), "removed").when(sig & body, "api_and_body").when(sig, "api").when(ann, "contract").when(body, "body")
-    return side(old, 0).join(side(new, 1), "fqn", "full_outer").select("fqn", change.alias("change")).where(F.col("change").isNotNull())
+    return side(old, 0).join(side(new, 1), "fqn", "full_outer").select("fqn", change_of(F.col("s0"), F.col("s1")).alias("change")).where(F.col("change").isNotNull())
 
 
-def renames(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
-    """``old_fqn, new_fqn``: one to one on name, signature and body; anything ambiguous declines."""
-    key = ["name", "sig_hash", "body_hash"]
+def alone(df: DataFrame, *key: str) -> DataFrame:
+    """Rows that no other row shares its key with, by partial sums, so equal boilerplate meets nowhere; nulls in keys equal each other."""
+    rest = [c for c in df.columns if c not in key]
+    one = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*rest)).alias("__x")).where("__n = 1")
+    return one.select(*key, *[F.col(f"__x.{c}").alias(c) for c in rest]).select(*df.columns)
 
-    def alone(df: DataFrame) -> DataFrame:
-        return df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("n = 1").drop("n")
 
-    a, b = alone(vanished).withColumnRenamed("fqn", "old_fqn"), alone(appeared).withColumnRenamed("fqn", "new_fqn")
+def renames(vanished: DataFrame, appeared: DataFrame) -> DataFrame:
+    """``old_fqn, new_fqn``: one to one on name, signature and body; anything ambiguous declines, and so does a symbol without one of the three."""
+    key = ["name", "sig_hash", "body_hash"]
+    a = alone(vanished.select("fqn", *key), *key).withColumnRenamed("fqn", "old_fqn")
+    b = alone(appeared.select("fqn", *key), *key).withColumnRenamed("fqn", "new_fqn")
     return a.join(b, key).where("old_fqn <> new_fqn").select("old_fqn", "new_fqn")
 
 
 def file_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """``old_path, new_path`` by equal content; the deleted side must be unique, of several additions the last by name counts."""
-    one = deleted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("content_hash"))).where("n = 1")
+    one = alone(deleted.select("path", "content_hash"), "content_hash")
     last = added.groupBy("content_hash").agg(F.max("path").alias("new_path"))
     return one.join(last, "content_hash").select(F.col("path").alias("old_path"), "new_path")
 
@@ -52,12 +66,33 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return both.select(F.when(F.col("b").isNotNull(), F.col("kb")).otherwise(F.col("ka")).alias(key), *[F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in cols])
 
 
-def replace_symbols(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``fqn, file_path, authority``: of rows with one name the higher authority stays, then the incoming one, then the first path."""
-    both = stored.withColumn("new", F.lit(0)).unionByName(incoming.withColumn("new", F.lit(1)))
-    rank = F.when(F.col("authority") == "declares", 0).otherwise(1)
-    order = Window.partitionBy("fqn").orderBy(rank, F.desc("new"), "file_path")
-    return both.withColumn("r", F.row_number().over(order)).where("r = 1").select("fqn", "file_path", "authority")
+def replace_symbols(stored: DataFrame, incoming: DataFrame, files: DataFrame) -> DataFrame:
+    """``stored`` after the files (``path``) were parsed anew into ``incoming``; both have ``fqn, file_path, authority, deleted`` and maybe more.
+
+    What a file no longer has is marked deleted, a name that comes back lives again. Of the rows that claim a name, a declaration goes before
+    an implementation, an incoming row before a stored one of another file, and then the last path; so an implementation never takes a
+    name that lives as another file's declaration (see ``refused``), while a file always replaces its own rows. Names of no such file
+    aren't touched. A null authority counts as implements; ``stored`` has a name once; no files leave it as it is.
+    """
+    paths = files.select(F.col("path").alias("file_path")).distinct().withColumn("__parsed", F.lit(True))
+    touched = incoming.select("fqn").unionByName(stored.join(paths, "file_path", "left_semi").select("fqn")).distinct()
+    cols = stored.columns
+    old = stored.join(touched, "fqn", "left_semi").join(paths, "file_path", "left").withColumn("__new", F.lit(0))
+    new = incoming.select(*cols).withColumn("__parsed", F.lit(False)).withColumn("__new", F.lit(1))
+    both = old.select(*cols, "__parsed", "__new").unionByName(new)
+    contends = (F.col("__new") == 1) | ~(F.coalesce("deleted", F.lit(False)) | F.coalesce("__parsed", F.lit(False)))
+    rank = F.struct(contends, contends & F.coalesce(F.col("authority") == "declares", F.lit(False)), "__new", "file_path", F.xxhash64(*cols))
+    won = both.groupBy("fqn").agg(F.max_by(F.struct(*cols, contends.alias("__live"), "__new"), rank).alias("x"))
+    gone = F.when(F.col("x.__new") == 1, F.lit(False)).otherwise(~F.col("x.__live") | F.coalesce("x.deleted", F.lit(False)))
+    changed = won.select(*[gone.alias(c) if c == "deleted" else F.col(f"x.{c}").alias(c) for c in cols])
+    return stored.join(touched, "fqn", "left_anti").select(*cols).unionByName(changed)
+
+
+def refused(after: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``fqn, file_path`` of incoming implementations whose name is, after ``replace_symbols``, another file's declaration."""
+    held = after.where("authority = 'declares' AND NOT deleted").select("fqn", F.col("file_path").alias("__holder"))
+    mine = incoming.where("authority IS NULL OR authority <> 'declares'").select("fqn", "file_path")
+    return mine.join(held, "fqn").where("file_path <> __holder").select("fqn", "file_path").distinct()
 
 
 def lifecycle(presence: DataFrame) -> DataFrame:
@@ -70,8 +105,8 @@ def lifecycle(presence: DataFrame) -> DataFrame:
 
 
 def fact_versions(facts: DataFrame) -> DataFrame:
-    """``fact_key, scan_id, claim, superseded_by, live``: the next version of a key supersedes it."""
-    w = Window.partitionBy("fact_key").orderBy("scan_id")
+    """``fact_key, scan_id, claim, superseded_by, live``: the next version of a key supersedes it; of one scan's claims the last by text is the newest."""
+    w = Window.partitionBy("fact_key").orderBy("scan_id", "claim")
     return facts.withColumn("superseded_by", F.lead("scan_id").over(w)).select("fact_key", "scan_id", "claim", "superseded_by", F.col("superseded_by").isNull().alias("live"))
 
 
@@ -114,11 +149,18 @@ def append_once(ledger: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
 
 
 def display_ids(stored: DataFrame, new: DataFrame, by: str, prefix: str, order: str) -> DataFrame:
-    """``new`` with ``uid``: numbers go on from the greatest of each group in ``stored`` (``by, uid``), in order."""
+    """``new`` with ``uid``: numbers go on from the greatest of each group in ``stored`` (``by, uid``), in order, ties by a hash of the row."""
     number = F.regexp_extract("uid", "([0-9]+)$", 1).try_cast("long")
     last = stored.groupBy(F.col(by).alias("__by")).agg(F.max(number).alias("__last"))
-    i = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    out = new.withColumn("__i", i).join(last, F.col(by).eqNullSafe(F.col("__by")), "left")
+    cols = new.columns
+    # numbered within ranges of the order, with the ranges' sizes added up, so no task sorts a whole group
+    spread = new.repartitionByRange(F.col(by), F.col(order), F.xxhash64(*cols)).withColumn("__part", F.spark_partition_id())
+    spread = settled(spread)
+    sizes = spread.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select(F.col(by).alias("__b"), F.col("__part").alias("__p"), (F.sum("__size").over(Window.partitionBy(by).orderBy("__part")) - F.col("__size")).alias("__before"))
+    i = F.row_number().over(Window.partitionBy(by, "__part").orderBy(order, F.xxhash64(*cols)))
+    numbered = spread.withColumn("__i", i).join(before, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__part") == F.col("__p"))).withColumn("__i", F.col("__i") + F.col("__before")).select(*cols, "__i")
+    out = numbered.join(last, F.col(by).eqNullSafe(F.col("__by")), "left")
     return out.withColumn("uid", F.concat(F.lit(prefix), (F.coalesce("__last", F.lit(0)) + F.col("__i")).cast("string"))).drop("__i", "__by", "__last")
 
 

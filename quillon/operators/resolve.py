@@ -11,9 +11,9 @@
 | sibling, external | its package, or that of the nearest supertype outside, isn't the project's; sibling if the project's owner's | 0 | sibling, external |
 | unresolved | otherwise | 0 | unresolved |
 
-Keys are counted first (partial sums, so a common name is no hot key), only those with few enough symbols are joined, and of
-those only what some hint asks for; so no step has more than four rows a hint, but for routes of one coordinate. Of supertypes at one
-depth the first by name counts.
+Hints are made distinct first, and each tier is asked only what those before it left. Keys are counted (partial sums, so a common name is
+no hot key), only those with few enough symbols are joined, and of those only what some hint asks for; so no step has more than four
+rows a hint, but for routes of one coordinate. Of supertypes at one depth the first by name counts. Deleted symbols are no candidates.
 
 Edge cases: a null hint is unresolved; equal hints share their result; symbols count once by name; without ``supers`` or ``src_path``
 the tiers that need them never apply; no symbols: every hint with a package is external.
@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import graphql_coordinate, graphql_module, member_name, package_of, prefix_of, simple_key, type_part
-from .graph import closure
-from .settle import settled
+from .graph import ancestors, live_names
+from .settle import released, settled
 
 DEPTH = 8
 
@@ -50,77 +50,98 @@ def packages_of(symbols: DataFrame) -> DataFrame:
     return symbols.select(package_of(F.col("fqn")).alias("pkg")).where("pkg <> ''").distinct()
 
 
-def _tier(rows: DataFrame, name: str, rank: int, base: Column, resolution: Column | str = "heuristic") -> DataFrame:
-    label = F.lit(resolution) if isinstance(resolution, str) else resolution
-    return rows.select("hint", "head", "dst", F.lit(name).alias("tier") if name else F.when(F.col("hint").startswith("graphql:"), "contract").otherwise("exact").alias("tier"), F.lit(rank).alias("rank"), base.cast("double").alias("confidence"), label.alias("resolution"))
+def resolve_hints(asked: DataFrame, symbols: DataFrame, supers: DataFrame | None = None) -> DataFrame:
+    """``hint, head, dst, tier, resolution, confidence`` of hints (``hint, head``), one row per candidate, or one without a target.
 
-
-def resolve(hints: DataFrame, symbols: DataFrame, supers: DataFrame | None = None) -> DataFrame:
-    """``src, edge_type, site_line, hint, dst, tier, resolution, confidence``: one row per edge and candidate of its tier.
-
-    ``hints``: ``src, edge_type, site_line, hint`` and maybe ``src_path``; ``symbols``: ``fqn``; ``supers``: ``fqn, ancestor`` as declared.
+    Each tier is asked only what those before it left, and its answers are written; ``head`` is the caller's top-level folder, for GraphQL
+    hints. ``symbols``: fqn and maybe deleted; ``supers``: fqn, ancestor as declared.
     """
-    f = F.col("fqn")
-    s = settled(symbols.select("fqn").where("fqn IS NOT NULL").distinct())
-    path = F.coalesce(F.col("src_path"), F.lit("")) if "src_path" in hints.columns else F.lit("")
-    # the caller's folder matters to GraphQL hints only
-    head = F.when(F.col("hint").startswith("graphql:"), F.split_part(path, F.lit("/"), F.lit(1))).otherwise("")
-    asked = hints.withColumn("head", head)
-    wanted = settled(asked.where("hint IS NOT NULL").select("hint", "head").distinct())
+    f, h = F.col("fqn"), F.col("hint")
+    s = settled(live_names(symbols))
+    left = wanted = settled(asked.where("hint IS NOT NULL").select("hint", "head").distinct())
+    found, spent = [], []
 
-    def by(key: Column, lookup: Column, most: int | None) -> DataFrame:
-        looked = wanted.withColumn("key", lookup).where("key IS NOT NULL")
-        return looked.join(few(s.select(key.alias("key"), f.alias("dst")).where("key IS NOT NULL"), looked.select("key"), most), "key")
+    def keyed(key: Column) -> DataFrame:
+        return s.select(key.alias("key"), f.alias("dst")).where("key IS NOT NULL")
 
-    h = F.col("hint")
-    exact = F.when(h.startswith("graphql:"), 0.95).otherwise(1.0)
-    bare = F.regexp_replace(h, "^#", "")
-    bare = F.when(~bare.contains("#") & ~bare.contains("(") & ~bare.contains("::"), bare)
+    def by(key: Column, lookup: Column, most: int | None) -> DataFrame:
+        """Candidates ``hint, head, dst, n`` by a key of symbols."""
+        looked = left.withColumn("key", lookup).where("key IS NOT NULL")
+        return looked.join(few(keyed(key), looked.select("key"), most), "key").select("hint", "head", "dst", "n")
+
+    def take(candidates: DataFrame, tier: Column, base: Column, resolution: Column) -> None:
+        """Of the tier's candidates ``hint, head, dst`` and what the expressions need; the rest is left to the next."""
+        nonlocal left
+        told = candidates.select("hint", "head", "dst", tier.alias("tier"), resolution.alias("resolution"), base.cast("double").alias("confidence"))
+        state = settled(left.join(told, ["hint", "head"], "left"))
+        spent.append(state)
+        found.append(state.where("dst IS NOT NULL"))
+        left = state.where("dst IS NULL").select("hint", "head")
+
+    heuristic = F.lit("heuristic")
+    how = F.when(h.startswith("graphql:"), "contract").otherwise("exact")
+    take(left.join(s, h == f).withColumnRenamed("fqn", "dst"), how, F.when(h.startswith("graphql:"), 0.95).otherwise(1.0), how)
     has_parameters = F.when(f.contains("("), prefix_of(f))
-    tiers = [
-        _tier(by(f, h, None), "", 0, exact, F.when(h.startswith("graphql:"), "contract").otherwise("exact")),
-        _tier(by(has_parameters, h, 4), "prefix", 1, F.lit(0.9) / F.col("n")),
-        _tier(by(simple_key(f), simple_key(h), 1), "simple", 4, F.lit(0.7)),
-        _tier(by(member_name(f), bare, 4), "member", 5, F.lit(0.6) / F.col("n")),
-    ]
-    routes = by(graphql_coordinate(f), graphql_coordinate(h), None)
+    take(by(has_parameters, h, 4), F.lit("prefix"), F.lit(0.9) / F.col("n"), heuristic)
+    routes = by(graphql_coordinate(f), graphql_coordinate(h), None).drop("n")
     near = (F.split_part(F.coalesce(graphql_module(F.col("dst")), F.lit("")), F.lit("/"), F.lit(1)) == F.col("head")) & (F.col("head") != "")
-    chosen = routes.withColumn("near", near)
-    alone = chosen.groupBy("hint", "head").agg(F.sum(F.col("near").cast("int")).alias("near_n"), F.count(F.lit(1)).alias("all_n"))
-    chosen = chosen.join(alone, ["hint", "head"]).where("near_n <> 1 OR near").withColumn("n", F.when(F.col("near_n") == 1, 1).otherwise(F.col("all_n")))
-    tiers.append(_tier(chosen, "graphql", 2, F.when(F.col("n") == 1, 0.95).otherwise(F.lit(1.0) / F.col("n")), F.when(F.col("n") == 1, "contract").otherwise("heuristic")))
+    routes = routes.withColumn("near", near)
+    alone = routes.groupBy("hint", "head").agg(F.sum(F.col("near").cast("int")).alias("near_n"), F.count(F.lit(1)).alias("all_n"))
+    routes = routes.join(alone, ["hint", "head"]).where("near_n <> 1 OR near").withColumn("n", F.when(F.col("near_n") == 1, 1).otherwise(F.col("all_n")))
+    take(routes, F.lit("graphql"), F.when(F.col("n") == 1, 0.95).otherwise(F.lit(1.0) / F.col("n")), F.when(F.col("n") == 1, "contract").otherwise("heuristic"))
 
     above = None
     if supers is not None:
-        types = wanted.select(type_part(h).alias("fqn")).distinct()
-        declared = supers.select("fqn", "ancestor").distinct()
-        # only what is above some hint's type
-        start = types.join(declared, "fqn").select("fqn", "ancestor")
-        above = settled(closure(declared, DEPTH).join(start.select("fqn").distinct(), "fqn", "left_semi"))
-        member = wanted.where(h.contains("#")).withColumn("fqn", type_part(h)).join(above.where("fqn <> ancestor"), "fqn")
+        # the closure begins at the types that hints are left for, and goes no further than they ask
+        types = left.where(~h.startswith("graphql:")).select(type_part(h).alias("fqn")).distinct()
+        above = settled(ancestors(types, supers.select("fqn", "ancestor").distinct(), DEPTH).where("fqn <> ancestor"))
+        member = left.where(h.contains("#")).withColumn("fqn", type_part(h)).join(above, "fqn")
         member = settled(member.withColumn("key", F.concat("ancestor", F.lit("#"), F.regexp_replace(h, "^[^#]*#", ""))))
+        spent += [above, member]
         full = member.join(s.select(f.alias("key"), f.alias("dst")), "key")
-        once = member.join(few(s.select(has_parameters.alias("key"), f.alias("dst")).where("key IS NOT NULL"), member.select("key"), 1).drop("n"), "key")
-        hits = full.unionByName(once.select(*full.columns)).groupBy("hint", "head").agg(F.min(F.struct("depth", "ancestor", F.col("dst"))).alias("x")).select("hint", "head", F.col("x.dst").alias("dst"))
-        tiers.append(_tier(hits, "inherited", 3, F.lit(0.85)))
-    found = tiers[0]
-    for t in tiers[1:]:
-        found = found.unionByName(t)
-    top = found.groupBy("hint", "head").agg(F.min("rank").alias("rank"))
-    best = found.join(top, ["hint", "head", "rank"]).drop("rank")
+        once = member.join(few(keyed(has_parameters), member.select("key"), 1).drop("n"), "key")
+        hits = full.unionByName(once.select(*full.columns)).groupBy("hint", "head").agg(F.min(F.struct("depth", "ancestor", F.col("dst"))).alias("x"))
+        take(hits.select("hint", "head", F.col("x.dst").alias("dst")), F.lit("inherited"), F.lit(0.85), heuristic)
+    take(by(simple_key(f), simple_key(h), 1), F.lit("simple"), F.lit(0.7), heuristic)
+    bare = F.regexp_replace(h, "^#", "")
+    bare = F.when(~bare.contains("#") & ~bare.contains("(") & ~bare.contains("::"), bare)
+    take(by(member_name(f), bare, 4), F.lit("member"), F.lit(0.6) / F.col("n"), heuristic)
 
     # what no tier resolves: outside of the project, or not found
-    packages = packages_of(s)
-    rest = wanted.select("hint").distinct().withColumn("pkg", package_of(h))
+    packages = settled(packages_of(s))
+    rest = left.select("hint").distinct().withColumn("pkg", package_of(h))
     outside = rest.where("pkg <> ''").join(packages, "pkg", "left_anti").select("hint", "pkg")
     if above is not None:
-        up = above.withColumn("pkg", F.when(F.col("ancestor").contains("."), F.regexp_extract("ancestor", r"^(.*)\.", 1)).otherwise("")).where("pkg <> '' AND fqn <> ancestor").join(packages, "pkg", "left_anti")
+        up = above.withColumn("pkg", F.when(F.col("ancestor").contains("."), F.regexp_extract("ancestor", r"^(.*)\.", 1)).otherwise("")).where("pkg <> ''").join(packages, "pkg", "left_anti")
         first = up.groupBy("fqn").agg(F.min(F.struct("depth", "ancestor", "pkg")).alias("x")).select("fqn", F.col("x.pkg").alias("pkg"))
         more = rest.select("hint", type_part(h).alias("fqn")).join(first, "fqn").join(outside.select("hint"), "hint", "left_anti").select("hint", "pkg")
         outside = outside.unionByName(more)
     root = F.coalesce(F.first("root"), F.lit("")).alias("root")
     sibling = (F.col("root") != "") & ((F.col("pkg") == F.col("root")) | F.col("pkg").startswith(F.concat("root", F.lit("."))))
     outside = outside.crossJoin(F.broadcast(package_root(packages).agg(root))).select("hint", F.when(sibling, "sibling").otherwise("external").alias("place"))
-    out = asked.join(best, ["hint", "head"], "left").join(outside, "hint", "left")
     place = F.coalesce("place", F.lit("unresolved"))
-    return out.select("src", "edge_type", "site_line", "hint", "dst", F.coalesce("tier", place).alias("tier"), F.coalesce("resolution", place).alias("resolution"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    none = left.join(outside, "hint", "left").select("hint", "head", F.lit(None).cast("string").alias("dst"), place.alias("tier"), place.alias("resolution"), F.lit(0.0).alias("confidence"))
+    out = none
+    for rows in found:
+        out = out.unionByName(rows)
+    out = settled(out)
+    released(s, wanted, packages, *spent)
+    return out
+
+
+def head_of(path: Column, hint: Column) -> Column:
+    """The caller's top-level folder, which matters to GraphQL hints only."""
+    return F.when(hint.startswith("graphql:"), F.split_part(F.coalesce(path, F.lit("")), F.lit("/"), F.lit(1))).otherwise("")
+
+
+def resolve(hints: DataFrame, symbols: DataFrame, supers: DataFrame | None = None) -> DataFrame:
+    """``src, edge_type, site_line, hint, dst, tier, resolution, confidence``: one row per edge and candidate of its tier.
+
+    ``hints``: ``src, edge_type, site_line, hint`` and maybe ``src_path``, written once, as they are read for the ladder and joined to its
+    answers; columns besides these stay. ``symbols`` and ``supers`` as in ``resolve_hints``.
+    """
+    path = F.col("src_path") if "src_path" in hints.columns else F.lit("")
+    asked = settled(hints.withColumn("head", head_of(path, F.col("hint"))))
+    out = asked.join(resolve_hints(asked, symbols, supers), ["hint", "head"], "left")
+    place = F.lit("unresolved")
+    return out.select(*[c for c in hints.columns if c != "src_path"], "dst", F.coalesce("tier", place).alias("tier"), F.coalesce("resolution", place).alias("resolution"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

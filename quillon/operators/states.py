@@ -87,13 +87,21 @@ def merged_seeds(offers: DataFrame) -> DataFrame:
     return offers.groupBy("fqn").agg(F.min("source").alias("source"), F.max("strength").alias("strength")).orderBy("source", "fqn")
 
 
-def intact_facts(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``fact_key, intact``: whether every anchor (``fact_key, path, fqn, sig_hash, body_hash``) is still there, both hashes as they were."""
+def intact_facts(anchors: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``fact_key, intact``: whether every anchor (``fact_key, path, fqn, sig_hash, body_hash``) still holds.
+
+    One with a name holds if that symbol lives in that file with both hashes as they were; one without a name holds as long as its file lives. Deleted
+    symbols and files (``path`` and maybe ``deleted``) hold nothing; without ``files``, a file lives that has a live symbol. A null hash equals none.
+    """
+    living = lambda df: df.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in df.columns else df
+    path = "file_path" if "file_path" in symbols.columns else "path"
+    own = living(symbols).withColumnRenamed(path, "path")
     cols = ["path", "fqn", "sig_hash", "body_hash"]
-    now = symbols.select(*[F.col(c).alias(f"__{c}") for c in cols]).distinct().withColumn("__there", F.lit(True))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
-    found = anchors.join(now, same, "left")
-    return found.groupBy("fact_key").agg(F.min(F.coalesce("__there", F.lit(False))).alias("intact"))
+    there = living(files if files is not None else own).select("path").distinct()
+    held = own.select(*cols).distinct().join(there, "path", "left_semi").withColumn("__there", F.lit(True))
+    named = anchors.where("fqn IS NOT NULL").join(held, cols, "left").select("fact_key", F.coalesce("__there", F.lit(False)).alias("ok"))
+    bare = anchors.where("fqn IS NULL").join(there.withColumn("__there", F.lit(True)), "path", "left").select("fact_key", F.coalesce("__there", F.lit(False)).alias("ok"))
+    return named.unionByName(bare).groupBy("fact_key").agg(F.min("ok").alias("intact"))
 
 
 def facts_for_seeds(facts: DataFrame, seeds: DataFrame) -> DataFrame:

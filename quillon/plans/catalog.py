@@ -41,29 +41,83 @@ def seeds(spark: SparkSession, *fqns: str) -> DataFrame:
 
 # ---- traversal
 
-IMPACT = """, w AS (SELECT {a} AS node, {b} AS nxt, edge_type, confidence, weight * confidence AS s FROM edges JOIN weights ON wt = edge_type {where}),
-cap AS (SELECT node, nxt, s FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, nxt, edge_type) AS r FROM w) WHERE r <= 200),
-l0 AS (SELECT unnest([{seeds}]) AS node, 1.0::DOUBLE AS val),
+STEPS = """, steps AS (SELECT {a} AS node, {b} AS nxt, edge_type, confidence, weight FROM edges JOIN weights ON wt = edge_type WHERE {b} IN (SELECT fqn FROM symbols WHERE NOT deleted)),
+cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, nxt, edge_type) AS r FROM steps) WHERE r <= {cap}),
+l0 AS (SELECT unnest([{seeds}]) AS node, 1.0::DOUBLE AS val, 1.0::DOUBLE AS least, '' AS path, '' AS edge_type),
 {levels}
-reached AS ({union})
-SELECT node AS fqn, floor(max(val) * 1000 + 0.5) / 1000 AS score, (arg_min(depth, struct_pack(a := -val, d := depth)))::INT AS depth FROM reached GROUP BY node"""
+reached AS (SELECT *, 0 AS depth FROM l0 WHERE false{union}), best AS (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY node ORDER BY val DESC, depth) = 1)
+"""
 
 
-def impact_sql(reverse: bool, of: tuple[str, ...] = SEEDS, depth: int = 5) -> str:
+def steps_sql(reverse: bool, of: tuple[str, ...] = SEEDS, depth: int = 5, cap: int = 200) -> str:
+    """Views of a traversal level by level; an arrival must be above all earlier ones of its node."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    levels = "".join(f"l{k} AS (SELECT nxt AS node, max(val * s) AS val FROM l{k - 1} JOIN cap USING (node) WHERE val * s >= 0.15 AND nxt NOT IN (SELECT node FROM l0) GROUP BY nxt),\n" for k in range(1, depth + 1))
-    union = " UNION ALL ".join(f"SELECT node, val, {k} AS depth FROM l{k}" for k in range(1, depth + 1))
-    return IMPACT.format(a=a, b=b, where="", seeds=", ".join(f"'{x}'" for x in of), levels=levels, union=union)
+    levels = ""
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT node, val FROM l{i}" for i in range(k))
+        levels += f"""m{k} AS (SELECT nxt AS node, val * weight * confidence AS val, least(least, confidence) AS least, path || l.node || ' -' || cap.edge_type || '-> ' AS path, cap.edge_type, row_number() OVER (PARTITION BY nxt ORDER BY val * weight * confidence DESC, l.node, cap.edge_type, confidence DESC, least) AS r FROM l{k - 1} l JOIN cap ON cap.node = l.node WHERE val * weight * confidence >= 0.15 AND nxt NOT IN (SELECT node FROM l0)),
+l{k} AS (SELECT m.node, m.val, least, path, edge_type FROM m{k} m LEFT JOIN (SELECT node, max(val) AS had FROM ({before}) GROUP BY node) b ON b.node = m.node WHERE r = 1 AND (had IS NULL OR m.val > had)),
+"""
+    union = "".join(f" UNION ALL SELECT *, {k} FROM l{k}" for k in range(1, depth + 1))
+    return STEPS.format(a=a, b=b, cap=cap, seeds=", ".join(f"'{x}'" for x in of), levels=levels, union=union)
+
+
+def impact_sql(reverse: bool, of: tuple[str, ...] = SEEDS, depth: int = 5) -> str:
+    return steps_sql(reverse, of, depth) + "\nSELECT node AS fqn, floor(val * 1000 + 0.5) / 1000 AS score, depth::INT AS depth FROM best"
 
 
 @query("impact_reverse", impact_sql(True))
 def impact_reverse(spark, d):
-    return graph.impact(derive.edges(spark, d), seeds(spark, *SEEDS))
+    e, s = derive.graph_tables(spark, d)
+    return graph.impact(e, seeds(spark, *SEEDS), s)
 
 
 @query("impact_forward", impact_sql(False, FORWARD))
 def impact_forward(spark, d):
-    return graph.impact(derive.edges(spark, d), seeds(spark, *FORWARD), reverse=False)
+    e, s = derive.graph_tables(spark, d)
+    return graph.impact(e, seeds(spark, *FORWARD), s, reverse=False)
+
+
+WAY = "SELECT {more}node AS fqn, floor(val * 1000 + 0.5) / 1000 AS score, depth::INT AS depth, least AS min_confidence, path FROM best"
+
+
+def ways(found: DataFrame) -> DataFrame:
+    return found.select("fqn", graph.thousandths(F.col("score")).alias("score"), "depth", "min_confidence", graph.path_text(F.col("path")).alias("path"))
+
+
+@query("impact_paths", steps_sql(True, SEEDS, cap=40) + WAY.format(more=""))
+def impact_paths(spark, d):
+    """The best way to each dependent, with its least confidence; nodes of more than 40 edges are cut to their best."""
+    e, s = derive.graph_tables(spark, d)
+    return ways(graph.traverse(e, seeds(spark, *SEEDS), s, cap=40).reached)
+
+
+@query("impact_truncated", steps_sql(True, SEEDS, cap=40) + "SELECT node AS fqn, depth::INT AS depth, count(*) AS edges FROM (SELECT node, depth FROM reached WHERE depth < 5 UNION ALL SELECT node, 0 FROM l0) f JOIN steps USING (node) GROUP BY 1, 2 HAVING count(*) > 40".replace("depth::INT AS depth", "(depth + 1)::INT AS depth"))
+def impact_truncated(spark, d):
+    """Where the fan-out cap of 40 bound, and how many edges there were."""
+    e, s = derive.graph_tables(spark, d)
+    return graph.traverse(e, seeds(spark, *SEEDS), s, cap=40).truncated
+
+
+@query("impact_crossed", steps_sql(True, SEEDS).replace("FROM edges JOIN weights", "FROM (SELECT src, dst, CASE WHEN edge_type = 'calls' THEN 'calls_http' ELSE edge_type END AS edge_type, confidence FROM edges) JOIN weights") + "SELECT count(*) FILTER (edge_type IN ('calls_graphql', 'calls_http')) AS crossed, count(DISTINCT node) AS visited FROM reached")
+def impact_crossed(spark, d):
+    """How many arrivals came over a seam, calls taken as calls between services."""
+    e, s = derive.graph_tables(spark, d)
+    e = e.withColumn("edge_type", F.when(F.col("edge_type") == "calls", "calls_http").otherwise(F.col("edge_type")))
+    found = graph.traverse(e, seeds(spark, *SEEDS), s)
+    return found.reached.agg(F.lit(found.crossed).cast("long").alias("crossed"), F.count(F.lit(1)).alias("visited"))
+
+
+def expand_sql() -> str:
+    both = [f"WITH RECURSIVE {derive.SQL} {steps_sql(reverse, FORWARD)} {WAY.format(more='')}" for reverse in (True, False)]
+    return f"SELECT fqn, score, depth, min_confidence, path FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY score DESC, second) AS r FROM (SELECT 0 AS second, * FROM ({both[0]}) UNION ALL SELECT 1, * FROM ({both[1]}))) WHERE r = 1"
+
+
+@query("expand_both", NO_CTE + expand_sql())
+def expand_both(spark, d):
+    """What an explanation of three orders looks at: both directions, each symbol by its better way."""
+    e, s = derive.graph_tables(spark, d)
+    return ways(graph.expand(e, seeds(spark, *FORWARD), "explain", s).reached)
 
 
 @query("fan_out_cap", """, r AS (SELECT dst AS node, src AS nxt, edge_type, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, src, edge_type) AS r FROM edges)
@@ -73,10 +127,11 @@ def fan_out_cap(spark, d):
     return steps.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("least"))
 
 
-@query("reachable", """, r(fqn, depth) AS (SELECT 'geo.ASIA' AS fqn, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = fqn WHERE depth < 3)
+@query("reachable", """, r(fqn, depth) AS (SELECT 'geo.ASIA' AS fqn, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = fqn WHERE depth < 3 AND src IN (SELECT fqn FROM symbols WHERE NOT deleted))
 SELECT fqn, min(depth)::INT AS depth FROM r WHERE fqn <> 'geo.ASIA' GROUP BY fqn""")
 def reachable(spark, d):
-    return graph.reachable(derive.edges(spark, d), seeds(spark, "geo.ASIA"), 3)
+    e, s = derive.graph_tables(spark, d)
+    return graph.reachable(e, seeds(spark, "geo.ASIA"), 3, s)
 
 
 @query("supertypes", """, p AS (SELECT DISTINCT src AS fqn, dst AS ancestor FROM edges WHERE edge_type IN ('extends', 'implements')),
@@ -214,7 +269,7 @@ o3 AS (SELECT * FROM o1 UNION ALL SELECT hint, o2.pkg FROM hp JOIN o2 ON o2.fqn
 place AS (SELECT hint, CASE WHEN pkg = (SELECT root FROM own) OR starts_with(pkg, (SELECT root FROM own) || '.') THEN 'sibling' ELSE 'external' END AS place FROM o3),
 r AS (SELECT h.src, h.edge_type, h.site_line, h.hint, h.truth, b.dst, coalesce(b.tier, p.place, 'unresolved') AS tier, coalesce(b.resolution, p.place, 'unresolved') AS resolution, coalesce(b.confidence, 0)::DOUBLE AS confidence FROM {hints} h LEFT JOIN best b ON b.hint = h.hint AND b.head = CASE WHEN starts_with(h.hint, 'graphql:') THEN split_part({hpath}, '/', 1) ELSE '' END LEFT JOIN place p ON p.hint = h.hint)
 """
-RESOLVE = RESOLVE_ANY.replace("{symbols}", "symbols").replace("{hints}", "hints").replace("{supers}", "supers").replace("{path}", "''").replace("{hpath}", "''")
+RESOLVE = RESOLVE_ANY.replace("{symbols}", "(SELECT fqn FROM symbols WHERE NOT deleted)").replace("{hints}", "hints").replace("{supers}", "supers").replace("{path}", "''").replace("{hpath}", "''")
 TIERS = ("exact", "contract", "prefix", "graphql", "inherited", "simple", "member", "sibling", "external", "unresolved")
 
 
@@ -420,11 +475,20 @@ def upsert(spark, d):
     return incremental.upsert(stored, incoming, "k")
 
 
-@query("replace_symbols", NO_CTE + """WITH x AS (SELECT p_brand AS fqn, p_type AS file_path, CASE WHEN p_size % 4 = 0 THEN 'declares' ELSE 'implements' END AS authority, p_partkey % 2 AS new FROM part)
-SELECT fqn, file_path, authority FROM (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY CASE WHEN authority = 'declares' THEN 0 ELSE 1 END, new DESC, file_path) AS r FROM x) WHERE r = 1""")
+@query("replace_symbols", NO_CTE + """WITH o AS (SELECT min(p_partkey) AS k, p_brand AS fqn FROM part WHERE p_partkey % 3 > 0 GROUP BY 2), stored AS (SELECT o.fqn, p_type AS file_path, CASE WHEN p_size % 4 = 0 THEN 'declares' ELSE 'implements' END AS authority, p_size % 9 = 0 AS deleted FROM o JOIN part ON p_partkey = k),
+incoming AS (SELECT DISTINCT p_brand AS fqn, p_type AS file_path, CASE WHEN p_size % 5 = 0 THEN 'declares' ELSE 'implements' END AS authority FROM part WHERE p_partkey % 3 = 0 AND p_size % 6 = 1), files AS (SELECT DISTINCT p_type AS path FROM part WHERE p_partkey % 7 = 0 OR p_size % 6 = 1),
+x AS (SELECT *, NOT deleted AND file_path NOT IN (SELECT path FROM files) AS holds, 0 AS new FROM stored UNION ALL SELECT *, false, true, 1 FROM incoming),
+w AS (SELECT *, row_number() OVER (PARTITION BY fqn ORDER BY holds DESC, authority = 'declares' DESC, new DESC, file_path DESC) AS r, max(holds::INT) OVER (PARTITION BY fqn) AS any_holds FROM x)
+SELECT fqn, file_path, authority, CASE WHEN new = 1 THEN false ELSE deleted OR NOT holds END AS deleted FROM w WHERE r = 1""")
 def replace_symbols(spark, d):
-    p = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("fqn"), F.col("p_type").alias("file_path"), F.when(F.col("p_size") % 4 == 0, "declares").otherwise("implements").alias("authority"))
-    return incremental.replace_symbols(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 2 = 1").drop("p_partkey"))
+    """Brands as names, types as files; some files come in again, with other names or none."""
+    p = read(spark, d, "part")
+    row = lambda k: [F.col("p_brand").alias("fqn"), F.col("p_type").alias("file_path"), F.when(F.col("p_size") % k == 0, "declares").otherwise("implements").alias("authority")]
+    first = p.where("p_partkey % 3 > 0").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    stored = p.join(first, ["p_brand", "p_partkey"]).select(*row(4), (F.col("p_size") % 9 == 0).alias("deleted"))
+    incoming = p.where("p_partkey % 3 = 0 AND p_size % 6 = 1").select(*row(5), F.lit(False).alias("deleted")).distinct()
+    files = p.where("p_partkey % 7 = 0 OR p_size % 6 = 1").select(F.col("p_type").alias("path"))
+    return incremental.replace_symbols(stored, incoming, files)
 
 
 @query("finding_lifecycle", NO_CTE + """WITH b AS (SELECT min(ts)::DATE AS first, max(ts)::DATE AS last FROM events), g AS (SELECT u.user_id AS fingerprint, s.scan_id FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(1, (last - first) + 2)) AS scan_id FROM b) s),

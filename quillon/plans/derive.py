@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WEIGHTS = {"calls": 0.9, "implements": 0.85, "extends": 0.85, "injects": 0.8, "calls_graphql": 0.85, "calls_http": 0.85, "routes": 0.7, "persists": 0.7, "renders": 0.65, "reads": 0.6, "writes": 0.6, "emits": 0.6, "tests": 0.5, "imports": 0.3}
-
+from ..operators.graph import WEIGHTS
+from ..operators.settle import settled
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,21 +56,28 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     one, zero = F.lit(1.0), F.lit(0)
     c, s, p = m["customer"], m["supplier"], m["part"]
     orders = o.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), order_fqn().alias("src"))
-    # rows are made distinct on their keys, which names hold, before any name is built; one exchange by order serves both that and the join
+    # lines are made distinct on their keys before names are built; one exchange by order serves that, the join and both kinds of edges.
+    # Other edges come from rows with a key of their own, and no two kinds have equal rows
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax"]
     lines = li.select(*keys).repartition("l_orderkey").dropDuplicates(keys).join(orders, F.col("l_orderkey") == orders.ok)
+    part_lines, supplier_lines = (lines.dropDuplicates(["l_orderkey", "src", "l_linenumber", *k]) for k in (("l_partkey", "l_discount"), ("l_suppkey", "l_tax")))
     parts = [
         n.select(F.col("nation_fqn").alias("src"), F.col("region_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
         c.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
         s.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("implements").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
         orders.join(c, orders.ck == c.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
-        lines.join(p, lines.l_partkey == p.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
-        lines.join(s, lines.l_suppkey == s.k).select("src", F.col("fqn").alias("dst"), F.lit("injects").alias("edge_type"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
+        part_lines.join(p, part_lines.l_partkey == p.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
+        supplier_lines.join(s, supplier_lines.l_suppkey == s.k).select("src", F.col("fqn").alias("dst"), F.lit("injects").alias("edge_type"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
     ]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
+
+
+def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and symbols written as tables, as a traversal reads them more than once."""
+    return settled(edges(spark, d)), settled(symbols(spark, d))
 
 
 SQL = """

@@ -139,15 +139,15 @@ def merged_seeds(spark, d):
     return states.merged_seeds(offers)
 
 
-@query("fact_intactness", NO_CTE + """WITH a AS (SELECT 'arch.' || o_custkey AS fact_key, 'p/' || o_orderkey AS path, o_orderpriority AS fqn, o_orderstatus AS sig_hash, CASE WHEN o_orderkey % 5 > 0 THEN 'b' END AS body_hash FROM orders),
+@query("fact_intactness", NO_CTE + """WITH a AS (SELECT 'arch.' || o_custkey AS fact_key, 'p/' || o_orderkey AS path, CASE WHEN o_orderkey % 13 > 0 THEN o_orderpriority END AS fqn, o_orderstatus AS sig_hash, CASE WHEN o_orderkey % 5 > 0 THEN 'b' END AS body_hash FROM orders),
 s AS (SELECT DISTINCT 'p/' || o_orderkey AS path, o_orderpriority AS fqn, o_orderstatus AS sig_hash, CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 40 = 1 THEN 'c' ELSE 'b' END END AS body_hash FROM orders WHERE o_orderkey % 30 <> 7)
-SELECT fact_key, bool_and(EXISTS (SELECT 1 FROM s WHERE s.path = a.path AND s.fqn = a.fqn AND s.sig_hash = a.sig_hash AND s.body_hash IS NOT DISTINCT FROM a.body_hash)) AS intact FROM a GROUP BY fact_key""")
+SELECT fact_key, bool_and(EXISTS (SELECT 1 FROM s WHERE s.path = a.path AND (a.fqn IS NULL OR (s.fqn = a.fqn AND s.sig_hash = a.sig_hash AND s.body_hash = a.body_hash)))) AS intact FROM a GROUP BY fact_key""")
 def fact_intactness(spark, d):
-    """Orders as anchors of a fact for each customer; some are gone, of some the body has moved, some never had one."""
+    """Orders as anchors of a fact for each customer; some are gone, of some the body has moved, some never had one, and some name no symbol."""
     o, k = read(spark, d, "orders"), F.col("o_orderkey")
     path = F.concat(F.lit("p/"), k.cast("string")).alias("path")
     cols = [path, F.col("o_orderpriority").alias("fqn"), F.col("o_orderstatus").alias("sig_hash")]
-    anchors = o.select(F.concat(F.lit("arch."), F.col("o_custkey").cast("string")).alias("fact_key"), *cols, F.when(k % 5 > 0, "b").alias("body_hash"))
+    anchors = o.select(F.concat(F.lit("arch."), F.col("o_custkey").cast("string")).alias("fact_key"), path, F.when(k % 13 > 0, F.col("o_orderpriority")).alias("fqn"), cols[2], F.when(k % 5 > 0, "b").alias("body_hash"))
     now = o.where(k % 30 != 7).select(*cols, F.when(k % 5 > 0, F.when(k % 40 == 1, "c").otherwise("b")).alias("body_hash"))
     return states.intact_facts(anchors, now)
 
@@ -199,13 +199,15 @@ def report_sql(reverse: bool, of: tuple[str, ...], limit: int) -> str:
 @query("impact_report", report_sql(True, SEEDS, 40))
 def impact_report(spark, d):
     """What two nations' dependents are: none is a test, so the report is uncovered."""
-    return graph.report(graph.impact(derive.edges(spark, d), seeds(spark, *SEEDS)), derive.symbols(spark, d), 40)
+    e, s = derive.graph_tables(spark, d)
+    return graph.report(graph.impact(e, seeds(spark, *SEEDS), s), s, 40)
 
 
 @query("impact_report_forward", report_sql(False, FORWARD, 10))
 def impact_report_forward(spark, d):
-    reached = graph.impact(derive.edges(spark, d), seeds(spark, *FORWARD), reverse=False)
-    return graph.report(reached, derive.symbols(spark, d), 10, reverse=False)
+    e, s = derive.graph_tables(spark, d)
+    reached = graph.impact(e, seeds(spark, *FORWARD), s, reverse=False)
+    return graph.report(reached, s, 10, reverse=False)
 
 
 @query("soft_delete", "SELECT file_path, count(*) AS n, sum((deleted OR ends_with(file_path, '.ts'))::INT)::BIGINT AS gone FROM symbols GROUP BY 1")
