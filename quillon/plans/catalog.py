@@ -567,11 +567,6 @@ def deleted_files(spark, d):
     return t.where("doc_id % 2 = 0").join(t.where("doc_id % 3 = 0"), "doc_id", "left_anti")
 
 
-@query("ui_strings", NO_CTE + "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS links FROM pages")
-def ui_strings(spark, d):
-    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
-
-
 @query("attempt_numbers", NO_CTE + "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events")
 def attempt_numbers(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -596,7 +591,7 @@ def edge_dump(spark, d):
     return derive.edges(spark, d).select("src", "dst", "edge_type", "confidence")
 
 
-from . import reviews  # noqa: E402, F401  registers its queries here
+from . import reviews, search  # noqa: E402, F401  register their queries here
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
