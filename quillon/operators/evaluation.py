@@ -1,10 +1,11 @@
-"""Accuracy of edges against an oracle, intervals, calibration, and paired benchmark statistics."""
+"""Intervals of shares and calibration of claimed confidences.
 
-from __future__ import annotations
+Edge cases: a null ``correct`` is no hit; no rows give no tiers, and an error of zero; a share of nothing is null.
+"""
 
-from math import comb
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z = 1.96
@@ -41,23 +42,3 @@ def brier_ece(judged: DataFrame) -> DataFrame:
     sq = judged.select(F.avg((F.col("confidence") - F.col("correct").cast("double")) ** 2).alias("brier"))
     gap = F.sum(F.col("n") * F.abs(F.col("measured") - F.col("claimed") / 1000)) / F.sum("n")
     return sq.crossJoin(calibration(judged).agg(gap.alias("ece"))).select(F.coalesce("brier", F.lit(0.0)).alias("brier"), F.coalesce("ece", F.lit(0.0)).alias("ece"))
-
-
-def narrowest(sites: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``site, def`` where a definition's span holds the site's line and is the narrowest that does."""
-    m = sites.join(definitions, "file").where(F.col("line").between(F.col("first"), F.col("last"))).withColumn("width", F.col("last") - F.col("first"))
-    return m.withColumn("least", F.min("width").over(Window.partitionBy("site"))).where("width = least").select("site", "def")
-
-
-def sign_test(wins: int, n: int) -> float:
-    """Exact two-sided probability of at least as lopsided a count."""
-    k = max(wins, n - wins)
-    return min(1.0, 2 * sum(comb(n, i) for i in range(k, n + 1)) / 2**n) if n else 1.0
-
-
-def sign_test_of(wins: Column, n: Column) -> Column:
-    """Two-sided exact binomial tail at one half, with iterated coefficients; no pairs: 1."""
-    low = F.least(wins, n - wins)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("c"), F.lit(0.0).alias("s"))
-    step = lambda acc, i: F.struct((acc["c"] * (n - i) / (i + 1)).alias("c"), (acc["s"] + acc["c"]).alias("s"))
-    return F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0).cast("long"), low), start, step)["s"])

@@ -542,12 +542,6 @@ def calibration_error(spark, d):
     return e.select(micro(F.col("brier"), "brier"), micro(F.col("ece"), "ece"))
 
 
-@query("benchmark_medians", NO_CTE + "SELECT o_orderpriority AS task, floor(median(o_totalprice) * 100 + 0.5) / 100 AS cost, count(*) AS n FROM orders GROUP BY 1")
-def benchmark_medians(spark, d):
-    cost = F.floor(F.percentile("o_totalprice", 0.5) * 100 + 0.5) / 100
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(cost.alias("cost"), F.count(F.lit(1)).alias("n"))
-
-
 @query("working_tree_hash", NO_CTE + """WITH l AS (SELECT source, md5(source || '/' || doc_id)[1:4] AS leaf, source || '/' || doc_id || chr(9) || md5(text) AS line FROM documents),
 f AS (SELECT source, leaf, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1, 2) SELECT source, sha256(string_agg(leaf || h, chr(10) ORDER BY leaf)) AS digest FROM f GROUP BY 1""")
 def working_tree_hash(spark, d):
@@ -578,20 +572,12 @@ def dedup_in_order(spark, d):
     return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("position"))
 
 
-@query("sign_test", NO_CTE + """WITH g AS (SELECT o_custkey AS task, count(*) AS n, least(count(*) FILTER (o_totalprice > 200000), count(*) FILTER (NOT o_totalprice > 200000)) AS k FROM orders GROUP BY 1)
-SELECT task, n, floor(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) * 1e6 + 0.5 + 1e-4) / 1e6 AS p_value FROM g""")
-def sign_test(spark, d):
-    over = (F.col("o_totalprice") > 200000).cast("long")
-    g = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum(over).alias("wins"))
-    return g.select("task", "n", (F.floor(evaluation.sign_test_of(F.col("wins"), F.col("n")) * 1e6 + 0.5 + 1e-4) / 1e6).alias("p_value"))
-
-
 @query("edge_dump", "SELECT src, dst, edge_type, confidence FROM edges")
 def edge_dump(spark, d):
     return derive.edges(spark, d).select("src", "dst", "edge_type", "confidence")
 
 
-from . import context, reviews, search  # noqa: E402, F401  register their queries here
+from . import context, found, measures, reviews, search  # noqa: E402, F401  register their queries here
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

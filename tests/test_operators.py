@@ -66,11 +66,10 @@ def test_lifecycle(spark):
     assert [r.status for r in incremental.lifecycle(p).orderBy("scan_id").collect()] == ["NEW", "RECURRING", "FIXED", "ABSENT", "REGRESSED"]
 
 
-def test_wilson_and_sign(spark):
+def test_wilson(spark):
     low, high = evaluation.wilson(F.lit(80.0), F.lit(100.0))
     r = spark.range(1).select(low.alias("l"), high.alias("h")).first()
     assert (round(r.l, 6), round(r.h, 6)) == (0.711169, 0.866634)
-    assert evaluation.sign_test(5, 5) == 0.0625
 
 
 HINT = "src string, edge_type string, site_line int, hint string, src_path string"
@@ -150,13 +149,10 @@ def test_calibration_by_tier_and_claim(spark):
     assert got == {"t": ("miscalibrated", round(120.5 / 121, 4)), "u": ("under_powered", None), "w": ("ok", None)}
 
 
-def test_expansion_and_narrowest_spans(spark):
+def test_expansion(spark):
     e = spark.createDataFrame([("b", "a", "calls", 1.0, 1), ("a", "c", "calls", 0.5, 1)], EDGE)
     got = {r.fqn: r.score for r in graph.both_ways(e, spark.createDataFrame([("a",)], "fqn string")).collect()}
     assert got == {"b": 0.9, "c": 0.45}
-    sites = spark.createDataFrame([(1, "f", 5), (2, "f", 50)], "site int, file string, line int")
-    spans = spark.createDataFrame([("outer", "f", 1, 100), ("inner", "f", 4, 6)], "def string, file string, first int, last int")
-    assert sorted(map(tuple, evaluation.narrowest(sites, spans).collect())) == [(1, "inner"), (2, "outer")]
 
 
 def test_report_splits_tests_before_the_limit(spark):
