@@ -1,45 +1,38 @@
-"""Tables kept by a stream: each micro-batch is upserted into the last version and written as the next.
+"""A table kept by a stream: each micro-batch is one commit of ``commits.Tables``, which rewrites the buckets that the batch falls into.
 
-Versions are folders named by the batch, so a batch that is run again after a failure replaces its own version and no other; a version
-counts once its write has ended. Readers see whole versions only.
-
-Edge cases: no version yet reads as an empty table; an empty batch gives a version like the one before; of rows of one key in a batch
-the one with the greatest ``order`` counts, nulls last.
+A batch that is run again after a failure finds its commit, or none of it. Readers see whole commits only. Edge cases: see ``commits``; no commit
+yet reads as an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.incremental import upsert
+from .commits import Tables
+
+NAME = "rows"
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
-    """The whole versions of a table, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path(folder)):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
+    """The commits of a table, in order."""
+    return Tables(spark, folder).commits()
 
 
 def current(spark: SparkSession, folder: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The last version, or the last before a batch."""
-    there = [v for v in versions(spark, folder) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{folder}/v{there[-1]:012d}") if there else spark.createDataFrame([], schema)
+    """The last commit, or the last before a batch."""
+    tables = Tables(spark, folder)
+    return tables.read(NAME, schema, tables.manifest(before=before))
 
 
-def kept(stream: DataFrame, folder: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Starts upserting what has arrived of a stream into the table; ends when it is through."""
-    schema = stream.schema
+def kept(stream: DataFrame, folder: str, key: str, order: str, checkpoint: str, keep: int | None = None) -> StreamingQuery:
+    """Starts upserting what has arrived of a stream into the table; ends when it is through. With ``keep``, only so many commits are kept."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        cols = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(order).isNotNull(), F.col(order))).alias("x")).select(key, "x.*").select(*schema.names)
-        upsert(current(batch.sparkSession, folder, schema, batch_id), last, key).select(*schema.names).write.mode("overwrite").parquet(f"{folder}/v{batch_id:012d}")
+        tables = Tables(batch.sparkSession, folder)
+        tables.commit(batch_id, upserts={NAME: (batch, key, order)})
+        if keep:
+            tables.vacuum(keep)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
