@@ -96,12 +96,24 @@ def refused(after: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def lifecycle(presence: DataFrame) -> DataFrame:
-    """``fingerprint, scan_id, status`` from ``fingerprint, scan_id, present``: new, recurring, fixed, regressed, absent."""
+    """``fingerprint, scan_id, status`` from ``fingerprint, scan_id, present``: new, recurring, fixed, regressed, absent; repeated rows count once, as present if any is."""
+    once = presence.groupBy("fingerprint", "scan_id").agg(F.max(F.coalesce("present", F.lit(False))).alias("present"))
     w = Window.partitionBy("fingerprint").orderBy("scan_id")
     before = F.lag("present").over(w)
-    ever = F.max("present").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    status = F.when(F.col("present") & ~F.coalesce(ever, F.lit(False)), "NEW").when(F.col("present") & before, "RECURRING").when(F.col("present"), "REGRESSED").when(before, "FIXED").when(F.coalesce(ever, F.lit(False)), "ABSENT")
-    return presence.withColumn("status", status).where("status IS NOT NULL").select("fingerprint", "scan_id", "status")
+    ever = F.coalesce(F.max("present").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    status = F.when(F.col("present") & ~ever, "NEW").when(F.col("present") & before, "RECURRING").when(F.col("present"), "REGRESSED").when(before, "FIXED").when(ever, "ABSENT")
+    return once.withColumn("status", status).where("status IS NOT NULL").select("fingerprint", "scan_id", "status")
+
+
+def lifecycle_of(sightings: DataFrame) -> DataFrame:
+    """As ``lifecycle``, from sightings alone (``fingerprint, scan_id`` from 1 on, and ``scans``, how many there were): what lies between two of them is said by their distance."""
+    w = Window.partitionBy("fingerprint").orderBy("scan_id")
+    once = sightings.groupBy("fingerprint", "scan_id").agg(F.max("scans").alias("scans"))
+    last, following = F.lag("scan_id").over(w), F.coalesce(F.lead("scan_id").over(w) - 1, F.col("scans"))
+    own = F.when(F.col("last").isNull(), "NEW").when(F.col("scan_id") - F.col("last") == 1, "RECURRING").otherwise("REGRESSED")
+    gap = F.when(F.col("until") > F.col("scan_id"), F.transform(F.sequence(F.col("scan_id") + 1, F.greatest("until", F.col("scan_id") + 1)), lambda s: F.struct(s.cast("int").alias("scan_id"), F.when(s == F.col("scan_id") + 1, "FIXED").otherwise("ABSENT").alias("status"))))
+    rows = F.concat(F.array(F.struct(F.col("scan_id").cast("int").alias("scan_id"), own.alias("status"))), F.coalesce(gap, F.array().cast("array<struct<scan_id: int, status: string>>")))
+    return once.withColumns({"last": last, "until": following}).select("fingerprint", F.explode(rows).alias("x")).select("fingerprint", "x.*")
 
 
 def fact_versions(facts: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Lexical and weighted ranking: BM25, churn, scores of candidates and facts, greedy filling of a budget."""
+"""Lexical and weighted ranking: BM25, churn, scores of candidates and facts, greedy filling of a budget.
+
+Edge cases: null texts have no terms; no documents or no queries give no rows; a null among the terms of a score makes it null; a cost beyond 0 and 1 is
+clamped; ties are broken where an order is asked for, by the columns that the caller names.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import terms
+from ..functions.words import is_noise_word
+from .settle import sized
 
 K1, B = 1.2, 0.75
 RANK = {"seed": 1.0, "graph": 0.8, "churn": 0.3, "recency": 0.2, "history": 0.6, "fact": 0.5, "test": 0.3, "arch": 0.3}
@@ -24,10 +30,21 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     tf = t.select("doc_id", "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # as large as the queries' vocabulary: broadcast if counted to be small, so that the postings of a common term go nowhere
+    weights, _ = sized(asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avg", (idf * F.col("times")).alias("idf")))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return each.select("term", "doc_id", (idf * norm).alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * norm).alias("score")).where("score > 0")
+
+
+def query_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, overlap``: how many different words of a query, but noise, are in fewer than half of the documents and in one at least. No documents: none."""
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.where("text IS NOT NULL").select("query_id", F.explode(terms(F.col("text"))).alias("term")).where(~is_noise_word(F.col("term"))).distinct()
+    words = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df < ceil(n / 2)")
+    hits = asked.join(df, "term").groupBy("query_id").agg(F.count(F.lit(1)).alias("overlap"))
+    return queries.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
 def churn(touches: DataFrame, key: str) -> DataFrame:
@@ -43,6 +60,13 @@ def score(**of: Column) -> Column:
     return sum((RANK[k] * v for k, v in of.items()), F.lit(0.0)) - COST * cost
 
 
+def subject_match(subject: Column, seeds: Column) -> Column:
+    """How near a fact's subject is to the seeds (an array): one of them 1, a module of one or within one 0.6, else 0.3, also without either."""
+    below = lambda short, long: long.startswith(short) & (F.length(long) > F.length(short)) & F.substring(long, F.length(short) + 1, F.lit(1)).isin(":", ".", "#", "/", "(")
+    each = F.transform(seeds, lambda s: F.when(s == subject, 1.0).when(below(subject, s) | below(s, subject), 0.6).otherwise(0.0))
+    return F.greatest(F.coalesce(F.array_max(each), F.lit(0.3)), F.lit(0.3))
+
+
 def relevance(match: Column, source: Column, state: Column, age: Column, confidence: Column) -> Column:
     """Of a fact: product of its match, source, state, decay and confidence."""
     s = F.when(source == "human", 1.0).when(source == "deterministic", 0.9).otherwise(0.7)
@@ -53,23 +77,28 @@ def relevance(match: Column, source: Column, state: Column, age: Column, confide
 def filled(candidates: DataFrame, budget: int, least: float = LEAST, per_component: int = PER_COMPONENT, spent: int = 0, ordered: bool = False) -> DataFrame:
     """The ledger of a greedy fill for each request: ``request_id, item, included, reason``.
 
-    ``candidates``: request_id, item, score, tokens, component, position and maybe anchor. They go by score per token, then position; one
-    without tokens goes last. A candidate without an anchor, below the floor, or of a component of which so many are included is left
-    out; one that doesn't fit is passed over and later, smaller ones may still enter. Empty and null components have no limit. ``ordered``
-    keeps the given order, without floor and limit. The fold is in order, so a request is one group; its candidates are bounded
-    by the traversal that proposes them. A null score counts as zero.
+    ``candidates``: request_id, item, score, tokens, component, position and maybe anchor; ids are of any type. They go by score per token, then position, then
+    item; one without tokens goes last. A candidate without an anchor, of unknown size, below the floor, or of a component of which so many are
+    included is left out; one that doesn't fit is passed over and later, smaller ones may still enter. Empty and null components have no limit. ``ordered`` keeps
+    the given order, without floor and limit. The fold is in order, so a request is one group; its candidates are bounded by the traversal that
+    proposes them. A null score counts as zero, null tokens are an unknown size, tokens below zero count as none.
     """
     has_anchor = "anchor" in candidates.columns
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        score = rows.score.fillna(0.0)
-        rows = rows.assign(score=score, d=(score / rows.tokens).where(rows.tokens > 0, -np.inf))
-        rows = rows.sort_values("position", kind="stable") if ordered else rows.sort_values(["d", "position"], ascending=[False, True], kind="stable")
+        score, tokens = rows.score.astype(float).fillna(0.0), rows.tokens.astype(float)
+        size = tokens.clip(lower=0)
+        rows = rows.assign(score=score, tokens=size, d=(score / size).where(size > 0, -np.inf))
+        order = ["position", "item"] if ordered else ["d", "position", "item"]
+        rows = rows.sort_values(order, ascending=[x != "d" for x in order], kind="stable")
         used, count, out = spent, {}, []
         for r in rows.itertuples():
             named = isinstance(r.component, str) and r.component != ""
             if has_anchor and not isinstance(r.anchor, str):
                 why = "no file:line anchor"
+            elif pd.isna(r.tokens):
+                why = "unknown size"
             elif not ordered and r.score < least:
                 why = f"below floor ({least:.2f})"
             elif not ordered and named and per_component > 0 and count.get(r.component, 0) >= per_component:
@@ -83,7 +112,7 @@ def filled(candidates: DataFrame, budget: int, least: float = LEAST, per_compone
             out.append((key[0], r.item, why == "selected", why))
         return pd.DataFrame(out, columns=["request_id", "item", "included", "reason"])
 
-    return candidates.groupBy("request_id").applyInPandas(fold, "request_id long, item string, included boolean, reason string")
+    return candidates.groupBy("request_id").applyInPandas(fold, f"request_id {kinds['request_id']}, item {kinds['item']}, included boolean, reason string")
 
 
 def top(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:

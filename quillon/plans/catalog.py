@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import evaluation, graph, incremental, lookup, ranking, resolve, states
+from ..functions.words import STOPWORDS
+from ..operators import evaluation, graph, incremental, lookup, ranking, resolve, states, views
 from . import derive
 from .derive import read
 
@@ -141,10 +142,12 @@ def supertypes(spark, d):
     return graph.supertypes(derive.edges(spark, d))
 
 
-@query("symbol_detail", """SELECT 'in' AS way, edge_type, src AS other, confidence FROM edges WHERE dst = 'geo.ASIA.NATION_2' UNION ALL SELECT 'out', edge_type, dst, confidence FROM edges WHERE src = 'geo.ASIA.NATION_2'""")
+@query("symbol_detail", """, nm(asked, fqn) AS (VALUES ('geo.ASIA.NATION_2', 'geo.ASIA.NATION_2'), ('old.ASIA', 'geo.ASIA')) SELECT asked, fqn, 'in' AS way, edge_type, src AS other, confidence FROM edges JOIN nm ON dst = fqn WHERE src IN (SELECT fqn FROM symbols WHERE NOT deleted) UNION ALL SELECT asked, fqn, 'out', edge_type, dst, confidence FROM edges JOIN nm ON src = fqn WHERE dst IN (SELECT fqn FROM symbols WHERE NOT deleted)""")
 def symbol_detail(spark, d):
-    e = derive.edges(spark, d)
-    return e.where(F.col("dst") == SEEDS[0]).select(F.lit("in").alias("way"), "edge_type", F.col("src").alias("other"), "confidence").unionByName(e.where(F.col("src") == SEEDS[0]).select(F.lit("out").alias("way"), "edge_type", F.col("dst").alias("other"), "confidence"))
+    """The neighbours of a class, and of a package asked for by the name it had two renames ago."""
+    e, s = derive.graph_tables(spark, d)
+    aliases = spark.createDataFrame([("old.ASIA", "mid.ASIA"), ("mid.ASIA", "geo.ASIA")], "old_fqn string, new_fqn string")
+    return views.symbol_detail(s, e, seeds(spark, SEEDS[0], "old.ASIA", "gone.X"), aliases)
 
 
 # ---- projections and predicates
@@ -155,9 +158,18 @@ def live_symbols(spark, d):
     return derive.symbols(spark, d).where(~F.col("deleted")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("file_facts", "SELECT file_path, count(*) AS n, min(start_line) AS first_line FROM symbols WHERE NOT deleted GROUP BY file_path")
+FILES = ", files AS (SELECT file_path AS path, CASE WHEN file_path LIKE '%.ts' THEN 'typescript' ELSE 'java' END AS lang, bool_and(deleted) AS deleted FROM symbols GROUP BY 1)"
+
+
+def files(symbols: DataFrame) -> DataFrame:
+    """``path, lang, deleted`` of the files of symbols; a file is deleted if all it has is."""
+    by = symbols.groupBy(F.col("file_path").alias("path")).agg(F.min(F.col("deleted").cast("int")).cast("boolean").alias("deleted"))
+    return by.select("path", F.when(F.col("path").endswith(".ts"), "typescript").otherwise("java").alias("lang"), "deleted")
+
+
+@query("file_facts", FILES + " SELECT path, lang FROM files WHERE NOT deleted")
 def file_facts(spark, d):
-    return derive.symbols(spark, d).where(~F.col("deleted")).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
+    return views.file_facts(files(derive.symbols(spark, d)))
 
 
 @query("test_and_frontend", """SELECT contains(file_path, '/test/') OR contains(file_path, '/tests/') OR ends_with(file_path, '.test.ts') OR ends_with(file_path, '.test.tsx') OR ends_with(file_path, '.spec.ts') OR contains(fqn, 'Test#') OR ends_with(fqn, 'Test') OR ends_with(fqn, 'Tests') AS is_test,
@@ -212,11 +224,21 @@ def symbol_at(spark, d):
 # ---- joins and set operations
 
 
-@query("edges_into", "SELECT e.src, s.file_path, e.edge_type, e.site_line, e.confidence FROM edges e JOIN symbols s ON s.fqn = e.src WHERE e.dst IN ('geo.ASIA.NATION_2', 'geo.EUROPE.NATION_3')")
+@query("edges_into", "SELECT e.dst AS fqn, e.src AS other, s.kind, s.file_path, s.start_line, e.edge_type, e.confidence, e.site_line FROM edges e JOIN symbols s ON s.fqn = e.src AND NOT s.deleted WHERE e.dst IN ('geo.ASIA.NATION_2', 'geo.EUROPE.NATION_3')")
 def edges_into(spark, d):
-    e = derive.edges(spark, d).where(F.col("dst").isin(*SEEDS))
-    s = derive.symbols(spark, d).select("fqn", "file_path")
-    return e.join(s, e["src"] == s["fqn"]).select("src", "file_path", "edge_type", "site_line", "confidence")
+    return views.edges_into(derive.symbols(spark, d), derive.edges(spark, d), seeds(spark, *SEEDS))
+
+
+@query("edges_out", "SELECT e.src AS fqn, e.dst AS other, s.kind, s.file_path, s.start_line, e.edge_type, e.confidence, e.site_line FROM edges e JOIN symbols s ON s.fqn = e.dst AND NOT s.deleted JOIN symbols o ON o.fqn = e.src AND o.start_line % 50 = 3")
+def edges_out(spark, d):
+    s = derive.symbols(spark, d)
+    return views.edges_out(s, derive.edges(spark, d), s.where("start_line % 50 = 3"))
+
+
+@query("edge_facts", "SELECT edge_type, dst IN (SELECT fqn FROM symbols WHERE NOT deleted) AS there, count(*) AS n, count(DISTINCT src) AS sources FROM edges WHERE src IN (SELECT fqn FROM symbols WHERE NOT deleted) GROUP BY 1, 2")
+def edge_facts(spark, d):
+    s = derive.symbols(spark, d)
+    return views.edge_facts(s, derive.edges(spark, d)).groupBy("edge_type", F.col("dst").isNotNull().alias("there")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"))
 
 
 @query("all_edges", ", t AS (SELECT fqn, kind FROM symbols WHERE NOT deleted) SELECT a.kind AS src_kind, b.kind AS dst_kind, e.edge_type, count(*) AS n FROM edges e JOIN t a ON a.fqn = e.src LEFT JOIN t b ON b.fqn = e.dst GROUP BY 1, 2, 3")
@@ -226,20 +248,17 @@ def all_edges(spark, d):
     return derive.edges(spark, d).join(a, "src").join(b, "dst", "left").groupBy("src_kind", "dst_kind", "edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("symbol_facts", "SELECT c.fqn, c.kind, p.kind AS parent_kind FROM symbols c LEFT JOIN symbols p ON p.fqn = c.parent_fqn WHERE c.kind <> 'method'")
+@query("symbol_facts", "SELECT c.fqn, c.kind, c.file_path, c.start_line, c.parent_fqn AS parent_fqn, p.kind AS parent_kind FROM (SELECT c.* EXCLUDE (parent_fqn), p.fqn AS parent_fqn FROM symbols c LEFT JOIN symbols p ON p.fqn = c.parent_fqn) c LEFT JOIN symbols p ON p.fqn = c.parent_fqn WHERE NOT c.deleted")
 def symbol_facts(spark, d):
-    s = derive.symbols(spark, d)
-    p = s.select(F.col("fqn").alias("parent_fqn"), F.col("kind").alias("parent_kind"))
-    return s.where("kind <> 'method'").join(p, "parent_fqn", "left").select("fqn", "kind", "parent_kind")
+    return views.symbol_facts(derive.symbols(spark, d))
 
 
-@query("neighbours_of_files", """, own AS (SELECT fqn FROM symbols WHERE file_path LIKE 'geo/ASIA/NATION_2%') SELECT fqn FROM own UNION SELECT src FROM edges WHERE dst IN (SELECT fqn FROM own) UNION SELECT dst FROM edges WHERE src IN (SELECT fqn FROM own)""")
+@query("neighbours_of_files", """, paths AS (SELECT DISTINCT file_path AS path FROM symbols WHERE file_path IN ('geo/ASIA/NATION_2.java', 'geo/ASIA/NATION_2.ts', 'geo/EUROPE.ts')), own AS (SELECT fqn FROM symbols WHERE NOT deleted AND file_path IN (SELECT path FROM paths)),
+n AS (SELECT fqn FROM own UNION SELECT src FROM edges WHERE dst IN (SELECT fqn FROM own) UNION SELECT dst FROM edges WHERE src IN (SELECT fqn FROM own)) SELECT c.fqn, c.kind, c.file_path, c.start_line, p.fqn AS parent_fqn, p.kind AS parent_kind FROM symbols c LEFT JOIN symbols p ON p.fqn = c.parent_fqn WHERE NOT c.deleted AND c.fqn IN (SELECT fqn FROM n)""")
 def neighbours_of_files(spark, d):
-    own = derive.symbols(spark, d).where(F.col("file_path").startswith("geo/ASIA/NATION_2")).select("fqn")
-    e = derive.edges(spark, d)
-    into = e.join(own, e["dst"] == own["fqn"], "left_semi").select(F.col("src").alias("fqn"))
-    out = e.join(own, e["src"] == own["fqn"], "left_semi").select(F.col("dst").alias("fqn"))
-    return own.union(into).union(out).distinct()
+    """The symbols of three files and those one edge away."""
+    e, s = derive.graph_tables(spark, d)
+    return views.symbol_facts_in(s, e, spark.createDataFrame([("geo/ASIA/NATION_2.java",), ("geo/ASIA/NATION_2.ts",), ("geo/EUROPE.ts",)], "path string"))
 
 
 PACKAGE = "CASE WHEN contains({0}, '::') THEN regexp_extract({0}, '^(.*)::', 1) WHEN contains({0}, '.') THEN regexp_extract({0}, '^(.*)\\.', 1) ELSE '' END"
@@ -326,10 +345,11 @@ def edge_accuracy(spark, d):
     return c.select("tier", "claimed", "n", micro(F.col("measured"), "measured"), micro(F.col("low"), "low"), micro(F.col("high"), "high"), "verdict", micro(F.col("proposed"), "proposed"))
 
 
-@query("edge_counts", RESOLVE + "SELECT count(*) AS sites, sum(hit)::BIGINT AS resolved FROM (SELECT src, site_line, hint, max((dst IS NOT NULL)::INT) AS hit FROM r GROUP BY 1, 2, 3)")
+@query("edge_counts", RESOLVE + "SELECT count(*) AS sites, sum(hit)::BIGINT AS resolved, sum(ext)::BIGINT AS external, sum(sib)::BIGINT AS sibling, sum(gr)::BIGINT AS external_graph FROM (SELECT src, site_line, hint, max((dst IS NOT NULL AND place <> 'external-graph')::INT) AS hit, max((place = 'external')::INT) AS ext, max((place = 'sibling')::INT) AS sib, max((place = 'external-graph')::INT) AS gr FROM (SELECT *, CASE WHEN tier = 'member' AND site_line % 2 = 1 THEN 'external-graph' ELSE resolution END AS place FROM r) GROUP BY 1, 2, 3)")
 def edge_counts(spark, d):
-    hit = F.max(F.col("dst").isNotNull().cast("int"))
-    return resolved(spark, d).groupBy("src", "site_line", "hint").agg(hit.alias("hit")).agg(F.count(F.lit(1)).alias("sites"), F.sum("hit").alias("resolved"))
+    """Call sites by how they ended; bare members at odd lines are taken as found in an external graph."""
+    graph_too = F.when((F.col("tier") == "member") & (F.col("site_line") % 2 == 1), "external-graph").otherwise(F.col("resolution"))
+    return views.edge_counts(resolved(spark, d).withColumn("resolution", graph_too))
 
 
 @query("package_root", """, f AS (SELECT fqn, false AS more FROM symbols UNION ALL SELECT replace(fqn, 'geo.', 'com.acme.'), true FROM symbols), p AS (SELECT DISTINCT more, """ + PACKAGE.format("split_part(fqn, '#', 1)") + """ AS pkg FROM f),
@@ -391,29 +411,38 @@ def churn(spark, d):
     return ranking.churn(read(spark, d, "events"), "user_id").select("user_id", micro(F.col("churn"), "churn"))
 
 
-@query("query_overlap", """, b AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4)) AS term FROM benchmark), df AS (SELECT term, count(DISTINCT item_id) AS df FROM b GROUP BY 1)
-SELECT item_id, count(DISTINCT term) AS overlap FROM b JOIN df USING (term) WHERE df * 2 < (SELECT count(*) FROM benchmark) GROUP BY 1""")
+@query("query_overlap", NO_CTE + """WITH d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM d GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark)
+SELECT b.item_id AS query_id, count(df.term) AS overlap FROM benchmark b LEFT JOIN q ON q.query_id = b.item_id AND octet_length(encode(q.term)) >= 4 AND q.term NOT IN (""" + ", ".join(f"'{w}'" for w in STOPWORDS) + """) LEFT JOIN df ON df.term = q.term AND df.df < ceil((SELECT count(*) FROM documents) / 2) GROUP BY 1""")
 def query_overlap(spark, d):
-    b = read(spark, d, "benchmark")
-    t = b.select("item_id", F.explode(F.filter(N.terms(F.col("text")), lambda x: F.length(x) >= 4)).alias("term")).distinct()
-    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = b.agg(F.count(F.lit(1)).alias("n"))
-    return t.join(df, "term").crossJoin(F.broadcast(n)).where("df * 2 < n").groupBy("item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    """Of each benchmark item, the telling words that fewer than half of the documents have."""
+    return ranking.query_overlap(read(spark, d, "documents"), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
 
+NINE = {"seed": "o_orderkey % 2", "graph": "o_orderkey % 10 / 10", "churn": "o_orderkey % 7 / 7", "recency": "o_orderkey % 3 / 3", "history": "o_custkey % 4 / 4", "fact": "o_custkey % 5 / 5", "test": "o_custkey % 2", "arch": "o_orderkey % 9 / 9"}
 
-@query("rank_score", NO_CTE + "SELECT o_orderkey AS item, floor((1.0 * (o_orderkey % 2) + 0.8 * (o_orderkey % 10) / 10 + 0.3 * (o_orderkey % 7) / 7 - 0.4 * least(greatest(o_totalprice / 400000, 0), 1)) * 1e4 + 0.5) / 1e4 AS score FROM orders")
+
+@query("rank_score", NO_CTE + "SELECT o_orderkey AS item, floor((" + " + ".join(f"{ranking.RANK[k]}::DOUBLE * ({v}::DOUBLE)" for k, v in NINE.items()) + " - 0.4 * least(greatest(o_totalprice / 400000, 0), 1)) * 1e4 + 0.5) / 1e4 AS score FROM orders".replace("o_totalprice", "o_totalprice::DOUBLE"))
 def rank_score(spark, d):
-    k = F.col("o_orderkey")
-    s = ranking.score(seed=(k % 2).cast("double"), graph=(k % 10) / 10, churn=(k % 7) / 7, cost=F.col("o_totalprice") / 400000)
-    return read(spark, d, "orders").select(k.alias("item"), (F.floor(s * 1e4 + 0.5) / 1e4).alias("score"))
+    """All nine terms of a candidate's score."""
+    s = ranking.score(cost=F.col("o_totalprice") / 400000, **{k: F.expr(v).cast("double") for k, v in NINE.items()})
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("item"), (F.floor(s * 1e4 + 0.5) / 1e4).alias("score"))
+
+
+ANCHORED = "CASE WHEN seed = subject THEN 1.0 WHEN (starts_with(seed, subject) AND seed[length(subject) + 1] IN (':', '.', '#', '/', '(')) OR (starts_with(subject, seed) AND subject[length(seed) + 1] IN (':', '.', '#', '/', '(')) THEN 0.6 ELSE 0 END"
 
 
-@query("fact_relevance", NO_CTE + "SELECT p_partkey, floor((1.0 / (1 + p_size % 4)) * (CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.7 END) * (CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.6 END) * greatest(least(exp(-p_size / 40.0), 1.0), 0.05) * 0.9 * 1e6 + 0.5) / 1e6 AS relevance FROM part")
+@query("fact_relevance", NO_CTE + """WITH f AS (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 'catalog.' || p_brand WHEN 2 THEN 'catalog.' || p_brand[1:4] WHEN 3 THEN 'catalog.Brand#11#part_1' ELSE 'catalog' END AS subject FROM part),
+sd(seed) AS (VALUES ('catalog.Brand#11#part_1(3)'), ('catalog.Brand#12'), ('sales')), m AS (SELECT p_partkey, greatest(0.3, max(""" + ANCHORED + """)) AS m FROM f, sd GROUP BY 1)
+SELECT p_partkey, floor(m::DOUBLE * (CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.7 END) * (CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.6 END) * greatest(least(exp(-p_size / 40.0), 1.0), 0.05) * 0.9 * 1e6 + 0.5) / 1e6 AS relevance FROM f JOIN m USING (p_partkey)""")
 def fact_relevance(spark, d):
+    """Parts as facts about a brand, the beginning of its name, one part, the catalog or nothing, for a request that starts at three names."""
     z = F.col("p_size")
     source = F.when(z % 3 == 0, "human").when(z % 3 == 1, "deterministic").otherwise("model")
     state = F.when(z % 5 == 0, "durable").when(z % 5 == 1, "validated").otherwise("candidate")
-    return read(spark, d, "part").select("p_partkey", micro(ranking.relevance(1.0 / (1 + z % 4), source, state, z, F.lit(0.9)), "relevance"))
+    subject = F.when(z % 5 == 1, F.concat(F.lit("catalog."), "p_brand")).when(z % 5 == 2, F.concat(F.lit("catalog."), F.left("p_brand", F.lit(4)))).when(z % 5 == 3, "catalog.Brand#11#part_1").when(z % 5 == 4, "catalog")
+    match = ranking.subject_match(subject, F.array(*map(F.lit, ("catalog.Brand#11#part_1(3)", "catalog.Brand#12", "sales"))))
+    return read(spark, d, "part").select("p_partkey", micro(ranking.relevance(match, source, state, z, F.lit(0.9)), "relevance"))
 
 
 @query("budget_fill", NO_CTE + """WITH RECURSIVE c AS (SELECT o_custkey AS request_id, o_orderkey::VARCHAR AS item, (o_orderkey % 97) / 97.0 AS score, (o_orderkey % 50 + 1)::BIGINT AS tokens, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE '' END AS component, o_orderkey AS position, o_orderkey % 11 > 0 AS anchored FROM orders),
@@ -500,10 +529,8 @@ def finding_lifecycle(spark, d):
     """Users as findings; a scan a day, from the first day of the events to the last."""
     e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
     ends = F.broadcast(e.agg(F.min("day").alias("first"), F.max("day").alias("last")))
-    scan = F.explode(F.sequence(F.lit(1), F.datediff("last", "first") + 1))
-    grid = e.select(F.col("user_id").alias("fingerprint")).distinct().crossJoin(ends).select("fingerprint", scan.alias("scan_id"))
-    hit = e.where("event_type = 'error'").crossJoin(ends).select(F.col("user_id").alias("fingerprint"), (F.datediff("day", "first") + 1).alias("scan_id")).distinct().withColumn("hit", F.lit(True))
-    return incremental.lifecycle(grid.join(hit, ["fingerprint", "scan_id"], "left").select("fingerprint", "scan_id", F.coalesce("hit", F.lit(False)).alias("present")))
+    hit = e.where("event_type = 'error'").crossJoin(ends)
+    return incremental.lifecycle_of(hit.select(F.col("user_id").alias("fingerprint"), (F.datediff("day", "first") + 1).alias("scan_id"), (F.datediff("last", "first") + 1).alias("scans")))
 
 
 @query("fact_versions", NO_CTE + "SELECT p_brand || p_type AS fact_key, p_partkey AS scan_id, p_name AS claim, lead(p_partkey) OVER w AS superseded_by, lead(p_partkey) OVER w IS NULL AS live FROM part WINDOW w AS (PARTITION BY p_brand || p_type ORDER BY p_partkey)")

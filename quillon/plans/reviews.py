@@ -38,11 +38,12 @@ def transactional_non_public(spark, d):
     return rules.transactional_non_public(annotated(derive.symbols(spark, d)))
 
 
-@query("self_invocation", ANNOTATED + ", within AS (SELECT a.fqn AS src, b.fqn AS dst FROM mem a JOIN mem b ON a.parent = b.parent AND a.t = 'supplier' AND b.t = 'customer') SELECT DISTINCT src, dst FROM within JOIN tx a ON a.fqn = src JOIN tx b ON b.fqn = dst JOIN bean ON owner = a.parent_fqn WHERE a.parent_fqn = b.parent_fqn AND b.tx AND NOT a.tx")
+@query("self_invocation", ANNOTATED + ", within AS (SELECT DISTINCT a.fqn AS src, b.fqn AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN mem a ON a.t = 'supplier' AND a.k = l_suppkey JOIN mem b ON b.t = 'customer' AND b.k = o_custkey) SELECT src, dst FROM within JOIN tx a ON a.fqn = src JOIN tx b ON b.fqn = dst JOIN bean ON owner = a.parent_fqn WHERE a.parent_fqn = b.parent_fqn AND b.tx AND NOT a.tx")
 def self_invocation(spark, d):
-    """Calls from each supplier to the customers of its nation."""
+    """Calls from the suppliers of an order's lines to its customer; some are of one nation."""
     m = derive.members(spark, d)
-    calls = m["supplier"].select("nation_fqn", F.col("fqn").alias("src")).join(m["customer"].select("nation_fqn", F.col("fqn").alias("dst")), "nation_fqn")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    calls = lines.join(m["supplier"].select(F.col("k").alias("l_suppkey"), F.col("fqn").alias("src")), "l_suppkey").join(m["customer"].select(F.col("k").alias("o_custkey"), F.col("fqn").alias("dst")), "o_custkey")
     return rules.self_invocation(annotated(derive.symbols(spark, d)), calls.select("src", "dst", F.lit("calls").alias("edge_type")))
 
 
