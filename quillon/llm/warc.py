@@ -9,8 +9,10 @@ archive. Of records with equal payloads that with the largest id is the response
 
 Edge cases: a null payload is empty; a null id never becomes the response of a payload that a record with an id has;
 rows that repeat the largest id with the same payload are responses each; a null url leaves its head field out; line
-ends in urls are percent-encoded; an empty table gives no records; extra columns are ignored. Archives are reached
-through pyarrow's file systems (local, HDFS, S3, GCS), on driver and executors alike.
+ends in urls are percent-encoded; an empty table gives no records; extra columns are ignored. Archives of other writers: records of every type
+are rows; ids that aren't this writer's numbers leave ``page_id`` and ``refers_to`` null and stand in ``record_id`` and ``refers_to_id``; a missing
+digest is computed, a wrong one makes ``intact`` false; a revisit may lack length and digest, see ``resolved``; a damaged
+member is passed over, and so is a gzip member that holds no record. Archives are reached through pyarrow's file systems (local, HDFS, S3, GCS), on driver and executors alike.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of a split and of a read, and the most bytes of a head.
 SPLIT, READ, HEAD = 16_000_000, 1 << 18, 1 << 16
-RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, intact boolean"
 
 
 def opened(uri: str):
@@ -165,30 +167,54 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[s
             at += 1
 
 
+def sha1_of(field: str | None) -> str | None:
+    """A declared SHA-1 in bare upper-case base32, whether it is written so or in hex; None if there is none."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode()
+    return value.upper() or None
+
+
 def row_of(head: dict[str, str], block: bytes) -> tuple:
+    """A row of RECORD. The payload is the body of a stored HTTP message, else the block; a revisit has none, but may declare its length and digest."""
+
     def number(field: str) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", head.get(field, ""))
         return int(m[1]) if m else None
 
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if head["warc-type"] == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if digest32(payload) != digest:
-            raise ValueError(f"payload of {head.get('warc-record-id')} doesn't have its digest")
-        n = len(payload)
+    declared, intact = sha1_of(head.get("warc-payload-digest")), None
+    if head["warc-type"] == "revisit":
+        n = head.get("x-payload-length", "")
+        length, digest = int(n) if n.isdigit() else None, declared
     else:
-        n = int(head["x-payload-length"])
-    return number("warc-record-id"), head.get("warc-target-uri"), n, digest, head["warc-type"], number("warc-refers-to")
+        http = head.get("content-type", "").lower().replace(" ", "").startswith("application/http") or (head["warc-type"] == "response" and block.startswith(b"HTTP/"))
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        length, digest = len(payload), digest32(payload)
+        intact = None if declared is None else digest == declared
+    return number("warc-record-id"), head.get("warc-target-uri"), length, digest, head["warc-type"], number("warc-refers-to"), head.get("warc-record-id"), head.get("warc-refers-to"), intact
+
+
+def resolved(rows: DataFrame) -> DataFrame:
+    """Rows of RECORD in which a revisit that declares no length or digest has those of the record it refers to, else of a response of equal digest."""
+    told = rows.where("record_type <> 'revisit'")
+    by_id = told.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("a")).select(F.col("record_id").alias("__id"), "a")
+    by_digest = told.where("record_type = 'response'").groupBy("payload_digest").agg(F.min("payload_bytes").alias("__n")).withColumnRenamed("payload_digest", "__digest")
+    bare = (F.col("record_type") == "revisit") & (F.col("payload_bytes").isNull() | F.col("payload_digest").isNull())
+    some = rows.where(bare).join(by_id, F.col("refers_to_id") == F.col("__id"), "left").withColumn("payload_digest", F.coalesce("payload_digest", "a.payload_digest"))
+    some = some.join(by_digest, F.col("payload_digest") == F.col("__digest"), "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "a.payload_bytes", "__n"))
+    return rows.where(~bare).unionByName(some.select(*rows.columns))
 
 
 def read(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The records of archives (``path, bytes``), whose byte ranges are spread over tasks."""
+    """The records of archives (``path, bytes``), of all types, whose byte ranges are spread over tasks; see RECORD and ``row_of``."""
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
     n = ranges.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = [c.split()[0] for c in RECORD.split(", ")]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
         def packed(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -206,13 +232,13 @@ def read(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFr
                 if rows:
                     yield packed(rows)
 
-    return ranges.repartition(max(1, n), "path", "start").mapInArrow(run, RESULT)
+    return ranges.repartition(max(1, n), "path", "start").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, split: int = SPLIT) -> DataFrame:
     """The records of all pages, written to archives in the shared folder and read back."""
     spark = pages.sparkSession
-    return read(spark, write(pages, shared_dir(spark)), split)
+    return read(spark, write(pages, shared_dir(spark)), split).drop("record_id", "refers_to_id", "intact")
 
 
 ORACLE_SQL = """
