@@ -604,7 +604,7 @@ def edge_dump(spark, d):
     return derive.edges(spark, d).select("src", "dst", "edge_type", "confidence")
 
 
-from . import context, found, measures, reviews, search  # noqa: E402, F401  register their queries here
+from . import context, found, kept, measures, reviews, search  # noqa: E402, F401  register their queries here
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
