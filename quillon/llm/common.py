@@ -112,12 +112,23 @@ def remembers(name: str, clear: Callable[[], object]) -> None:
 
 
 def works(name: str) -> None:
-    """Called where an operator works: a worker process outlives a stage, and keeps what one operator remembers at a time."""
+    """Called where an operator works: a worker process outlives a stage, and keeps what one operator remembers at a time.
+
+    What the others let go is given back to the system, where the C library can do that.
+    """
     global _at_work
     if _at_work != name:
         for other, clear in _clear.items():
             if other != name:
                 clear()
+        if _at_work:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
         _at_work = name
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, works
 
 # The base rules.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
@@ -91,6 +91,7 @@ def upper(raw: bytes) -> int:
 
 
 def _work():
+    works("quality")
     return lambda texts: [measures(x) for x in texts]
 
 
