@@ -30,7 +30,7 @@ from ..functions.names import graphql_coordinate, member_name, prefix_of, simple
 from .graph import live_names
 from .incremental import change_of, file_renames, refused, renames, replace_symbols
 from .resolve import packages_of, resolve
-from .settle import settled
+from .settle import FEW_NUMBERS, released, settled, sized
 from .states import intact_facts
 
 BASE = ["src", "edge_type", "site_line", "hint", "file_path"]
@@ -73,13 +73,12 @@ def declared_supers(edges: DataFrame) -> DataFrame:
 
 
 def landed(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Parsed edges, once each, whose source lives."""
-    return edges.select(*BASE).distinct().join(live_names(symbols).withColumnRenamed("fqn", "src"), "src", "left_semi").select(*BASE)
+    """Parsed edges, once each, whose source lives. Joined by source first, whose exchange serves the distinct rows too."""
+    return edges.select(*BASE).join(live_names(symbols).withColumnRenamed("fqn", "src"), "src", "left_semi").select(*BASE).distinct()
 
 
 def resolved(edges: DataFrame, symbols: DataFrame, supers: DataFrame) -> DataFrame:
-    found = resolve(edges.withColumn("src_path", F.col("file_path")), symbols, supers)
-    return found.select(*BASE, "dst", "tier", "resolution", "confidence")
+    return resolve(edges, symbols, supers, path="file_path").select(*BASE, "dst", "tier", "resolution", "confidence")
 
 
 def once(symbols: DataFrame) -> DataFrame:
@@ -89,12 +88,15 @@ def once(symbols: DataFrame) -> DataFrame:
     return rows.select("fqn", *[F.col(f"x.{c}").alias(c) for c in rest], "file_path", F.lit(False).alias("deleted")).select(*SYMBOL)
 
 
-def scan(tree: DataFrame, symbols: DataFrame, edges: DataFrame, anchors: DataFrame, facts: DataFrame, aliases: DataFrame) -> Index:
-    """The index of a tree, from nothing."""
+def scan(tree: DataFrame, symbols: DataFrame, edges: DataFrame, anchors: DataFrame, facts: DataFrame, aliases: DataFrame, linked: bool = True) -> Index:
+    """The index of a tree, from nothing. One that isn't ``linked`` has its edges as parsed, without targets, which is enough for ``replaced``."""
     files = tree.select("path", "size", "mtime", "content_hash", F.lit(False).alias("deleted"))
     incoming = once(symbols.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
     table = settled(replace_symbols(incoming.limit(0), incoming, files))
-    own = settled(landed(edges.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi"), table))
+    parsed = edges.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    if not linked:
+        return Index(files, table, parsed.select(*BASE), anchors, facts, aliases)
+    own = settled(landed(parsed, table))
     return Index(files, table, settled(resolved(own, table, declared_supers(own))), anchors, facts, aliases)
 
 
@@ -153,8 +155,23 @@ def settle_facts(facts: DataFrame, anchors: DataFrame, symbols: DataFrame, files
     return both.select("fact_key", n.alias("validated"), F.when(kept, F.lit(scan_id).cast("long")).otherwise(F.col("validated_scan")).alias("validated_scan"), (F.coalesce("durable", F.lit(False)) | (kept & (n >= DURABLE))).alias("durable"), F.when(lost, F.lit(scan_id).cast("long")).otherwise(F.col("invalidated")).alias("invalidated"))
 
 
-def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame, scan_id: int, forced: bool = False, delta: DataFrame | None = None) -> Rescan:
-    """The index brought to ``tree``; see the module. Nothing changed gives the index itself and no changes."""
+@dataclass(frozen=True)
+class Replaced:
+    """Files and symbols of the later tree, before edges: ``parsed`` and ``gone`` (path), both tables, what was parsed (``incoming``) and what was there (``before``), renames and the ledger."""
+
+    parsed: DataFrame
+    gone: DataFrame
+    counts: dict[str, int]
+    files: DataFrame | None = None
+    symbols: DataFrame | None = None
+    incoming: DataFrame | None = None
+    before: DataFrame | None = None
+    moved: DataFrame | None = None
+    changes: DataFrame | None = None
+
+
+def replaced(index: Index, tree: DataFrame, symbols: DataFrame, forced: bool = False, delta: DataFrame | None = None) -> Replaced:
+    """Steps 1 and 2 of a rescan and their ledger, which no target of an edge enters: of the index's edges only source and file are read."""
     spark = tree.sparkSession
     changed, gone = (settled(x) for x in candidates(index.files, tree, forced, delta))
     more = edge_suppliers(index.edges, index.symbols, gone).join(tree.select("path"), "path", "left_semi").join(changed.select("path"), "path", "left_anti")
@@ -162,7 +179,7 @@ def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame,
     counts = {"files_changed": parsed.count(), "files_deleted": gone.count()}
     if not any(counts.values()):
         none = spark.createDataFrame([], "entity string, path string, fqn string, from_fqn string, change_type string, detail string")
-        return Rescan(index, none, {"unchanged": True, **counts, "symbols_changed": 0, "edges_walked": 0, "facts_invalidated": 0, "facts_validated": 0})
+        return Replaced(parsed, gone, counts, changes=none)
     at = parsed.select(F.col("path").alias("file_path"))
     lost = gone.select(F.col("path").alias("file_path"))
     out_of_date = at.unionByName(lost)
@@ -201,27 +218,49 @@ def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame,
     changes = ledger[0]
     for rows in ledger[1:]:
         changes = changes.unionByName(rows)
-    changes = settled(changes)
-    aliases = index.aliases.unionByName(moved.select("old_fqn", "new_fqn", F.lit(scan_id).cast("long").alias("scan_id")))
+    return Replaced(parsed, gone, counts, files, table, incoming, before, moved, settled(changes))
+
+
+def packages_in(symbols: DataFrame) -> DataFrame:
+    """``pkg`` of live symbols; names needn't be made distinct first."""
+    return packages_of(symbols.where("NOT coalesce(deleted, false) AND fqn IS NOT NULL"))
+
+
+def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame, scan_id: int, forced: bool = False, delta: DataFrame | None = None) -> Rescan:
+    """The index brought to ``tree``; see the module. Nothing changed gives the index itself and no changes. The sources of the index's edges live."""
+    new = replaced(index, tree, symbols, forced, delta)
+    counts, files, table, incoming, before, changes = new.counts, new.files, new.symbols, new.incoming, new.before, new.changes
+    if not any(counts.values()):
+        return Rescan(index, changes, {"unchanged": True, **counts, "symbols_changed": 0, "edges_walked": 0, "facts_invalidated": 0, "facts_validated": 0})
+    at = new.parsed.select(F.col("path").alias("file_path"))
+    out_of_date = at.unionByName(new.gone.select(F.col("path").alias("file_path")))
+    aliases = index.aliases.unionByName(new.moved.select("old_fqn", "new_fqn", F.lit(scan_id).cast("long").alias("scan_id")))
 
     # edges: those of parsed and gone files are replaced, what may resolve otherwise is resolved anew
     fresh = settled(landed(edges.join(at, "file_path", "left_semi"), table))
-    kept = index.edges.join(out_of_date, "file_path", "left_anti").join(live_names(table).withColumnRenamed("fqn", "src"), "src", "left_semi").select(*index.edges.columns)
     supers_of = lambda e: e.where(F.col("edge_type").isin(*SUPERS) & F.col("hint").isNotNull()).select("file_path", "src", "hint").distinct()
     was, now = supers_of(index.edges.join(out_of_date, "file_path", "left_semi")), supers_of(fresh)
     supers_changed = not (was.join(now, ["file_path", "src", "hint"], "left_anti").isEmpty() and now.join(was, ["file_path", "src", "hint"], "left_anti").isEmpty())
     live_was, live_now = live_names(before.unionByName(index.symbols.join(incoming.select("fqn").distinct(), "fqn", "left_semi").select(*SYMBOL))), live_names(table)
-    names = settled(live_was.join(live_now, "fqn", "left_anti").unionByName(live_names(table.join(incoming.select("fqn").distinct(), "fqn", "left_semi")).join(live_was, "fqn", "left_anti")))
-    packages = packages_of(names)
-    whole = [packages_of(live_names(x)) for x in (index.symbols, table)]
-    packages_changed = not packages.join(whole[0], "pkg", "left_semi").join(whole[1], "pkg", "left_anti").isEmpty() or not packages.join(whole[1], "pkg", "left_semi").join(whole[0], "pkg", "left_anti").isEmpty()
-    again = settled(affected(kept, names, packages_changed, supers_changed))
-    walked = settled(fresh.unionByName(kept.join(again, "hint", "left_semi").select(*BASE)).distinct())
+    dead = settled(live_was.join(live_now, "fqn", "left_anti"))
+    names = settled(dead.unionByName(live_names(table.join(incoming.select("fqn").distinct(), "fqn", "left_semi")).join(live_was, "fqn", "left_anti")))
+    packages = settled(packages_of(names))
+    whole = [packages_in(x) for x in (index.symbols, table)]
+    packages_changed = any(not packages.join(a, "pkg", "left_semi").join(b, "pkg", "left_anti").isEmpty() for a, b in (whole, whole[::-1]))
+    # a name's hash tells which few edges may have lost their source, so the others aren't exchanged for it
+    rest = index.edges.join(out_of_date, "file_path", "left_anti").select(*index.edges.columns)
+    hashes, _ = sized(dead.select(F.xxhash64("fqn").alias("__h")).distinct(), FEW_NUMBERS)
+    doubt = rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_semi").join(dead.withColumnRenamed("fqn", "src"), "src", "left_anti").select(*rest.columns)
+    kept = settled(rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_anti").unionByName(doubt))
+    again = affected(kept, names, packages_changed, supers_changed).withColumn("__again", F.lit(True))
+    marked = settled(kept.join(again, "hint", "left").select(*kept.columns, F.coalesce("__again", F.lit(False)).alias("__again")))
+    walked = settled(fresh.unionByName(marked.where("__again").select(*BASE)).distinct())
     all_supers = declared_supers(kept.unionByName(fresh, allowMissingColumns=True))
-    current = settled(kept.join(again, "hint", "left_anti").select(*index.edges.columns).unionByName(resolved(walked, table, all_supers).select(*index.edges.columns)))
+    current = settled(marked.where("NOT __again").select(*index.edges.columns).unionByName(resolved(walked, table, all_supers).select(*index.edges.columns)))
 
     facts = settled(settle_facts(index.facts, index.anchors, table, files, scan_id))
     done = facts.agg(F.count_if(F.col("invalidated") == scan_id).alias("i"), F.count_if((F.col("validated_scan") == scan_id) & F.col("invalidated").isNull()).alias("v")).first()
     counts |= {"symbols_changed": changes.where("entity = 'symbol'").count(), "edges_walked": walked.count(), "facts_invalidated": done.i, "facts_validated": done.v}
-    new = replace(index, files=files, symbols=table, edges=current, facts=facts, aliases=aliases)
-    return Rescan(new, changes, {"unchanged": False, **counts})
+    released(kept, marked, walked, dead, hashes, packages)
+    after = replace(index, files=files, symbols=table, edges=current, facts=facts, aliases=aliases)
+    return Rescan(after, changes, {"unchanged": False, **counts})

@@ -34,6 +34,8 @@ DEPTH = 8
 def few(keyed: DataFrame, wanted: DataFrame, most: int | None) -> DataFrame:
     """``key, dst, n`` of wanted keys that no more than ``most`` symbols have."""
     asked = keyed.join(wanted, "key", "left_semi")
+    if most == 1:  # one symbol is its own least one, so nothing is joined again
+        return asked.groupBy("key").agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("n")).where("n = 1")
     counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return asked.join(counts.where(F.col("n") <= most) if most else counts, "key")
 
@@ -134,14 +136,14 @@ def head_of(path: Column, hint: Column) -> Column:
     return F.when(hint.startswith("graphql:"), F.split_part(F.coalesce(path, F.lit("")), F.lit("/"), F.lit(1))).otherwise("")
 
 
-def resolve(hints: DataFrame, symbols: DataFrame, supers: DataFrame | None = None) -> DataFrame:
+def resolve(hints: DataFrame, symbols: DataFrame, supers: DataFrame | None = None, path: str = "src_path") -> DataFrame:
     """``src, edge_type, site_line, hint, dst, tier, resolution, confidence``: one row per edge and candidate of its tier.
 
-    ``hints``: ``src, edge_type, site_line, hint`` and maybe ``src_path``, written once, as they are read for the ladder and joined to its
-    answers; columns besides these stay. ``symbols`` and ``supers`` as in ``resolve_hints``.
+    ``hints``: ``src, edge_type, site_line, hint`` and maybe ``src_path``, written once unless they are a table of ``settled``, as they are read for the
+    ladder and joined to its answers; columns besides these stay, and so does the path's if it is ``path`` by another name. ``symbols`` and ``supers`` as in ``resolve_hints``.
     """
-    path = F.col("src_path") if "src_path" in hints.columns else F.lit("")
-    asked = settled(hints.withColumn("head", head_of(path, F.col("hint"))))
+    headed = hints.withColumn("head", head_of(F.col(path) if path in hints.columns else F.lit(""), F.col("hint")))
+    asked = headed if getattr(hints, "_settled", None) else settled(headed)
     out = asked.join(resolve_hints(asked, symbols, supers), ["hint", "head"], "left")
     place = F.lit("unresolved")
     return out.select(*[c for c in hints.columns if c != "src_path"], "dst", F.coalesce("tier", place).alias("tier"), F.coalesce("resolution", place).alias("resolution"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

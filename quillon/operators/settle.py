@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a step is broadcast; counted, not guessed.
 FEW = 100_000
+#: The same for rows of one number.
+FEW_NUMBERS = 1_000_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,11 +37,11 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
-def sized(df: DataFrame) -> tuple[DataFrame, int]:
+def sized(df: DataFrame, few: int = FEW) -> tuple[DataFrame, int]:
     """``df`` settled, as one to broadcast if it has few rows, and its number of rows."""
     out = settled(df)
     n = out.count()
-    hinted = F.broadcast(out) if n <= FEW else out
+    hinted = F.broadcast(out) if n <= few else out
     hinted._settled = out._settled
     return hinted, n
 

@@ -147,3 +147,17 @@ def test_replacement_and_anchors(spark):
     symbols = spark.createDataFrame([("a", "f", "s", "b", False), ("dead", "f", "s", "b", True)], "fqn string, path string, sig_hash string, body_hash string, deleted boolean")
     assert {x.fact_key: x.intact for x in states.intact_facts(anchors, symbols).collect()} == {"k1": True, "k2": False, "k3": False, "k4": True, "k5": False}
     assert states.intact_facts(anchors.limit(0), symbols).count() == 0
+
+
+def test_the_ledger_needs_no_targets(spark, monkeypatch):
+    edited = {k: v for k, v in BASE.items() if k != "a/Leaf.java"} | {"a/Child.java": ([("p.Child", "s", "b2", "declares")], [])}
+    want = {("file", "a/Leaf.java", None, None, "deleted", None), ("file", "a/Child.java", None, None, "modified", "content"), ("symbol", "a/Child.java", "p.Child", None, "modified", "body"), ("symbol", "a/Leaf.java", "p.Leaf#value()", None, "deleted", None)}
+    none = [spark.createDataFrame([], t) for t in (ANCHORS, FACTS, ALIASES)]
+
+    def refuse(*_, **__):
+        raise AssertionError("no edge is to be resolved")
+
+    monkeypatch.setattr(rescan, "resolve", refuse)
+    before, (tree, symbols, _) = tables(spark, BASE), tables(spark, edited)
+    got = rescan.replaced(rescan.scan(*before, *none, linked=False), tree, symbols)
+    assert {tuple(r) for r in got.changes.collect()} == want
