@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_frontend, is_test
-from .settle import sized
+from .settle import FEW_NUMBERS, released, settled, sized
 
 # What marks a bean, what starts a transaction, how far rules look, and how many stale callers are many.
 BEANS, TRANSACTIONAL = ("Service", "Component", "Repository", "Controller", "RestController"), "Transactional"
@@ -60,19 +60,32 @@ def orphan_operations(symbols: DataFrame, unresolved: DataFrame) -> DataFrame:
     return own.join(symbols.select(F.col("fqn").alias("src")).distinct(), "src", "left_semi").crossJoin(F.broadcast(served)).select("src", F.regexp_replace("hint", "^(?:graphql:)+", "").alias("field")).distinct()
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """``seed, fqn, depth``: for each seed (``fqn``) what depends on it within so many steps, whatever the confidence."""
-    steps = edges.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct().persist()
-    front, n = sized(seeds.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node")).distinct())
+def number(name: Column) -> Column:
+    return F.when(name.isNotNull(), F.xxhash64(name))
+
+
+def reached_by(edges: DataFrame, seeds: DataFrame, depth: int, known: DataFrame):
+    """``seed, node, depth`` as ``dependents``, by the keys of names, and what gives a name's key.
+
+    A key is the name's 64-bit number, so that pairs are of two numbers and not of two names; if two of all names (of edges, seeds and ``known``) share
+    one, which is counted, it is the name itself.
+    """
+    ends = settled(edges.where("src <> dst").select("src", "dst"))
+    names = ends.select(F.explode(F.array("src", "dst")).alias("fqn")).unionByName(seeds.select("fqn")).unionByName(known.select("fqn"))
+    shared = names.groupBy(number(F.col("fqn")).alias("k")).agg(F.min("fqn").alias("a"), F.max("fqn").alias("b")).where("a <> b")
+    key = number if shared.isEmpty() else (lambda name: name)
+    steps = settled(ends.select(key(F.col("dst")).alias("node"), key(F.col("src")).alias("next")).distinct())
+    released(ends)
+    front, n = sized(seeds.where("fqn IS NOT NULL").select(key(F.col("fqn")).alias("seed"), key(F.col("fqn")).alias("node")).distinct(), FEW_NUMBERS)
     met = front.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
         if not n:
             break
         moved = front.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        front, n = sized(moved.join(met, ["seed", "node"], "left_anti"))
+        front, n = sized(moved.join(met, ["seed", "node"], "left_anti"), FEW_NUMBERS)
         met = met.unionByName(front.withColumn("depth", F.lit(level)))
-    steps.unpersist()
-    return met.where("depth > 0").select("seed", F.col("node").alias("fqn"), "depth")
+    released(steps)
+    return met.where("depth > 0"), key
 
 
 def stale_callers(symbols: DataFrame, edges: DataFrame, changed: DataFrame, many: int = MANY) -> DataFrame:
@@ -88,8 +101,10 @@ def seam_crossing(symbols: DataFrame, edges: DataFrame, changed: DataFrame, dept
     place = symbols.select("fqn", is_frontend(F.col("file_path")).alias("front")).distinct()
     seeds = changed.where(F.col("kind").isin(*CONTRACTS)).select("fqn").distinct().join(place.where("NOT front"), "fqn", "left_semi")
     still = place.where("front").join(changed.select("fqn").distinct(), "fqn", "left_anti").select("fqn")
-    reached = dependents(edges, seeds, depth).join(still, "fqn", "left_semi")
-    return reached.groupBy(F.col("seed").alias("fqn")).agg(F.count(F.lit(1)).alias("reached"))
+    seeds = settled(seeds)
+    pairs, key = reached_by(edges, seeds, depth, still)
+    counts = pairs.join(still.select(key(F.col("fqn")).alias("node")), "node", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("reached"))
+    return counts.join(seeds.withColumn("seed", key(F.col("fqn"))), "seed").select("fqn", "reached")
 
 
 def untested_changes(symbols: DataFrame, edges: DataFrame, changed: DataFrame, covered: DataFrame | None = None, depth: int = COVERAGE_DEPTH) -> DataFrame:
@@ -97,8 +112,12 @@ def untested_changes(symbols: DataFrame, edges: DataFrame, changed: DataFrame, c
     test = symbols.select("fqn", is_test(F.col("file_path"), F.col("fqn")).alias("test")).distinct()
     mine = symbols.where("kind = 'method'").join(test.where("NOT test"), "fqn", "left_semi").select("fqn").distinct()
     seeds = changed.where("kind <> 'DELETED'").select("fqn").distinct().join(mine, "fqn", "left_semi")
-    reach = dependents(edges, seeds, depth).join(test, "fqn", "left")
-    by = reach.groupBy(F.col("seed").alias("fqn")).agg(F.count(F.lit(1)).alias("dependents"), F.max(F.coalesce("test", F.lit(False))).alias("tested"))
+    seeds = settled(seeds)
+    pairs, key = reached_by(edges, seeds, depth, test)
+    told = seeds.withColumn("seed", key(F.col("fqn")))
     if covered is not None:
-        return by.join(covered.select("fqn").distinct(), "fqn", "left_anti").select("fqn", "dependents")
-    return by.where("NOT tested").select("fqn", "dependents")
+        mine = told.join(covered.select("fqn").distinct(), "fqn", "left_anti")
+        return pairs.groupBy("seed").agg(F.count(F.lit(1)).alias("dependents")).join(mine, "seed").select("fqn", "dependents")
+    reach = pairs.join(test.select(key(F.col("fqn")).alias("node"), "test"), "node", "left")
+    by = reach.groupBy("seed").agg(F.count(F.lit(1)).alias("dependents"), F.max(F.coalesce("test", F.lit(False))).alias("tested"))
+    return by.where("NOT tested").join(told, "seed").select("fqn", "dependents")

@@ -39,6 +39,19 @@ def test_review_rules(spark):
     assert rules.seam_crossing(s, e.where("false"), changed).count() == 0
 
 
+def test_pairs_are_numbers_unless_two_names_share_one(spark, monkeypatch):
+    s = symbols(spark)
+    e = spark.createDataFrame([("ui.V", "a.S#pay()", "calls"), ("a.S#go()", "ui.V", "calls"), (None, "a.S#pay()", "calls")], EDGE)
+    changed = spark.createDataFrame([("a.S#pay()", "CONTRACT_CHANGED")], "fqn string, kind string")
+    pairs, _ = rules.reached_by(e, changed.select("fqn"), 4, s)
+    assert dict(pairs.dtypes) == {"seed": "bigint", "node": "bigint", "depth": "int"} and pairs.count() == 2
+    monkeypatch.setattr(rules, "number", lambda name: F.length(name) % 2)
+    pairs, _ = rules.reached_by(e, changed.select("fqn"), 4, s)
+    assert sorted(map(tuple, pairs.collect())) == [("a.S#pay()", "a.S#go()", 2), ("a.S#pay()", "ui.V", 1)]
+    assert [tuple(r) for r in rules.seam_crossing(s, e, changed).collect()] == [("a.S#pay()", 1)]
+    assert [tuple(r) for r in rules.untested_changes(s, e, changed).collect()] == [("a.S#pay()", 2)]
+
+
 def test_states(spark):
     checks = spark.createDataFrame([(1, True, None), (1, None, None), (2, False, False), (3, True, True)], "id int, failed boolean, blocked boolean")
     assert {r.id: r.outcome for r in states.outcome(checks, "id").collect()} == {1: "failed", 2: "passed", 3: "unknown"}
