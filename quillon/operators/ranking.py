@@ -7,7 +7,7 @@ clamped; ties are broken where an order is asked for, by the columns that the ca
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,39 +80,49 @@ def filled(candidates: DataFrame, budget: int, least: float = LEAST, per_compone
     ``candidates``: request_id, item, score, tokens, component, position and maybe anchor; ids are of any type. They go by score per token, then position, then
     item; one without tokens goes last. A candidate without an anchor, of unknown size, below the floor, or of a component of which so many are
     included is left out; one that doesn't fit is passed over and later, smaller ones may still enter. Empty and null components have no limit. ``ordered`` keeps
-    the given order, without floor and limit. The fold is in order, so a request is one group; its candidates are bounded by the traversal that
-    proposes them. A null score counts as zero, null tokens are an unknown size, tokens below zero count as none.
+    the given order, without floor and limit. Spark sorts the requests; the fold goes through a partition's rows and holds what one request has spent,
+    so neither many requests nor a large one cost more than their rows. A null score counts as zero, null tokens are an unknown size, tokens below zero count as none.
     """
-    has_anchor = "anchor" in candidates.columns
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        score, tokens = rows.score.astype(float).fillna(0.0), rows.tokens.astype(float)
-        size = tokens.clip(lower=0)
-        rows = rows.assign(score=score, tokens=size, d=(score / size).where(size > 0, -np.inf))
-        order = ["position", "item"] if ordered else ["d", "position", "item"]
-        rows = rows.sort_values(order, ascending=[x != "d" for x in order], kind="stable")
-        used, count, out = spent, {}, []
-        for r in rows.itertuples():
-            named = isinstance(r.component, str) and r.component != ""
-            if has_anchor and not isinstance(r.anchor, str):
-                why = "no file:line anchor"
-            elif pd.isna(r.tokens):
-                why = "unknown size"
-            elif not ordered and r.score < least:
-                why = f"below floor ({least:.2f})"
-            elif not ordered and named and per_component > 0 and count.get(r.component, 0) >= per_component:
-                why = f"at most {per_component} items from {r.component}"
-            elif used + r.tokens > budget:
-                why = f"budget exhausted at {budget} tokens"
-            else:
-                why, used = "selected", used + r.tokens
-                if named:
-                    count[r.component] = count.get(r.component, 0) + 1
-            out.append((key[0], r.item, why == "selected", why))
-        return pd.DataFrame(out, columns=["request_id", "item", "included", "reason"])
-
-    return candidates.groupBy("request_id").applyInPandas(fold, f"request_id {kinds['request_id']}, item {kinds['item']}, included boolean, reason string")
+    score, tokens = (F.col(c).cast("double") for c in ("score", "tokens"))
+    score, tokens = F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)), F.when(tokens.isNotNull() & ~F.isnan(tokens), F.greatest(tokens, F.lit(0.0)))
+    anchored = F.col("anchor").isNotNull() if kinds.get("anchor") == "string" else F.lit("anchor" not in kinds)
+    component = F.when(F.col("component") != "", F.col("component")) if kinds["component"] == "string" and not ordered and per_component > 0 else F.lit(None).cast("string")
+    density = F.when(tokens > 0, score / tokens).otherwise(-np.inf)
+    order = [F.when(~F.isnan("d"), F.col("d")).desc_nulls_last()] * (not ordered) + [F.asc_nulls_last("position"), F.asc_nulls_last("item")]
+    floor = F.lit(False) if ordered else score < least
+    # what a row alone decides has its number here: 1 no anchor, 2 unknown size, 3 below the floor; the fold knows 0 selected, 4 its component is full, 5 the budget is
+    alone = F.when(~anchored, 1).when(tokens.isNull(), 2).when(floor, 3).otherwise(0)
+    rows = candidates.select("request_id", "item", "position", alone.cast("int").alias("why"), tokens.alias("tokens"), component.alias("component"), density.alias("d"))
+    first = F.row_number().over(Window.partitionBy("request_id").orderBy(*order)) == 1
+    rows = rows.select("request_id", "item", "component", "why", "tokens", first.alias("first"))
+
+    def fold(batches):
+        used, count = spent, {}
+        for b in batches:
+            first, tokens, component = (b.column(c).to_pylist() for c in ("first", "tokens", "component"))
+            why = b.column("why").to_pylist()
+            for i, w in enumerate(why):
+                if first[i]:
+                    used, count = spent, {}
+                if w:
+                    continue
+                c = component[i]
+                if c is not None and count.get(c, 0) >= per_component:
+                    why[i] = 4
+                elif used + tokens[i] > budget:
+                    why[i] = 5
+                else:
+                    used += tokens[i]
+                    if c is not None:
+                        count[c] = count.get(c, 0) + 1
+            yield pa.RecordBatch.from_arrays([b.column("request_id"), b.column("item"), b.column("component"), pa.array(why, pa.int32())], ["request_id", "item", "component", "why"])
+
+    told = rows.mapInArrow(fold, f"request_id {kinds['request_id']}, item {kinds['item']}, component string, why int")
+    why = F.col("why")
+    reason = F.when(why == 0, "selected").when(why == 1, "no file:line anchor").when(why == 2, "unknown size").when(why == 3, f"below floor ({least:.2f})")
+    reason = reason.when(why == 4, F.concat(F.lit(f"at most {per_component} items from "), "component")).otherwise(f"budget exhausted at {budget} tokens")
+    return told.select("request_id", "item", (why == 0).alias("included"), reason.alias("reason"))
 
 
 def top(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:

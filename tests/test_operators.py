@@ -54,6 +54,35 @@ def test_fill_passes_over_what_is_too_large(spark):
     assert ranking.filled(c, 12, spent=8).where("included").count() == 0
 
 
+def test_fill_folds_many_requests_in_one_pass(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # requests go over the ends of batches
+    try:
+        k = F.col("id")
+        c = spark.range(4000).select(F.when(k % 4 > 0, k % 400).alias("request_id"), k.alias("item"), ((k % 89) / 89).alias("score"), (k % 50 + 1).alias("tokens"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("component"), k.alias("position"))
+        told = ranking.filled(c, 40)
+        assert "FlatMapGroupsInPandas" not in told._jdf.queryExecution().executedPlan().toString()  # a call for each request takes hours with millions of them
+        got = {(r.request_id, r.item): r.reason for r in told.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    requests = {}
+    for r in c.collect():
+        requests.setdefault(r.request_id, []).append(r)
+    assert len(requests) == 301 and len(requests[None]) == 1000 and len(got) == 4000
+    for key, rows in requests.items():
+        used, count = 0, {}
+        for r in sorted(rows, key=lambda r: (-r.score / r.tokens, r.position)):
+            if r.score < 0.15:
+                why = "below floor (0.15)"
+            elif count.get(r.component, 0) >= 3:
+                why = f"at most 3 items from {r.component}"
+            elif used + r.tokens > 40:
+                why = "budget exhausted at 40 tokens"
+            else:
+                why, used = "selected", used + r.tokens
+                count[r.component] = count.get(r.component, 0) + 1
+            assert got[key, r.item] == why
+
+
 def test_renames_decline_boilerplate(spark):
     t = "fqn string, name string, sig_hash string, body_hash string"
     a = spark.createDataFrame([("p.A", "A", "1", "1"), ("p.X", "X", "2", "2"), ("q.X", "X", "2", "2")], t)
