@@ -36,6 +36,14 @@ def members(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+def file_of(parent, k):
+    return F.concat(F.translate(parent, ".#", "//"), F.when(k % 3 == 0, ".ts").when(k % 7 == 0, "Test.java").otherwise(".java"))
+
+
+def line_of(k):
+    return (k % 1000 + 1).cast("int")
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """``fqn, kind, parent_fqn, file_path, start_line, deleted``."""
     n, m = nations(spark, d), members(spark, d)
@@ -45,8 +53,8 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    path = F.concat(F.translate(F.coalesce("parent_fqn", "fqn"), ".#", "//"), F.when(F.col("k") % 3 == 0, ".ts").when(F.col("k") % 7 == 0, "Test.java").otherwise(".java"))
-    return out.select("fqn", "kind", "parent_fqn", path.alias("file_path"), (F.col("k") % 1000 + 1).cast("int").alias("start_line"), (F.col("k") % 11 == 10).alias("deleted"))
+    k = F.col("k")
+    return out.select("fqn", "kind", "parent_fqn", file_of(F.coalesce("parent_fqn", "fqn"), k).alias("file_path"), line_of(k).alias("start_line"), (k % 11 == 10).alias("deleted"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
