@@ -5,6 +5,10 @@ for each of these files, deleted ones too. A file's rows of its last version cou
 rows and nothing else, and is there as a whole once ``files/version=v`` is; run again it replaces itself. A search knows its terms'
 buckets and reads no other folder. ``compacted`` starts a folder with what is live.
 
+A string's id is unique in its file: its line, if no other string is there, else a hash of 63 bits, below zero. Texts aren't exchanged but for strings that share
+their line, and a string's terms are counted in its row, so each task writes its postings to the buckets and what an update takes is little more than the index.
+A search exchanges the postings of its terms by file, and meets the texts of its best strings only.
+
 Terms are runs of letters and digits, in lower case. A query's terms are its first 256 different ones of two signs or more, any of which may
 match; the score is BM25 (k1 1.2, b 0.75) with an inverse frequency of at least a millionth.
 
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import terms
-from .settle import settled
+from .settle import released, settled, sized
 
 BUCKETS, TERMS, LIMIT = 64, 256, 20
 K1, B, LEAST = 1.2, 0.75, 1e-6
@@ -29,18 +33,42 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def counted(words: DataFrame) -> DataFrame:
+    """``term, tf`` instead of the array ``words``, with the other columns: the runs of the sorted array, in the row."""
+    others = [c for c in words.columns if c != "words"]
+    run = words.where(F.size("words") > 0).select(*others, F.sort_array("words").alias("w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    run = run.select(*others, "w", starts.alias("at"))
+    one = F.transform("at", lambda x, j: F.struct(F.get("w", x).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("w")) - x).cast("long").alias("tf")))
+    return run.select(*others, F.inline(one))
+
+
 def replace_files(folder: str, strings: DataFrame, files: DataFrame, version: int) -> None:
     """Writes an update: the files (``path``, ``deleted``) have the strings (``path, line, kind, locale, text``) from now on. Versions go up."""
-    own = strings.where("text IS NOT NULL").join(files.where("NOT deleted").select("path").distinct(), "path", "left_semi")
-    own = own.select("path", F.col("line").cast("long").alias("line"), "kind", "locale", "text").distinct()
-    own = settled(own.withColumn("id", F.xxhash64("path", "line", "kind", "locale", "text")).withColumn("len", F.size(terms(F.col("text")))))
-    own.write.mode("overwrite").parquet(f"{folder}/strings/version={version}")
-    postings = own.select("path", "id", "len", F.explode(terms(F.col("text"))).alias("term")).groupBy("term", "path", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    spread = postings.withColumn("bucket", bucket(F.col("term")))
-    spread.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/version={version}")
+    spark = strings.sparkSession
+    given = strings.where("text IS NOT NULL AND path IS NOT NULL").select("path", F.col("line").cast("long").alias("line"), "kind", "locale", "text")
+    # what is known without texts: lines of several strings, and files that this update doesn't keep; mostly there are few or none
+    lines = settled(given.groupBy("path", "line").agg(F.count(F.lit(1)).alias("n")))
+    gone, n_gone = sized(lines.select("path").distinct().join(files.where("NOT deleted").select("path").distinct(), "path", "left_anti"))
+    shared, n_shared = sized(lines.where("n > 1 OR line IS NULL OR line < 0").select("path", F.col("line").alias("l")))
+    if n_gone:
+        given = given.join(gone, "path", "left_anti")
+    own = given
+    if n_shared:
+        here = (given["path"] == shared["path"]) & given["line"].eqNullSafe(shared["l"])
+        among = given.join(shared, here, "left_semi").distinct()
+        hashed = F.xxhash64("path", "line", "kind", F.isnull("kind"), "locale", F.isnull("locale"), "text").bitwiseOR(F.lit(-(2**63)).cast("long"))
+        own = given.join(shared, here, "left_anti").withColumn("id", F.col("line")).unionByName(among.withColumn("id", hashed))
+    else:
+        own = own.withColumn("id", F.col("line"))
+    own.withColumn("len", F.size(terms(F.col("text")))).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/strings/version={version}")
+    own = spark.read.schema(STRINGS).parquet(f"{folder}/strings/version={version}")
+    postings = counted(own.select("path", "id", "len", terms(F.col("text")).alias("words"))).select("term", "path", "id", "len", "tf", bucket(F.col("term")).alias("bucket"))
+    postings.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings/version={version}")
     sums = own.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
     rows = files.groupBy("path").agg(F.min("deleted").alias("deleted")).join(sums, "path", "left").select("path", "deleted", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
     rows.write.mode("overwrite").parquet(f"{folder}/files/version={version}")
+    released(lines, gone, shared)
 
 
 def live_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,12 +90,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings_of(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
-    """``term, path, id, len, tf`` of the terms asked for; only their buckets' folders are read."""
+    """``term, path, version, id, len, tf`` of the terms asked for; only their buckets' folders are read."""
     wanted = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # BUCKETS numbers at most
     rows = spark.read.schema("term string, path string, id long, len int, tf long, version int, bucket int").parquet(f"{folder}/postings")
     rows = rows.where(F.col("bucket").isin(wanted)) if wanted else rows.limit(0)
     rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
-    return rows.join(live_files(spark, folder).select("path", "version"), ["path", "version"], "left_semi").select("term", "path", "id", "len", "tf")
+    # files are few next to postings, and meet them by path
+    return rows.join(live_files(spark, folder).select("path", "version"), ["path", "version"], "left_semi").select("term", "path", "version", "id", "len", "tf")
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -78,12 +107,18 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, limit: int = LI
     all_ = live_files(spark, folder).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST))
     # a term's weight is known before any posting is joined
-    weights = asked.join(df, "term").crossJoin(F.broadcast(all_)).select("query_id", "term", idf.alias("idf"), "avg")
+    weights, _ = sized(asked.join(df, "term").crossJoin(F.broadcast(all_)).select("query_id", "term", idf.alias("idf"), "avg"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = found.join(weights, "term").groupBy("query_id", "path", "id").agg(F.sum(part).alias("score"))
-    kept = scored.join(strings_of(spark, folder).select("path", "id", "line", "kind", "locale", "text"), ["path", "id"])
+    scored = found.join(weights, "term").groupBy("query_id", "path", "version", "id").agg(F.sum(part).alias("score"))
+    # the best by score and path, with those that are equal in both, are enough to find their lines and texts
+    first = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "path")
+    few, _ = sized(scored.withColumn("r", F.rank().over(first)).where(F.col("r") <= limit).drop("r"))
+    strings = spark.read.schema(f"{STRINGS}, version int").parquet(f"{folder}/strings")
+    kept = few.join(strings.select("path", "version", "id", "line", "kind", "locale", "text"), ["path", "version", "id"])
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "path", "line", "text", "kind", "locale")
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "line", "text", "score")
+    out = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "line", "text", "score")
+    released(asked, found, weights)
+    return out
 
 
 def compacted(spark: SparkSession, folder: str, into: str) -> None:

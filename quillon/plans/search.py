@@ -27,7 +27,7 @@ def text_search(spark, d):
     where = folder(spark)
 
     def put(rows, version):
-        line = rows.select("path", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+        line = rows.where("NOT deleted").select("path", F.posexplode(F.split("text", "\n")).alias("i", "text"))
         strings = line.select("path", (F.col("i") + 1).alias("line"), F.lit("line").alias("kind"), F.lit(None).cast("string").alias("locale"), "text")
         text_index.replace_files(where, strings, rows.select("path", "deleted"), version)
 

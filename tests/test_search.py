@@ -65,6 +65,38 @@ def test_search_reads_its_terms_buckets_only_and_equals_a_scan(spark):
     assert ask(spark, where, long) == []  # beyond the first 256 different terms
 
 
+def test_index_writes_little_and_finds_strings_that_share_a_line(spark):
+    where = folder(spark)
+    rows = [("a", 1, "literal", "mn", "one sun"), ("a", 1, "literal", None, "one sun"), ("a", 1, None, "literal", "one sun"), ("a", 1, "literal", None, "one sun"), ("a", None, "literal", None, "sun sun"), ("a", 2, "literal", None, "moon"), ("b", -3, "literal", None, "two suns"), ("b", 1, "literal", None, "sun"), ("gone", 1, "literal", None, "sun"), ("other", 1, "literal", None, "sun"), (None, 1, "literal", None, "sun")]
+    files = spark.createDataFrame([("a", False), ("b", False), ("gone", True)], "path string, deleted boolean")
+    text_index.replace_files(where, spark.createDataFrame(rows, STRINGS), files, 1)
+    own = spark.read.schema(text_index.STRINGS).parquet(f"{where}/strings/version=1")
+    ids = {(r.path, r.line, r.kind, r.locale, r.text): r.id for r in own.collect()}
+    assert len(ids) == own.count() == 7 and len({(k[0], i) for k, i in ids.items()}) == 7
+    assert ids["a", 2, "literal", None, "moon"] == 2 and all(i < 0 for k, i in ids.items() if k[1] != 2 and k[:2] != ("b", 1))
+    assert {r.path for r in spark.read.parquet(f"{where}/postings/version=1").collect()} == {"a", "b"}
+    queries = spark.createDataFrame([(1, "sun")], "query_id long, text string")
+    got = text_index.search(spark, where, queries, 10)
+    assert sorted((r.path, str(r.line), r.text) for r in got.collect()) == [("a", "1", "one sun")] * 3 + [("a", "None", "sun sun"), ("b", "1", "sun")]
+    # neither the texts of files nor the words of lines are exchanged; a posting is as small as its line's number
+    many = folder(spark)
+    lines = spark.range(3000).select(F.concat(F.lit("f"), (F.col("id") % 300).cast("string")).alias("path"), F.floor(F.col("id") / 300).alias("line"), F.lit("line").alias("kind"), F.lit(None).cast("string").alias("locale"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.xxhash64("id", i) % 2000).cast("string"))), " ").alias("text"))
+    text_index.replace_files(many, lines, lines.select("path", F.lit(False).alias("deleted")), 1)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{many}/postings").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{many}/postings")).getLength()
+    assert size < 9 * spark.read.parquet(f"{many}/postings").count(), size
+
+
+def test_terms_of_a_very_long_line_are_counted_in_its_row(spark):
+    n = 200_000
+    words = spark.range(0, 2, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") + 1) % 1000).cast("string"))).alias("words")).union(spark.sql("SELECT 9L, array('b', 'a', 'b')")).union(spark.sql("SELECT 10L, cast(array() AS array<string>)"))
+    counts = text_index.counted(words)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.term): r.tf for r in counts.collect()}
+    assert len(got) == 1000 + 500 + 2 and got[9, "b"] == 2 and got[9, "a"] == 1
+    assert all(v == n // 1000 for k, v in got.items() if k[0] == 0) and all(v == n // 500 for k, v in got.items() if k[0] == 1)
+
+
 def test_screen_functions(spark):
     paths = {"src/locales/mn/common.json": "mn", "i18n/messages_mn.properties": "mn", "lang/en.json": "en", "a/messages.json": None, "locale/en-GB/x.json": "en-gb", "messages_zz9.json": None}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
