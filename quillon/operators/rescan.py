@@ -23,13 +23,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import graphql_coordinate, member_name, prefix_of, simple_key
+from . import resolve
 from .graph import live_names
 from .incremental import change_of, file_renames, refused, renames, replace_symbols
-from .resolve import packages_of, resolve
 from .settle import FEW_NUMBERS, released, settled, sized
 from .states import intact_facts
 
@@ -43,7 +43,10 @@ DURABLE = 3
 class Index:
     """``files``: path, size, mtime, content_hash, deleted. ``symbols``: SYMBOL. ``edges``: BASE, dst, tier, resolution, confidence. ``anchors``:
     fact_key, path, fqn, sig_hash, body_hash. ``facts``: fact_key, validated, validated_scan, durable, invalidated (the scan that did it).
-    ``aliases``: old_fqn, new_fqn, scan_id."""
+    ``aliases``: old_fqn, new_fqn, scan_id.
+
+    An index that ``scan`` or ``rescan`` gives also has what its edges are joined from when they are read: ``parsed`` (BASE), ``hints`` (hint, head, n: how
+    many edges) and ``targets`` (hint, head, dst, tier, resolution, confidence), as equal hints share their targets. Without them they are taken from its edges."""
 
     files: DataFrame
     symbols: DataFrame
@@ -51,6 +54,9 @@ class Index:
     anchors: DataFrame
     facts: DataFrame
     aliases: DataFrame
+    parsed: DataFrame | None = None
+    hints: DataFrame | None = None
+    targets: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -67,18 +73,40 @@ def same_revision(baseline: tuple, current: tuple) -> bool:
     return baseline[0] is not None and not baseline[1] and not current[1] and baseline == current
 
 
+def headed(edges: DataFrame) -> DataFrame:
+    """``hint, head`` of edges, by which targets are shared."""
+    return edges.select("hint", resolve.head_of(F.col("file_path"), F.col("hint")).alias("head"))
+
+
+def counted(edges: DataFrame) -> DataFrame:
+    """``hint, head, n``, also of null hints."""
+    return headed(edges).groupBy("hint", "head").agg(F.count(F.lit(1)).alias("n"))
+
+
+def joined(parsed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges with targets, joined when they are read."""
+    return resolve.linked(parsed.select(*BASE), targets, "file_path").select(*BASE, "dst", "tier", "resolution", "confidence")
+
+
+def in_parts(index: Index) -> Index:
+    """``index`` with its edges in parts, each a table."""
+    if index.parsed is None:
+        parsed = settled(index.edges.select(*BASE).distinct())
+        targets = index.edges.select("dst", "tier", "resolution", "confidence", "hint", resolve.head_of(F.col("file_path"), F.col("hint")).alias("head")).where("hint IS NOT NULL").distinct()
+        return replace(index, parsed=parsed, hints=settled(counted(parsed)), targets=settled(targets))
+    written = lambda df: df if getattr(df, "_settled", None) else settled(df)
+    return replace(index, parsed=written(index.parsed), hints=written(index.hints), targets=written(index.targets))
+
+
 def declared_supers(edges: DataFrame) -> DataFrame:
     """``fqn, ancestor`` as edges name them."""
     return edges.where(F.col("edge_type").isin(*SUPERS) & F.col("hint").isNotNull()).select(F.col("src").alias("fqn"), F.col("hint").alias("ancestor")).distinct()
 
 
 def landed(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Parsed edges, once each, whose source lives. Joined by source first, whose exchange serves the distinct rows too."""
-    return edges.select(*BASE).join(live_names(symbols).withColumnRenamed("fqn", "src"), "src", "left_semi").select(*BASE).distinct()
-
-
-def resolved(edges: DataFrame, symbols: DataFrame, supers: DataFrame) -> DataFrame:
-    return resolve(edges, symbols, supers, path="file_path").select(*BASE, "dst", "tier", "resolution", "confidence")
+    """Parsed edges, once each, whose source lives. Joined by source first, whose exchange and order serve the distinct rows too, which no table in memory then holds."""
+    live = edges.select(*BASE).join(live_names(symbols).withColumnRenamed("fqn", "src"), "src", "left_semi").select(*BASE)
+    return live.withColumn("__i", F.row_number().over(Window.partitionBy(*BASE).orderBy("src"))).where("__i = 1").select(*BASE)
 
 
 def once(symbols: DataFrame) -> DataFrame:
@@ -97,7 +125,11 @@ def scan(tree: DataFrame, symbols: DataFrame, edges: DataFrame, anchors: DataFra
     if not linked:
         return Index(files, table, parsed.select(*BASE), anchors, facts, aliases)
     own = settled(landed(parsed, table))
-    return Index(files, table, settled(resolved(own, table, declared_supers(own))), anchors, facts, aliases)
+    hints = settled(counted(own))
+    supers = settled(declared_supers(own))
+    targets = resolve.resolve_hints(hints, table, supers, unique=True)
+    released(supers)
+    return Index(files, table, joined(own, targets), anchors, facts, aliases, own, hints, targets)
 
 
 def candidates(files: DataFrame, tree: DataFrame, forced: bool = False, delta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +151,11 @@ def candidates(files: DataFrame, tree: DataFrame, forced: bool = False, delta: D
 
 def edge_suppliers(edges: DataFrame, symbols: DataFrame, gone: DataFrame) -> DataFrame:
     """``path`` of other files that edges of symbols of gone files (``path``) come from."""
-    owned = symbols.join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("fqn").alias("src"), F.col("file_path").alias("owner"))
+    owned = settled(symbols.join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("fqn").alias("src"), F.col("file_path").alias("owner")))
+    # a name's hash tells which few edges may be theirs, so the others aren't exchanged for it
+    hashes, n = sized(owned.select(F.xxhash64("src").alias("__h")).distinct(), FEW_NUMBERS)
+    if n <= FEW_NUMBERS:
+        edges = edges.join(hashes, F.xxhash64("src") == F.col("__h"), "left_semi")
     return edges.join(owned, "src").where("file_path <> owner").select(F.col("file_path").alias("path")).distinct()
 
 
@@ -135,13 +171,13 @@ def _keys(fqn: Column, of_hint: bool) -> Column:
 
 def affected(edges: DataFrame, names: DataFrame, packages: bool, supers: bool) -> Column | DataFrame:
     """``hint`` of edges that may resolve otherwise now that names (``fqn``) appeared or vanished."""
-    hints = edges.select("hint", F.col("dst").isNull().alias("bare")).where("hint IS NOT NULL").distinct()
-    keys = names.select(F.explode(_keys(F.col("fqn"), False)).alias("key")).distinct()
-    out = hints.select("hint", F.explode(_keys(F.col("hint"), True)).alias("key")).join(keys, "key", "left_semi").select("hint")
-    if packages or supers:
-        more = F.col("bare") | (F.lit(supers) & F.col("hint").contains("#"))
-        out = out.unionByName(hints.where(more).select("hint"))
-    return out.distinct()
+    hints = edges.select("hint", F.col("dst").isNull().alias("bare")).where("hint IS NOT NULL")
+    more = (F.lit(packages or supers) & F.col("bare")) | (F.lit(supers) & F.col("hint").contains("#"))
+    # keys by their hashes: of two equal ones of different keys, one hint more is resolved again
+    number = lambda of_hint, c: F.explode(F.transform(_keys(F.col(c), of_hint), lambda k: F.xxhash64(k))).alias("key")
+    keys, _ = sized(names.select(number(False, "fqn")).distinct(), FEW_NUMBERS)
+    out = hints.where(~more).select("hint", number(True, "hint")).join(keys, "key", "left_semi").select("hint")
+    return out.unionByName(hints.where(more).select("hint")).distinct()
 
 
 def settle_facts(facts: DataFrame, anchors: DataFrame, symbols: DataFrame, files: DataFrame, scan_id: int) -> DataFrame:
@@ -174,7 +210,7 @@ def replaced(index: Index, tree: DataFrame, symbols: DataFrame, forced: bool = F
     """Steps 1 and 2 of a rescan and their ledger, which no target of an edge enters: of the index's edges only source and file are read."""
     spark = tree.sparkSession
     changed, gone = (settled(x) for x in candidates(index.files, tree, forced, delta))
-    more = edge_suppliers(index.edges, index.symbols, gone).join(tree.select("path"), "path", "left_semi").join(changed.select("path"), "path", "left_anti")
+    more = edge_suppliers(index.edges if index.parsed is None else index.parsed, index.symbols, gone).join(tree.select("path"), "path", "left_semi").join(changed.select("path"), "path", "left_anti")
     parsed = settled(changed.select("path").unionByName(more))
     counts = {"files_changed": parsed.count(), "files_deleted": gone.count()}
     if not any(counts.values()):
@@ -223,15 +259,16 @@ def replaced(index: Index, tree: DataFrame, symbols: DataFrame, forced: bool = F
 
 def packages_in(symbols: DataFrame) -> DataFrame:
     """``pkg`` of live symbols; names needn't be made distinct first."""
-    return packages_of(symbols.where("NOT coalesce(deleted, false) AND fqn IS NOT NULL"))
+    return resolve.packages_of(symbols.where("NOT coalesce(deleted, false) AND fqn IS NOT NULL"))
 
 
 def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame, scan_id: int, forced: bool = False, delta: DataFrame | None = None) -> Rescan:
     """The index brought to ``tree``; see the module. Nothing changed gives the index itself and no changes. The sources of the index's edges live."""
+    given, index = index, in_parts(index)
     new = replaced(index, tree, symbols, forced, delta)
     counts, files, table, incoming, before, changes = new.counts, new.files, new.symbols, new.incoming, new.before, new.changes
     if not any(counts.values()):
-        return Rescan(index, changes, {"unchanged": True, **counts, "symbols_changed": 0, "edges_walked": 0, "facts_invalidated": 0, "facts_validated": 0})
+        return Rescan(given, changes, {"unchanged": True, **counts, "symbols_changed": 0, "edges_walked": 0, "facts_invalidated": 0, "facts_validated": 0})
     at = new.parsed.select(F.col("path").alias("file_path"))
     out_of_date = at.unionByName(new.gone.select(F.col("path").alias("file_path")))
     aliases = index.aliases.unionByName(new.moved.select("old_fqn", "new_fqn", F.lit(scan_id).cast("long").alias("scan_id")))
@@ -239,28 +276,40 @@ def rescan(index: Index, tree: DataFrame, symbols: DataFrame, edges: DataFrame,
     # edges: those of parsed and gone files are replaced, what may resolve otherwise is resolved anew
     fresh = settled(landed(edges.join(at, "file_path", "left_semi"), table))
     supers_of = lambda e: e.where(F.col("edge_type").isin(*SUPERS) & F.col("hint").isNotNull()).select("file_path", "src", "hint").distinct()
-    was, now = supers_of(index.edges.join(out_of_date, "file_path", "left_semi")), supers_of(fresh)
+    was, now = supers_of(index.parsed.join(out_of_date, "file_path", "left_semi")), supers_of(fresh)
     supers_changed = not (was.join(now, ["file_path", "src", "hint"], "left_anti").isEmpty() and now.join(was, ["file_path", "src", "hint"], "left_anti").isEmpty())
     live_was, live_now = live_names(before.unionByName(index.symbols.join(incoming.select("fqn").distinct(), "fqn", "left_semi").select(*SYMBOL))), live_names(table)
     dead = settled(live_was.join(live_now, "fqn", "left_anti"))
     names = settled(dead.unionByName(live_names(table.join(incoming.select("fqn").distinct(), "fqn", "left_semi")).join(live_was, "fqn", "left_anti")))
-    packages = settled(packages_of(names))
-    whole = [packages_in(x) for x in (index.symbols, table)]
-    packages_changed = any(not packages.join(a, "pkg", "left_semi").join(b, "pkg", "left_anti").isEmpty() for a, b in (whole, whole[::-1]))
+    packages = settled(resolve.packages_of(names))
+    side = lambda x, there: packages_in(x).join(packages, "pkg", "left_semi").select("pkg", F.lit(there).alias("there"))
+    both_sides = side(index.symbols, 1).unionByName(side(table, 2)).groupBy("pkg").agg(F.sum("there").alias("there"))
+    packages_changed = not both_sides.where("there <> 3").isEmpty()
     # a name's hash tells which few edges may have lost their source, so the others aren't exchanged for it
-    rest = index.edges.join(out_of_date, "file_path", "left_anti").select(*index.edges.columns)
+    rest = index.parsed.join(out_of_date, "file_path", "left_anti").select(*BASE)
     hashes, _ = sized(dead.select(F.xxhash64("fqn").alias("__h")).distinct(), FEW_NUMBERS)
-    doubt = rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_semi").join(dead.withColumnRenamed("fqn", "src"), "src", "left_anti").select(*rest.columns)
-    kept = settled(rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_anti").unionByName(doubt))
-    again = affected(kept, names, packages_changed, supers_changed).withColumn("__again", F.lit(True))
-    marked = settled(kept.join(again, "hint", "left").select(*kept.columns, F.coalesce("__again", F.lit(False)).alias("__again")))
-    walked = settled(fresh.unionByName(marked.where("__again").select(*BASE)).distinct())
-    all_supers = declared_supers(kept.unionByName(fresh, allowMissingColumns=True))
-    current = settled(marked.where("NOT __again").select(*index.edges.columns).unionByName(resolved(walked, table, all_supers).select(*index.edges.columns)))
+    gone = dead.withColumnRenamed("fqn", "src")
+    doubt = settled(rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_semi").select(*BASE))
+    kept = rest.join(hashes, F.xxhash64("src") == F.col("__h"), "left_anti").unionByName(doubt.join(gone, "src", "left_anti").select(*BASE))
+    lost = index.parsed.join(out_of_date, "file_path", "left_semi").select(*BASE).unionByName(doubt.join(gone, "src", "left_semi").select(*BASE))
+    parsed = kept.unionByName(fresh)
+
+    # hints of the edges there are now, which of them were there before, and which are to be resolved
+    again = affected(index.targets, names, packages_changed, supers_changed).withColumn("__again", F.lit(True))
+    tallied = index.hints.select("hint", "head", F.col("n").alias("was"), F.lit(0).alias("less"), F.lit(0).alias("more"))
+    tallied = tallied.unionByName(headed(lost).select("hint", "head", F.lit(0).alias("was"), F.lit(1).alias("less"), F.lit(0).alias("more")))
+    tallied = tallied.unionByName(headed(fresh).select("hint", "head", F.lit(0).alias("was"), F.lit(0).alias("less"), F.lit(1).alias("more")))
+    sums = tallied.groupBy("hint", "head").agg(F.sum("was").alias("was"), F.sum("more").alias("more"), (F.sum("was") - F.sum("less") + F.sum("more")).alias("n")).where("n > 0")
+    again_too = F.coalesce("__again", F.lit(False))
+    state = settled(sums.join(again, "hint", "left").select("hint", "head", "n", F.when(again_too, F.col("n")).otherwise(F.col("more")).alias("walked"), (again_too | (F.col("was") == 0)).alias("asked")))
+    all_supers = settled(declared_supers(parsed))
+    found = resolve.resolve_hints(state.where("asked"), table, all_supers, unique=True)
+    targets = settled(index.targets.join(state.where("NOT asked").select("hint", "head"), ["hint", "head"], "left_semi").select(*found.columns).unionByName(found))
+    walked = state.agg(F.coalesce(F.sum("walked"), F.lit(0)).alias("n")).first().n
 
     facts = settled(settle_facts(index.facts, index.anchors, table, files, scan_id))
     done = facts.agg(F.count_if(F.col("invalidated") == scan_id).alias("i"), F.count_if((F.col("validated_scan") == scan_id) & F.col("invalidated").isNull()).alias("v")).first()
-    counts |= {"symbols_changed": changes.where("entity = 'symbol'").count(), "edges_walked": walked.count(), "facts_invalidated": done.i, "facts_validated": done.v}
-    released(kept, marked, walked, dead, hashes, packages)
-    after = replace(index, files=files, symbols=table, edges=current, facts=facts, aliases=aliases)
+    counts |= {"symbols_changed": changes.where("entity = 'symbol'").count(), "edges_walked": walked, "facts_invalidated": done.i, "facts_validated": done.v}
+    released(all_supers, found, packages)
+    after = replace(index, files=files, symbols=table, edges=joined(parsed, targets), facts=facts, aliases=aliases, parsed=parsed, hints=state.select("hint", "head", "n"), targets=targets)
     return Rescan(after, changes, {"unchanged": False, **counts})

@@ -57,25 +57,28 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fqn", "kind", "parent_fqn", file_of(F.coalesce("parent_fqn", "fqn"), k).alias("file_path"), line_of(k).alias("start_line"), (k % 11 == 10).alias("deleted"))
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """``src, dst, edge_type, confidence, site_line``, distinct."""
+def edges(spark: SparkSession, d: str, placed: bool = False) -> DataFrame:
+    """``src, dst, edge_type, confidence, site_line``, distinct; if ``placed`` as a parser meets them, maybe repeated, and with ``parent_fqn, start_line`` of the source's symbol, which each kind's rows have."""
     n, m = nations(spark, d), members(spark, d)
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
     one, zero = F.lit(1.0), F.lit(0)
+    at = lambda parent, k: [parent.alias("parent_fqn"), line_of(k).alias("start_line")] if placed else []
+    by_order = lambda k: at(F.split_part("src", F.lit("#"), F.lit(1)), F.col(k))
     c, s, p = m["customer"], m["supplier"], m["part"]
     orders = o.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), order_fqn().alias("src"))
     # lines are made distinct on their keys before names are built; one exchange by order serves that, the join and both kinds of edges.
     # Other edges come from rows with a key of their own, and no two kinds have equal rows
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax"]
-    lines = li.select(*keys).repartition("l_orderkey").dropDuplicates(keys).join(orders, F.col("l_orderkey") == orders.ok)
-    part_lines, supplier_lines = (lines.dropDuplicates(["l_orderkey", "src", "l_linenumber", *k]) for k in (("l_partkey", "l_discount"), ("l_suppkey", "l_tax")))
+    once = lambda df, of: df if placed else df.dropDuplicates(of)
+    lines = once(li.select(*keys).repartition("l_orderkey"), keys).join(orders, F.col("l_orderkey") == orders.ok)
+    part_lines, supplier_lines = (once(lines, ["l_orderkey", "src", "l_linenumber", *k]) for k in (("l_partkey", "l_discount"), ("l_suppkey", "l_tax")))
     parts = [
-        n.select(F.col("nation_fqn").alias("src"), F.col("region_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
-        c.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
-        s.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("implements").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
-        orders.join(c, orders.ck == c.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), one.alias("confidence"), zero.alias("site_line")),
-        part_lines.join(p, part_lines.l_partkey == p.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
-        supplier_lines.join(s, supplier_lines.l_suppkey == s.k).select("src", F.col("fqn").alias("dst"), F.lit("injects").alias("edge_type"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_linenumber").alias("site_line")),
+        n.select(F.col("nation_fqn").alias("src"), F.col("region_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line"), *at(F.col("region_fqn"), F.col("n_nationkey").cast("long"))),
+        c.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("extends").alias("edge_type"), one.alias("confidence"), zero.alias("site_line"), *at(F.col("nation_fqn"), F.col("k"))),
+        s.select(F.col("fqn").alias("src"), F.col("nation_fqn").alias("dst"), F.lit("implements").alias("edge_type"), one.alias("confidence"), zero.alias("site_line"), *at(F.col("nation_fqn"), F.col("k"))),
+        orders.join(c, orders.ck == c.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), one.alias("confidence"), zero.alias("site_line"), *by_order("ok")),
+        part_lines.join(p, part_lines.l_partkey == p.k).select("src", F.col("fqn").alias("dst"), F.lit("calls").alias("edge_type"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_linenumber").alias("site_line"), *by_order("l_orderkey")),
+        supplier_lines.join(s, supplier_lines.l_suppkey == s.k).select("src", F.col("fqn").alias("dst"), F.lit("injects").alias("edge_type"), (1 - F.col("l_tax")).alias("confidence"), F.col("l_linenumber").alias("site_line"), *by_order("l_orderkey")),
     ]
     out = parts[0]
     for x in parts[1:]:
@@ -120,7 +123,7 @@ def hints(e: DataFrame) -> DataFrame:
     kind = F.col("site_line") % 8
     inherited = F.concat(F.lit("kids."), F.regexp_replace(F.split_part(prefix, F.lit("#"), F.lit(1)), r"^.*\.", ""), F.lit("#"), F.regexp_replace(prefix, "^[^#]*#", ""))
     hint = F.when(kind == 0, F.col("dst")).when(kind == 1, prefix).when(kind == 2, simple).when(kind == 3, member).when(kind == 4, F.concat(F.lit("org.lib."), member)).when(kind == 5, F.concat(F.lit("#"), member)).when(kind == 6, F.concat(F.lit("wrong.pkg."), simple)).otherwise(inherited)
-    return e.select("src", "edge_type", "site_line", F.col("dst").alias("truth"), hint.alias("hint"))
+    return e.select("src", "edge_type", "site_line", F.col("dst").alias("truth"), hint.alias("hint"), *[c for c in ("parent_fqn", "start_line") if c in e.columns])
 
 
 def supers(s: DataFrame) -> DataFrame:

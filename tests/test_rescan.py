@@ -161,3 +161,26 @@ def test_the_ledger_needs_no_targets(spark, monkeypatch):
     before, (tree, symbols, _) = tables(spark, BASE), tables(spark, edited)
     got = rescan.replaced(rescan.scan(*before, *none, linked=False), tree, symbols)
     assert {tuple(r) for r in got.changes.collect()} == want
+
+
+def test_a_scan_asks_each_hint_once_and_writes_no_edge_twice(spark, monkeypatch):
+    callers = {f"a/C{i}.java": ([(f"p.C{i}#run()", "s", "b", "declares")], [(f"p.C{i}#run()", "calls", j, h) for j, h in enumerate(("p.Helper#greet()", "#m", "m", None))]) for i in range(6)}
+    files = callers | {"b/T.java": ([("p.T#m()", "s", "b", "declares"), ("p.T", "s", "b", "declares")], [])}
+    asked, wide, hints, settled = [], [], rescan.resolve.resolve_hints, rescan.settled
+    monkeypatch.setattr(rescan.resolve, "resolve_hints", lambda a, *r, **k: (asked.append(sorted(x.hint for x in a.where("hint IS NOT NULL").collect())), hints(a, *r, **k))[1])
+    monkeypatch.setattr(rescan, "settled", lambda df: (wide.append({"src", "hint"} <= set(df.columns)), settled(df))[1])
+    index = fresh(spark, files)
+    assert asked == [["#m", "m", "p.Helper#greet()"]] and sum(wide) == 1
+    # one name appears: of the other hints none is asked again, and edges that stay aren't written
+    late = files | {"b/Helper.java": ([("p.Helper#greet()", "s", "b", "declares")], [])}
+    del asked[:], wide[:]
+    got = step(spark, index, late)
+    assert asked == [["p.Helper#greet()"]] and got.report["edges_walked"] == 6 and sum(wide) <= 2
+    monkeypatch.undo()
+    assert rows(got.index) == rows(fresh(spark, late))
+    # an index that has nothing but its edges is brought to the same, and so is one that went through a rescan
+    bare = rescan.Index(index.files, index.symbols, index.edges, index.anchors, index.facts, index.aliases)
+    assert rows(step(spark, bare, late).index) == rows(got.index)
+    fewer = {k: v for k, v in late.items() if k != "a/C0.java"}
+    third = step(spark, got.index, fewer, 3).index
+    assert rows(third) == rows(fresh(spark, fewer)) and {r.hint: r.n for r in third.hints.collect()} == {"p.Helper#greet()": 5, "#m": 5, "m": 5, None: 5}
